@@ -1,0 +1,8 @@
+import pytest
+
+from paritas.session import session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return session("llm-tests", cpus=4, memory="4g")
