@@ -120,6 +120,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges = cut(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = now
     raise RuntimeError(f"components did not settle within {rounds} rounds")

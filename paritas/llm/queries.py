@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import fingerprints, sentencepiece_bpe
+from paritas.llm import fingerprints, sentencepiece_bpe, simhash
 from paritas.llm.common import read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -23,6 +23,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(read(spark, sf_dir, "documents"), sentencepiece_bpe.model_bytes(tokenizer_path(PIECE_MODEL)))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every whole text, and the component of fingerprints within 4 bits."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and its edited text, and their likeness."""
     return fingerprints.edits(read(spark, sf_dir, "documents"))
@@ -30,6 +35,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_simhash": op3_simhash,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {}
