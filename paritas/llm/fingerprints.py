@@ -23,6 +23,8 @@ from paritas.llm.common import chunks, partitions
 from paritas.llm.hashing import mix, span_hashes, spans
 
 EXACT, LIKE = 8, 256
+#: Characters that are hashed at a time, at some 60 bytes of arrays each.
+CHUNK = 400_000
 Vectors = tuple[np.ndarray, np.ndarray]
 
 
@@ -112,7 +114,7 @@ def fingerprints(docs: DataFrame, column: str = "text", name: str = "fingerprint
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf[column]]
-            for a, b in chunks([len(t) for t in texts]):
+            for a, b in chunks([len(t) for t in texts], CHUNK):
                 yield pdf.iloc[a:b].assign(**{name: written(of_paragraphs([paragraphs(t) for t in texts[a:b]]))})
 
     return docs.drop(name).mapInPandas(run, f"{schema}, `{name}` string")
@@ -185,7 +187,7 @@ def edits(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for pdf in batches:
-            for a, b in chunks(pdf["text"].str.len().tolist()):
+            for a, b in chunks(pdf["text"].str.len().tolist(), CHUNK):
                 held = pdf.iloc[a:b] if last is None else pd.concat([last, pdf.iloc[a:b]], ignore_index=True)
                 if len(held) > 1:
                     yield some(held.reset_index(drop=True))
