@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import fingerprints, mixing, sentencepiece_bpe, simhash
+from paritas.llm import fingerprints, mixing, sentencepiece_bpe, simhash, substrings
 from paritas.llm.common import read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -33,6 +33,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the 50-byte strings that documents of smaller id have."""
+    return substrings.deduplicated(read(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and its edited text, and their likeness."""
     return fingerprints.edits(read(spark, sf_dir, "documents"))
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_simhash": op3_simhash,
     "op6_mixing": op6_mixing,
+    "op9_substrings": op9_substrings,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {}
