@@ -169,34 +169,35 @@ def window_classes(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
     return string, classes[at]
 
 
-def first_documents(hashes: np.ndarray, docs: np.ndarray, strings: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each string the smallest of docs that has each of its windows, among strings of the same hash."""
-    order = sorted(range(len(strings)), key=lambda i: (hashes[i], strings[i]))
-    h = hashes[order]
-    new = np.concatenate([[True], [h[i] != h[i - 1] or strings[order[i]] != strings[order[i - 1]] for i in range(1, len(order))]]).astype(bool)
-    heads = np.flatnonzero(new)
-    distinct = [strings[order[i]] for i in heads]
-    least = np.minimum.reduceat(docs[order], heads)
-    group = np.flatnonzero(np.concatenate([[True], h[heads][1:] != h[heads][:-1]]))
-    count = np.diff(np.append(group, len(heads)))
-    out: list[np.ndarray] = [np.full(len(s) - length + 1, d) for s, d in zip(distinct, least.tolist(), strict=True)]
-    several = group[count > 1].tolist()
-    ends = (group + count)[count > 1].tolist()
-    weight = [sum(len(distinct[i]) for i in range(a, b)) for a, b in zip(several, ends, strict=True)]
-    for x, y in chunks(weight, ORDERED):
-        members = [i for a, b in zip(several[x:y], ends[x:y], strict=True) for i in range(a, b)]
-        string, cls = window_classes([distinct[i] for i in members], length)
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of range(start, start + size) for each pair, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
+def first_documents(hashes: np.ndarray, docs: np.ndarray, strings: list[bytes], length: int = LENGTH) -> np.ndarray:
+    """For each window of each string, in order, the smallest of docs that has it, among strings of the same hash."""
+    seen: dict[tuple[int, bytes], int] = {}
+    which = np.array([seen.setdefault(k, len(seen)) for k in zip(hashes.tolist(), strings, strict=True)], dtype=np.int64)
+    distinct = [raw for _, raw in seen]
+    least = np.full(len(distinct), LAST)
+    np.minimum.at(least, which, docs)
+    size = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) - length + 1
+    start = np.cumsum(size) - size
+    flat = np.repeat(least, size)
+    # Of an anchor with one region all windows are this region's; several regions can share windows.
+    _, group, count = np.unique(np.fromiter((h for h, _ in seen), dtype=np.uint64, count=len(seen)), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[group] > 1)
+    several = several[np.argsort(group[several], kind="stable")]
+    edges = np.flatnonzero(np.concatenate([[True], group[several][1:] != group[several][:-1], [True]])) if len(several) else np.zeros(1, np.int64)
+    total = np.concatenate([[0], np.cumsum(size[several] + length - 1)])
+    for x, y in chunks(np.diff(total[edges]).tolist(), ORDERED):
+        members = several[edges[x] : edges[y]]
+        string, cls = window_classes([distinct[i] for i in members.tolist()], length)
         small = np.full(int(cls.max()) + 1, LAST)
         np.minimum.at(small, cls, least[members][string])
-        answer = small[cls]
-        stops = np.cumsum([len(distinct[i]) - length + 1 for i in members])
-        for i, a, b in zip(members, np.concatenate([[0], stops[:-1]]).tolist(), stops.tolist(), strict=True):
-            out[i] = answer[a:b]
-    which = np.cumsum(new) - 1
-    result: list[np.ndarray] = [None] * len(strings)  # type: ignore[list-item]
-    for i, w in zip(order, which.tolist(), strict=True):
-        result[i] = out[w]
-    return result
+        flat[_ranges(start[members], size[members])] = small[cls]
+    return flat[_ranges(start[which], size[which])]
 
 
 # -- the passes -----------------------------------------------------------------------------------------------------
@@ -224,7 +225,7 @@ def _store(docs: DataFrame, buckets: int) -> DataFrame:
                     rows.append((d, _squeeze(b"".join(mine), ids, np.array([len(r) for r in raws], dtype=np.int64), b"".join(raws))))
                 yield pd.DataFrame(rows, columns=["d", "data"])
 
-    return docs.mapInPandas(run, "d int, data binary").repartition(buckets, "d")
+    return docs.mapInPandas(run, "d int, data binary")
 
 
 def _texts(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, list[bytes]]:
@@ -259,41 +260,34 @@ def _runs(texts: list[bytes], length: int) -> Iterator[tuple[int, tuple[np.ndarr
 def _regions(texts: list[bytes], docs: np.ndarray, shared: np.ndarray, crowded: np.ndarray, length: int):
     """The distinct regions of a bucket's texts under shared anchors, and each one's places.
 
-    (hash, doc, bytes) by region, ordered; and (region, text, start, windows) by place.
+    (hash, doc, bytes) by region, ordered; and (region, text, start, windows) by place, by text.
     """
     seen: dict[tuple[int, bytes], int] = {}
-    hashes, least, strings = [], [], []
-    place_region, place_text, place_start, place_windows = [], [], [], []
-
-    def put(h: int, raw: bytes, t: int, s: int, w: int) -> None:
-        i = seen.get((h, raw))
-        if i is None:
-            i = seen[h, raw] = len(strings)
-            hashes.append(h)
-            least.append(docs[t])
-            strings.append(raw)
-        elif docs[t] < least[i]:
-            least[i] = docs[t]
-        place_region.append(i)
-        place_text.append(t)
-        place_start.append(s)
-        place_windows.append(w)
-
+    places = []
     for base, (text, start, windows, h) in _runs(texts, length):
         if not len(shared):
             break
         at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
-        use = np.flatnonzero(shared[at] == h)
-        crowd = crowded[at[use]]
-        for t, s, w, x, c in zip((text[use] + base).tolist(), start[use].tolist(), windows[use].tolist(), h[use].tolist(), crowd.tolist(), strict=True):
-            if not c:
-                put(x, texts[t][s : s + w + length - 1], t, s, w)
-            else:
-                for i in range(s, s + w):
-                    raw = texts[t][i : i + length]
-                    put(int.from_bytes(hashlib.blake2b(raw, digest_size=6).digest(), "little"), raw, t, i, 1)
-    ints = lambda x: np.array(x, dtype=np.int64)
-    return np.array(hashes, dtype=np.uint64), ints(least), strings, ints(place_region), ints(place_text), ints(place_start), ints(place_windows)
+        use = shared[at] == h
+        crowd = use & crowded[at]
+        use &= ~crowd
+        text = text + base
+        named = [(x, texts[t][s:e]) for x, t, s, e in zip(h[use].tolist(), text[use].tolist(), start[use].tolist(), (start + windows + length - 1)[use].tolist(), strict=True)]
+        t, s, w = text[use], start[use], windows[use]
+        if crowd.any():  # each window by itself, under its own hash
+            many = np.repeat(text[crowd], windows[crowd])
+            each = _ranges(start[crowd], windows[crowd])
+            raws = [texts[i][j : j + length] for i, j in zip(many.tolist(), each.tolist(), strict=True)]
+            named += [(int.from_bytes(hashlib.blake2b(r, digest_size=6).digest(), "little"), r) for r in raws]
+            t, s, w = np.concatenate([t, many]), np.concatenate([s, each]), np.concatenate([w, np.ones(len(each), dtype=np.int64)])
+        region = np.array([seen.setdefault(k, len(seen)) for k in named], dtype=np.int64)
+        order = np.argsort(t, kind="stable")
+        places.append((region[order], t[order], s[order], w[order]))
+    region, text, start, windows = (np.concatenate(x) for x in zip(*places, strict=True)) if places else (np.zeros(0, dtype=np.int64),) * 4
+    least = np.full(len(seen), LAST)
+    np.minimum.at(least, region, docs[text])
+    hashes = np.fromiter((h for h, _ in seen), dtype=np.uint64, count=len(seen))
+    return hashes, least, [raw for _, raw in seen], region, text, start, windows
 
 
 def _shared_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +304,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, buckets:
     left without the bytes that length-byte strings cover which a document of smaller id has too.
     """
     n = buckets or partitions(docs.sparkSession)
-    store = cut(_store(docs, n))
+    store = _store(docs, n)
 
     def tell(pdf: pd.DataFrame) -> pd.DataFrame:
         """What anchors the bucket has, and how many of its texts have each."""
@@ -361,11 +355,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, buckets:
             hashes.append(_from_six(six))
             least.append(np.frombuffer(ids, np.int64))
             strings += [raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-            counts.append(len(sizes))
+            counts.append(int((sizes - length + 1).sum()))
         answer = first_documents(np.concatenate(hashes), np.concatenate(least), strings, length)
         rows, at = [], 0
         for d, c in zip(pdf["d"].tolist(), counts, strict=True):
-            flat = np.concatenate(answer[at : at + c])
+            flat = answer[at : at + c]
             head = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
             rows.append((d, int(pdf["b"].iloc[0]), 1, _squeeze(flat[head], np.diff(np.append(head, len(flat))).astype(np.uint32))))
             at += c
@@ -380,29 +374,32 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, buckets:
         told = answers[answers["kind"] == 0]["data"].tolist()
         hashes, _, strings, region, text, start, windows = _regions(texts, ids, *_shared_of(told), length)
         found = {b: _unsqueeze(x) for b, k, x in zip(answers["b"], answers["kind"], answers["data"], strict=True) if k == 1}
-        first: list[np.ndarray] = [np.zeros(0, np.int64)] * len(strings)
+        size = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) - length + 1
+        at = np.cumsum(size) - size
+        first = np.zeros(int(size.sum()), dtype=np.int64)
         for b, i in _by_bucket(hashes, n):
             values, counts = found[b]
-            flat = np.repeat(np.frombuffer(values, np.int64), np.frombuffer(counts, np.uint32))
-            size = np.array([len(strings[j]) - length + 1 for j in i])
-            stops = np.cumsum(size)
-            for j, e, s in zip(i.tolist(), stops.tolist(), size.tolist(), strict=True):
-                first[j] = flat[e - s : e]
-        order = np.argsort(text, kind="stable")
-        edges = np.searchsorted(text[order], np.arange(len(texts) + 1))
+            first[_ranges(at[i], size[i])] = np.repeat(np.frombuffer(values, np.int64), np.frombuffer(counts, np.uint32))
         rows = []
-        for t, raw in enumerate(texts):
-            here = order[edges[t] : edges[t + 1]]
-            cover = np.zeros(len(raw) + 1, dtype=np.int32)
-            for p in here.tolist():
-                s = int(start[p])
-                hit = np.flatnonzero(first[int(region[p])] < ids[t])
-                np.add.at(cover, s + hit, 1)
-                np.add.at(cover, s + hit + length, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and bool(gone[0])))
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            rows.append((keys[t], int(ids[t]), len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        edges = np.searchsorted(text, np.arange(len(texts) + 1))
+        for x, y in chunks([len(t) for t in texts], FLAT):
+            lengths = np.fromiter(map(len, texts[x:y]), dtype=np.int64, count=y - x)
+            offset = np.cumsum(lengths) - lengths
+            data = np.frombuffer(b"".join(texts[x:y]), dtype=np.uint8)
+            here = slice(edges[x], edges[y])
+            hit = first[_ranges(at[region[here]], windows[here])] < np.repeat(ids[text[here]], windows[here])
+            starts = _ranges(offset[text[here] - x] + start[here], windows[here])[hit]
+            # A byte goes if one of the length windows that hold it was hit; windows stay within their text.
+            many = np.zeros(len(data) + 1, dtype=np.int64)
+            many[starts + 1] = 1
+            many = np.cumsum(many)
+            gone = many[1:] > many[np.maximum(np.arange(len(data)) - length + 1, 0)]
+            for t, o, m in zip(range(x, y), offset.tolist(), lengths.tolist(), strict=True):
+                out = gone[o : o + m]
+                spans = int(np.count_nonzero(out[1:] & ~out[:-1]) + (m > 0 and bool(out[0])))
+                removed = int(np.count_nonzero(out))
+                kept = data[o : o + m][~out].tobytes() if removed else texts[t]
+                rows.append((keys[t], int(ids[t]), m, removed, spans, hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(rows, columns=["key", "doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = "key binary, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
