@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import fingerprints, mixing, sentencepiece_bpe, simhash, substrings
+from paritas.llm import fingerprints, mixing, sentencepiece_bpe, simhash, substrings, toxicity
 from paritas.llm.common import read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -28,6 +28,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every whole text, learned from the labels outside a held-out fold."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix with weights 1, 2, 3 takes."""
     return mixing.mixed(read(spark, sf_dir, "documents"))
@@ -46,6 +52,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_simhash": op3_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op9_substrings": op9_substrings,
     "op10_fingerprints": op10_fingerprints,
