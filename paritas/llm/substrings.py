@@ -29,7 +29,7 @@ LENGTH, GRAM = 50, 16
 #: Texts that share an anchor from which its windows are spread by their own hashes.
 CROWD = 20_000
 #: Bytes whose windows are named at a time, and of regions whose suffixes are ordered at a time.
-FLAT, ORDERED = 1 << 20, 1 << 20
+FLAT, ORDERED = 1 << 20, 1 << 17
 LAST = np.iinfo(np.int64).max
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
