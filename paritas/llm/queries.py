@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paritas.llm import fingerprints, mixing, sentencepiece_bpe, simhash, substrings, toxicity
+from paritas.llm import fingerprints, lines, mixing, sentencepiece_bpe, simhash, substrings, toxicity
 from paritas.llm.common import read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -23,6 +24,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(read(spark, sf_dir, "documents"), sentencepiece_bpe.model_bytes(tokenizer_path(PIECE_MODEL)))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without lines that repeat, or come within two edits of, a line of an earlier place."""
+    out = lines.deduplicated(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every whole text, and the component of fingerprints within 4 bits."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -51,6 +58,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
