@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritas.llm import fingerprints, lines, mixing, sentencepiece_bpe, simhash, substrings, toxicity
+from paritas.llm import fingerprints, langid, lines, mixing, sentencepiece_bpe, simhash, substrings, toxicity
 from paritas.llm.common import read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -46,6 +46,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, by all its evidence, and of every document, by its text and source; one id is null."""
+    docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
+    model = langid.learn(docs)
+    none = F.lit(None).cast("long")
+    of_docs = langid.fused(langid.documents_evidence(docs), model, "doc_id").withColumn("page_id", none)
+    return of_docs.unionByName(langid.fused(langid.pages_evidence(pages), model, "page_id").withColumn("doc_id", none))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text without the 50-byte strings that documents of smaller id have."""
     return substrings.deduplicated(read(spark, sf_dir, "documents"))
@@ -62,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op8_language_id": op8_language_id,
     "op9_substrings": op9_substrings,
     "op10_fingerprints": op10_fingerprints,
 }
