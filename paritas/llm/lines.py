@@ -54,15 +54,15 @@ def _common(a: Column, b: Column, most: Column, at_end: bool) -> Column:
 def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     """The pairs whose texts a and b are within edits edits, whose lengths differ by no more."""
     m0 = F.least(F.length(a), F.length(b))
-    df = pairs.withColumn("_head", _common(F.col(a), F.col(b), m0, False))
-    df = df.withColumn("_tail", _common(F.col(a), F.col(b), m0 - F.col("_head"), True))
-    for s, name in ((a, "_x"), (b, "_y")):
-        df = df.withColumn(name, F.substring(F.col(s), F.col("_head") + 1, F.length(s) - F.col("_head") - F.col("_tail")))
+    df = _once(pairs, _m=m0)
+    df = _once(df, _head=_common(F.col(a), F.col(b), F.col("_m"), False))
+    df = _once(df, _tail=_common(F.col(a), F.col(b), F.col("_m") - F.col("_head"), True))
+    df = _once(df, **{name: F.substring(F.col(s), F.col("_head") + 1, F.length(s) - F.col("_head") - F.col("_tail")) for s, name in ((a, "_x"), (b, "_y"))})
     width = 2 * edits + 1
     mask = (1 << width) - 1
     pad = F.array(*[F.lit("")] * edits)
     chars = lambda c: F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(F.col(c), ""))
-    df = df.withColumn("_p", F.concat(pad, chars("_x"), pad, pad)).withColumn("_t", chars("_y"))
+    df = _once(df, _p=F.concat(pad, chars("_x"), pad, pad), _t=chars("_y"))
     start = F.struct(F.lit(0).alias("j"), F.lit(mask & ~((1 << edits) - 1)).alias("vp"), F.lit((1 << edits) - 1).alias("vn"), F.lit(edits).alias("d"))
 
     def column(state: Column, t: Column) -> Column:
@@ -77,13 +77,13 @@ def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
         return F.when(state["d"] > 3 * edits, state).otherwise(F.get(moved, F.lit(0)))
 
     last = F.aggregate(F.col("_t"), start, column)
-    df = df.withColumn("_s", last)
+    df = _once(df, _s=last)
     # From the band's lowest cell of the last column up to the pattern's last row.
     m, n = F.length("_x"), F.length("_y")
     rows = F.lit((1 << (2 * edits)) - 1).bitwiseAND(F.bitwise_not(F.expr(f"shiftleft(1, greatest(0, length(_x) - length(_y) + {edits})) - 1")))
     up = F.bit_count(F.col("_s.vp").bitwiseAND(rows)) - F.bit_count(F.col("_s.vn").bitwiseAND(rows))
     distance = F.when(F.greatest(m, n) <= edits, F.lit(0)).when(F.col("_s.d") > 3 * edits, F.lit(edits + 1)).otherwise(F.col("_s.d") - up)
-    return df.where(distance <= edits).drop("_head", "_tail", "_x", "_y", "_p", "_t", "_s")
+    return df.where(distance <= edits).drop("_m", "_head", "_tail", "_x", "_y", "_p", "_t", "_s")
 
 
 def _moved(d0: Column, j: Column, vp: Column, vn: Column, d: Column, width: int, mask: int) -> Column:
@@ -109,38 +109,42 @@ def _places(edits: int, delta: int) -> list[tuple[int, int]]:
     return out
 
 
-def _entry(before: Column | None, text: Column, n: Column, i: int, shift: int, delta: int, edits: int, rest: bool) -> Column:
-    """The key of segment i of lines of length n, read at shift from its place, and what is left of the text around it."""
-    start, stop = F.floor(n * (i - 1) / (edits + 1)).cast("int"), F.floor(n * i / (edits + 1)).cast("int")
-    at, size = start + 1 + shift, stop - start
-    parts = [F.lit(i), n, F.substring(text, at, size)]
-    key = F.xxhash64(*([before] if before is not None else []), *parts)
-    fields = [key.alias("key")]
+def _entry(text: str, i: int, shift: int, delta: int, edits: int, key: bool, rest: bool) -> str:
+    """SQL of the key of segment i of texts delta shorter than this of n characters, read at shift from its place there;
+    with rest, also what is left of the text around it. Null where the text has no such place.
+    """
+    start, stop = (f"int((n - {delta}) * {k} div {edits + 1})" for k in (i - 1, i))
+    at, size = f"({start} + {1 + shift})", f"({stop} - {start})"
+    made = f"xxhash64({'key, ' * key}{i}, n - {delta}, substring({text}, {at}, {size}))"
     if rest:
-        fields += [F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + size, F.length(text))).alias("rest"), F.lit(delta).alias("delta")]
-    entry = F.struct(*fields)
-    return F.when((at >= 1) & (at + size - 1 <= F.length(text)), entry)
+        made = f"named_struct('key', {made}, 'rest', concat(substring({text}, 1, {at} - 1), substring({text}, {at} + {size}, n)), 'delta', {delta})"
+    return made if shift == 0 else f"CASE WHEN {at} >= 1 AND {at} + {size} - 1 <= n THEN {made} END"
+
+
+def _exploded(df: DataFrame, entries: Sequence[str], rest: bool) -> DataFrame:
+    every = df.select("h", F.explode(F.expr(f"array({', '.join(entries)})")).alias("e")).where("e is not null")
+    return every.select("h", "e.*") if rest else every.select("h", F.col("e").alias("key"))
 
 
-def _exploded(df: DataFrame, entries: Sequence[Column], keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep, F.explode(F.array_compact(F.array(*entries))).alias("_e")).select(*keep, "_e.*")
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: a generator, through which the optimizer moves no expression."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _first_level(texts: DataFrame, edits: int, rest: bool) -> tuple[DataFrame, DataFrame]:
     """Indexed segments and probes of lines (h, line)."""
-    n, line = F.length("line"), F.col("line")
-    index = [_entry(None, line, n, i, 0, 0, edits, rest) for i in range(1, edits + 2)]
-    probe = [_entry(None, line, n - delta, i, s, delta, edits, rest) for delta in range(edits + 1) for i, s in _places(edits, delta)]
-    return _exploded(texts, index, ["h"]), _exploded(texts, probe, ["h"])
+    known = _once(texts, n=F.length("line"))
+    index = [_entry("line", i, 0, 0, edits, False, rest) for i in range(1, edits + 2)]
+    probe = [_entry("line", i, s, delta, edits, False, rest) for delta in range(edits + 1) for i, s in _places(edits, delta)]
+    return _exploded(known, index, rest), _exploded(known, probe, rest)
 
 
 def _next_level(index: DataFrame, probe: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     """The same of what is left, under the key so far. A probe's rest is longer than its partner's by delta."""
-    rest, n = F.col("rest"), F.length("rest")
-    key = F.col("key")
-    more = [_entry(key, rest, n, i, 0, 0, edits, True) for i in range(1, edits + 2)]
-    asked = [F.when(F.col("delta") == d, _entry(key, rest, n - d, i, s, d, edits, True)) for d in range(edits + 1) for i, s in _places(edits, d)]
-    return _exploded(index, more, ["h"]), _exploded(probe, asked, ["h"])
+    known = [_once(x, n=F.length("rest")) for x in (index, probe)]
+    more = [_entry("rest", i, 0, 0, edits, True, True) for i in range(1, edits + 2)]
+    asked = [f"CASE WHEN delta = {d} THEN {_entry('rest', i, s, d, edits, True, True)} END" for d in range(edits + 1) for i, s in _places(edits, d)]
+    return _exploded(known[0], more, True), _exploded(known[1], asked, True)
 
 
 def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
