@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritas.llm import fingerprints, langid, lines, mixing, sentencepiece_bpe, simhash, substrings, toxicity
+from paritas.llm import fingerprints, langid, lattice, lines, mixing, sentencepiece_bpe, simhash, substrings, toxicity
 from paritas.llm.common import read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -46,6 +46,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    return lattice.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every page, by all its evidence, and of every document, by its text and source; one id is null."""
     docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_language_id": op8_language_id,
     "op9_substrings": op9_substrings,
     "op10_fingerprints": op10_fingerprints,
