@@ -9,6 +9,7 @@ network; slots and blocks are joined by index.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,3 +184,41 @@ def mixed(docs: DataFrame, column: str = "text") -> DataFrame:
     some = rows.join(sums, ["s", "first"], "left")
     taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return some.select("doc_id", "size", of["size"].cast("long").alias("source_size"), of["target"].alias("target"), taken.alias("taken"), "source")
+
+
+def texts(docs: DataFrame, column: str = "text") -> DataFrame:
+    """docs as the mix takes them: a row for each document and epoch whose slots take words of it, with these words.
+
+    A document that an epoch takes whole keeps its text; of others the runs of taken words stay, as they stand between
+    their first and last word, joined by a space. Documents without words do not come. A row's columns stay.
+    """
+    docs = docs.withColumn("_row", F.xxhash64(F.lit(SEED), "doc_id", column))
+    got, _, _ = pieces(docs.withColumn("doc_id", F.struct("doc_id", "_row")), column)
+    at = got.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._row").alias("_row"), "epoch", "size", (F.col("a") - F.col("first")).alias("a"), (F.col("b") - F.col("first")).alias("b"))
+    spans = F.sort_array(F.collect_set(F.struct("a", "b")))
+    runs = at.groupBy("_id", "_row", "size", "epoch").agg(spans.alias("spans"), F.sum(F.col("b") - F.col("a")).alias("_taken"))
+    each = runs.groupBy("_id", "_row", "size").agg(F.collect_list(F.struct("epoch", "spans", (F.col("_taken") >= F.col("size")).alias("whole"))).alias("_epochs"))
+    both = docs.join(each, docs["doc_id"].eqNullSafe(each["_id"]) & (docs["_row"] == each["_row"])).drop("_id", "_row", "size")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("_row").schema)
+    word = re.compile("[^\\x20\\x09-\\x0D]+")
+
+    def cut_out(text: str, spans: list) -> str:
+        ends = [m.span() for m in word.finditer(text)]
+        out: list[list[int]] = []
+        for s in spans:
+            a, b = int(s["a"]), int(s["b"])
+            if out and out[-1][1] == a:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+        return " ".join(text[ends[a][0] : ends[b - 1][1]] for a, b in out)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for row, epochs in zip(pdf.drop(columns="_epochs").to_dict("records"), pdf["_epochs"], strict=True):
+                for e in sorted(epochs, key=lambda e: e["epoch"]):
+                    rows.append(row if e["whole"] else row | {column: cut_out(row[column], list(e["spans"]))})
+            yield pd.DataFrame(rows, columns=[c for c in pdf.columns if c != "_epochs"])
+
+    return both.mapInPandas(run, schema)
