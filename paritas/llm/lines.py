@@ -1,13 +1,13 @@
 """Line deduplication over all documents, exact and within a few edits, in DataFrame operations only.
 
-Lines of LEAST characters or more take part. Of equal lines the first is kept, in order of doc_id and place; a line within
+Lines of LEAST bytes or more take part. Of equal lines the first is kept, in order of doc_id and place; a line within
 EDITS edits of one that comes first earlier goes too, with all its copies.
 
 Near lines are found by a segment-partition join: a line is cut into EDITS + 1 segments, one of which stands unedited in
 any line within EDITS edits. Segments are indexed by length and number, and every line probes, for each length that a
-partner can have, the few substrings where its segment can be. Keys that many lines share are refined by the segments of
-what is left of the line, again and again, so that no group meets all with all. What meets is verified: common ends are
-taken off, and a banded bit-parallel recurrence gives the edit distance of the rest.
+partner can have, the few substrings where its segment can be. Under a key that many lines share, only lines meet whose letters' counts differ by no
+more than the edits allow. What meets is verified: common ends are taken off, and a banded bit-parallel recurrence gives the
+edit distance of the rest. Lengths and edits are in bytes of UTF-8, which a scan can cut without counting characters.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from paritas.llm.common import cut
 
 LEAST, EDITS = 32, 2
-#: Lines that share a key before it is refined, and how often that is done at most.
-CROWD, LEVELS = 40, 6
+#: Lines that share a key before letters are compared, and these letters.
+CROWD, LETTERS = 40, "eatoinshrdlucmpg "
 #: Rows of two or three numbers that may be broadcast; with more, the same join shuffles.
 FEW = 2_000_000
 
@@ -35,7 +35,7 @@ def sized(df: DataFrame) -> DataFrame:
 def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, no, line, h, g): the lines that take part, numbered from 0 in their document, with a hash of 128 bits."""
     rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.col("text"), "\n")).alias("no", "line"))
-    return rows.where(F.length("line") >= least).select("doc", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    return rows.where(F.octet_length("line") >= least).select("doc", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 # -- edit distance ----------------------------------------------------------------------------------------------------
@@ -52,9 +52,11 @@ def _common(a: Column, b: Column, most: Column, at_end: bool) -> Column:
 
 
 def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
-    """The pairs whose texts a and b are within edits edits, whose lengths differ by no more."""
-    m0 = F.least(F.length(a), F.length(b))
-    df = _once(pairs, _m=m0)
+    """The pairs whose texts a and b are within edits edits of bytes."""
+    # A byte each as a character, so that positions count bytes.
+    df = _once(pairs, _a=F.decode(F.col(a).cast("binary"), "ISO-8859-1"), _b=F.decode(F.col(b).cast("binary"), "ISO-8859-1"))
+    a, b = "_a", "_b"
+    df = _once(df.where(F.abs(F.length(a) - F.length(b)) <= edits), _m=F.least(F.length(a), F.length(b)))
     df = _once(df, _head=_common(F.col(a), F.col(b), F.col("_m"), False))
     df = _once(df, _tail=_common(F.col(a), F.col(b), F.col("_m") - F.col("_head"), True))
     df = _once(df, **{name: F.substring(F.col(s), F.col("_head") + 1, F.length(s) - F.col("_head") - F.col("_tail")) for s, name in ((a, "_x"), (b, "_y"))})
@@ -83,7 +85,7 @@ def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     rows = F.lit((1 << (2 * edits)) - 1).bitwiseAND(F.bitwise_not(F.expr(f"shiftleft(1, greatest(0, length(_x) - length(_y) + {edits})) - 1")))
     up = F.bit_count(F.col("_s.vp").bitwiseAND(rows)) - F.bit_count(F.col("_s.vn").bitwiseAND(rows))
     distance = F.when(F.greatest(m, n) <= edits, F.lit(0)).when(F.col("_s.d") > 3 * edits, F.lit(edits + 1)).otherwise(F.col("_s.d") - up)
-    return df.where(distance <= edits).drop("_m", "_head", "_tail", "_x", "_y", "_p", "_t", "_s")
+    return df.where(distance <= edits).drop("_a", "_b", "_m", "_head", "_tail", "_x", "_y", "_p", "_t", "_s")
 
 
 def _moved(d0: Column, j: Column, vp: Column, vn: Column, d: Column, width: int, mask: int) -> Column:
@@ -109,69 +111,47 @@ def _places(edits: int, delta: int) -> list[tuple[int, int]]:
     return out
 
 
-def _entry(text: str, i: int, shift: int, delta: int, edits: int, key: bool, rest: bool) -> str:
-    """SQL of the key of segment i of texts delta shorter than this of n characters, read at shift from its place there;
-    with rest, also what is left of the text around it. Null where the text has no such place.
+def _key(i: int, shift: int, delta: int, edits: int) -> str:
+    """SQL of the key of segment i of lines delta shorter than this one, bytes b of length n, read at shift from its place
+    there; null where the line has no such place.
     """
     start, stop = (f"int((n - {delta}) * {k} div {edits + 1})" for k in (i - 1, i))
     at, size = f"({start} + {1 + shift})", f"({stop} - {start})"
-    made = f"xxhash64({'key, ' * key}{i}, n - {delta}, substring({text}, {at}, {size}))"
-    if rest:
-        made = f"named_struct('key', {made}, 'rest', concat(substring({text}, 1, {at} - 1), substring({text}, {at} + {size}, n)), 'delta', {delta})"
+    made = f"xxhash64({i}, n - {delta}, substring(b, {at}, {size}))"
     return made if shift == 0 else f"CASE WHEN {at} >= 1 AND {at} + {size} - 1 <= n THEN {made} END"
 
 
-def _exploded(df: DataFrame, entries: Sequence[str], rest: bool) -> DataFrame:
-    every = df.select("h", F.explode(F.expr(f"array({', '.join(entries)})")).alias("e")).where("e is not null")
-    return every.select("h", "e.*") if rest else every.select("h", F.col("e").alias("key"))
-
-
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once a row: a generator, through which the optimizer moves no expression."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _first_level(texts: DataFrame, edits: int, rest: bool) -> tuple[DataFrame, DataFrame]:
-    """Indexed segments and probes of lines (h, line)."""
-    known = _once(texts, n=F.length("line"))
-    index = [_entry("line", i, 0, 0, edits, False, rest) for i in range(1, edits + 2)]
-    probe = [_entry("line", i, s, delta, edits, False, rest) for delta in range(edits + 1) for i, s in _places(edits, delta)]
-    return _exploded(known, index, rest), _exploded(known, probe, rest)
+def keyed(texts: DataFrame, edits: int, keep: Sequence[str], probes: bool) -> DataFrame:
+    """(keep, key): the indexed segments, or the probes, of lines (line)."""
+    known = _once(texts, b=F.col("line").cast("binary"), n=F.octet_length("line"))
+    if probes:
+        keys = [_key(i, s, delta, edits) for delta in range(edits + 1) for i, s in _places(edits, delta)]
+    else:
+        keys = [_key(i, 0, 0, edits) for i in range(1, edits + 2)]
+    return known.select(*keep, F.explode(F.expr(f"array({', '.join(keys)})")).alias("key")).where("key is not null")
 
 
-def _next_level(index: DataFrame, probe: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """The same of what is left, under the key so far. A probe's rest is longer than its partner's by delta."""
-    known = [_once(x, n=F.length("rest")) for x in (index, probe)]
-    more = [_entry("rest", i, 0, 0, edits, True, True) for i in range(1, edits + 2)]
-    asked = [f"CASE WHEN delta = {d} THEN {_entry('rest', i, s, d, edits, True, True)} END" for d in range(edits + 1) for i, s in _places(edits, d)]
-    return _exploded(known[0], more, True), _exploded(known[1], asked, True)
+def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
+    """(a, b): hashes of the distinct lines (h, line) that share a key, each pair once."""
+    count = keyed(texts, edits, [], False).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = sized(count.where(F.col("n") > crowd).select("key", F.lit(True).alias("hot")))
+    letters = F.array(*[(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c)))).cast("int") for c in LETTERS])
 
+    def rows(probes: bool, side: str) -> DataFrame:
+        known = keyed(texts, edits, ["h", "line"], probes).join(hot, "key", "left")
+        return known.select("key", F.col("h").alias(f"{side}_h"), F.when(F.col("hot"), letters).alias(f"{side}_letters"))
 
-def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
-    """(a, b): hashes of the distinct lines (h, line) that share a key, the longer or equal line first, each pair once."""
-    index, probe = _first_level(texts, edits, False)
-    crowded = lambda i: sized(i.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"))
-
-    def met(i: DataFrame, p: DataFrame) -> DataFrame:
-        return i.select("key", F.col("h").alias("b")).join(p.select("key", F.col("h").alias("a")), "key").where("a <> b").select("a", "b")
-
-    hot = crowded(index)
-    found = [met(index.join(hot, "key", "left_anti"), probe)]
-    if hot.limit(1).count():
-        index, probe = (x.join(hot, "key", "left_semi") for x in _first_level(texts, edits, True))
-        for level in range(LEVELS):
-            index, probe = _next_level(index, probe, edits)
-            index, probe = cut(index), cut(probe)
-            hot = crowded(index)
-            if level == LEVELS - 1 or not hot.limit(1).count():
-                found.append(met(index, probe))
-                break
-            found.append(met(index.join(hot, "key", "left_anti"), probe))
-            index, probe = (x.join(hot, "key", "left_semi") for x in (index, probe))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return every.distinct()
+    # An edit changes the count of one letter less and of one more.
+    apart = F.aggregate(F.zip_with("i_letters", "p_letters", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    near = F.col("i_letters").isNull() | (apart <= 2 * edits)
+    i, p = rows(False, "i").withColumnRenamed("key", "k"), rows(True, "p")
+    both = i.join(p, (F.col("k") == F.col("key")) & (F.col("i_h") != F.col("p_h")) & near)
+    return both.select(F.col("p_h").alias("a"), F.col("i_h").alias("b")).distinct()
 
 
 # -- documents --------------------------------------------------------------------------------------------------------
@@ -189,7 +169,7 @@ def removals(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFra
     held = cut(texts.join(wanted, "h", "left_semi").select("h", "g", "line", F.struct("doc", "no").alias("at")))
     side = lambda s: held.select(*[F.col(c).alias(f"{s}_{c}") for c in held.columns])
     both = pairs.join(side("x"), F.col("a") == F.col("x_h")).join(side("y"), F.col("b") == F.col("y_h"))
-    near = within(both.where(F.abs(F.length("x_line") - F.length("y_line")) <= edits), "x_line", "y_line", edits)
+    near = within(both, "x_line", "y_line", edits)
     later = lambda s: F.when(F.col("x_at") > F.col("y_at"), F.col(f"x_{s}")).otherwise(F.col(f"y_{s}"))
     late = sized(near.select(later("h").alias("h"), later("g").alias("g")).distinct().withColumn("near", F.lit(True)))
     marked = named.join(repeated, ["h", "g"], "left").join(late, ["h", "g"], "left")
