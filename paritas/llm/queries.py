@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritas.llm import fingerprints, langid, lattice, lines, mixing, sentencepiece_bpe, simhash, substrings, toxicity
+from paritas.llm import fingerprints, langid, language_model, lattice, lines, mixing, sentencepiece_bpe, simhash, substrings, toxicity
 from paritas.llm.common import read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -35,6 +35,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text under a model of the training rows, and under their word counts alone."""
+    return language_model.scores(read(spark, sf_dir, "documents"), sentencepiece_bpe.model_bytes(tokenizer_path(PIECE_MODEL)))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every whole text, learned from the labels outside a held-out fold."""
     docs = read(spark, sf_dir, "documents")
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
+    "op4_language_model": op4_language_model,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_embedding_dedup": op7_embedding_dedup,
