@@ -95,27 +95,31 @@ def normalized(df: DataFrame, columns: Sequence[str], rules: Rules | None = None
 def _one_to_one(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str], equal: Mapping[str, Equal], validate: bool = False) -> DataFrame:
     """Differences where rows pair one to one, and all rows of other keys as missing.
 
-    Counts by key ride on a window over the keys, whose partitioning the join then uses. A hot repeated key is one task's
-    work there, as for every window; its rows are neither gathered nor multiplied.
+    Both sides' rows move once, to a window over the keys in which a source row finds its partner next to it: no join, and
+    repeated keys are counted on the way. A hot repeated key is one task's work, as for every window, but spills.
     """
-    window = Window.partitionBy(*[f"k{i}" for i in range(len(keys))])
+    names = [f"k{i}" for i in range(len(keys))]
 
-    def counted(df: DataFrame, side: str) -> DataFrame:
-        named = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *columns)
-        out = named.withColumn("rows", F.count(F.lit(1)).over(window))
-        return out.select(*[F.col(f"k{i}").alias(f"{side}k{i}") for i in range(len(keys))], *[F.col(c).alias(f"{side}c{i}") for i, c in enumerate(columns)], F.col("rows").alias(f"{side}rows"), F.lit(True).alias(f"{side}here"))
+    def sided(df: DataFrame, side: int) -> DataFrame:
+        return df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.struct(F.lit(side).alias("side"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), F.lit(side).alias("side"))
 
-    s, t = counted(source, "s"), counted(target, "t")
-    rows_of_t = t.groupBy(*[f"tk{i}" for i in range(len(keys))]).agg(F.first("trows").alias("rows"))
-    rows_of_s = s.groupBy(*[f"sk{i}" for i in range(len(keys))]).agg(F.first("srows").alias("rows"))
+    together = sided(source, 0).unionByName(sided(target, 1))
+    ordered = Window.partitionBy(*names).orderBy("side")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = together.select("*", F.count_if(F.col("side") == 0).over(whole).alias("n0"), F.count_if(F.col("side") == 1).over(whole).alias("n1"), F.lead("row").over(ordered).alias("next"))
+    known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
     if validate:
-        both = rows_of_s.join(rows_of_t.withColumnRenamed("rows", "trows"), _on(keys), "inner").where("rows > 1 or trows > 1")
-        if (bad := both.limit(1).collect()):
-            raise ValueError(f"a key is repeated: {', '.join(map(str, bad[0][: len(keys)]))}")
-    joined = s.where("srows = 1").join(t.where("trows = 1"), _on(keys), "full_outer")
-    # A single row whose partner is repeated is unmatched here already; the rows of repeated keys follow.
-    rest = s.where("srows > 1").unionByName(t.where("trows > 1"), allowMissingColumns=True)
-    return _classified(joined.unionByName(rest), keys, columns, equal)
+        bad = counted.where(known & (F.col("n0") > 0) & (F.col("n1") > 0) & (F.col("n0") + F.col("n1") > 2)).select(*names).limit(1).collect()
+        if bad:
+            raise ValueError(f"a key is repeated: {', '.join(map(str, bad[0]))}")
+    paired = known & (F.col("n0") == 1) & (F.col("n1") == 1)
+    rows = counted.where(~(paired & (F.col("side") == 1)))
+    mine = F.when(F.col("side") == 0, F.col("row"))
+    theirs = F.when(paired, F.col("next")).when(F.col("side") == 1, F.col("row"))
+    joined = rows.select(*[F.col(n).alias(f"s{n}") for n in names], *[F.col(n).alias(f"t{n}") for n in names], mine.alias("mine"), theirs.alias("theirs"))
+    flat_ = [F.col(f"{x}.c{i}").alias(f"{y}c{i}") for x, y in (("mine", "s"), ("theirs", "t")) for i in range(len(columns))]
+    here = [F.when(F.col(x).isNotNull(), F.lit(True)).alias(y) for x, y in (("mine", "shere"), ("theirs", "there"))]
+    return _classified(joined.select(*[f"s{n}" for n in names], *[f"t{n}" for n in names], *flat_, *here), keys, columns, equal)
 
 
 def differing_buckets(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int, algorithm: str = "xor") -> DataFrame:
