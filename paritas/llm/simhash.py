@@ -16,21 +16,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritas.llm.common import SPACES, by_text, components, cut, partitions
+from paritas.llm.hashing import mix
 
 WORDS, RADIUS = 4, 4
 #: Distinct fingerprints that a tile is meant to hold, and fingerprints compared at once.
 TILE, BLOCK = 32_768, 256
 SEED = 42
-_BITS = np.arange(63, -1, -1)
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
     """A bit is 1 if it is set in over half of the hashes of the text's shingles; 0 for a text without words."""
+    return fingerprint_pair(text, words, False)[0]
+
+
+def fingerprint_pair(text: str, words: int = WORDS, second: bool = True) -> tuple[int, int]:
+    """The fingerprint, and one of the same shingles under a hash of their hashes, which is independent of it."""
     import xxhash
 
     tokens = [t for t in text.encode().lower().translate(_TO_SPACE).split(b" ") if t]
     if not tokens:
-        return 0
+        return 0, 0
     data = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     end = np.cumsum(lengths + 1) - 1
@@ -38,39 +43,47 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     n = max(1, len(tokens) - words + 1)
     digest = xxhash.xxh64_intdigest
     last = end[words - 1 :].tolist() if len(tokens) >= words else [len(data)]
-    h = np.array([digest(data[a:b], SEED) for a, b in zip(start[:n].tolist(), last, strict=True)], dtype=">u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 65_536):
-        counts += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n).view(">u8")[0])
+    h = np.array([digest(data[a:b], SEED) for a, b in zip(start[:n].tolist(), last, strict=True)], dtype=np.uint64)
+
+    def most(hashes: np.ndarray) -> int:
+        counts = np.zeros(64, dtype=np.int64)
+        for i in range(0, n, 65_536):
+            counts += np.unpackbits(hashes[i : i + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        return int(np.packbits(counts * 2 > n).view(">u8")[0])
+
+    return most(h), most(mix(h)) if second else 0
 
 
 _TO_SPACE = bytes(0x20 if i in SPACES else i for i in range(256))
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every row's whole text as a signed 64-bit number. Null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int = WORDS, second: bool = False, id_column: str = "doc_id", column: str = "text") -> DataFrame:
+    """(id, fp, fp2): the fingerprints of every row's whole text as signed 64-bit numbers; fp2 is 0 unless it is asked for.
+    Null texts count as empty.
+    """
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def some(texts: list[str], pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "fp": fp.view(np.int64)})
+        both = np.array([fingerprint_pair(t, words, second) for t in texts], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"id": pdf["id"].to_numpy(), "fp": both[:, 0], "fp2": both[:, 1]})
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(column).alias("text"))
-    return rows.mapInPandas(by_text(some), f"id {id_type}, fp long")
+    return rows.mapInPandas(by_text(some), f"id {id_type}, fp long, fp2 long")
 
 
 def _parts(fp: np.ndarray) -> np.ndarray:
     """Population counts of the four quarters of each fingerprint."""
-    return np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    return np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of a spanning forest of the pairs of a and b (the same array: each pair once) within radius bits.
+def near_pairs(first: np.ndarray, second: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of a spanning forest of the pairs of rows of first and second (the same array: each pair once) that are within
+    radius bits in either column.
 
     Both are sorted here by quarter counts, so that a block has a narrow range of these; blocks whose ranges lie further
     apart than radius in sum are skipped.
     """
+    a, b = first[:, 0], second[:, 0]
     order_a = np.lexsort(_parts(a).T)
     order_b = order_a if same else np.lexsort(_parts(b).T)
     sa, sb = a[order_a], b[order_b]
@@ -92,6 +105,8 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[n
             if not len(x):
                 continue
             u, v = order_a[x + at], order_b[y + cut_b[j]]
+            also = np.bitwise_count(first[u, 1] ^ second[v, 1]) <= radius
+            u, v = u[also], v[also]
             while True:  # of the links between two classes one is kept, and the classes become one
                 lu, lv = label[u], label[v + shift]
                 new = lu != lv
@@ -114,17 +129,18 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[n
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b): pairs of the distinct fingerprints `fp` within radius bits that join the same components as all such pairs.
+    """(a, b): pairs of nodes of the distinct (node, fp, fp2) whose fingerprints, both of them, are within radius bits, that
+    join the same components as all such pairs.
 
     Beside the tiles, only a histogram of the 65 population counts reaches the driver.
     """
     spark = distinct.sparkSession
-    counted = distinct.select("fp", F.bit_count("fp").alias("ones"))
+    counted = distinct.select("node", "fp", "fp2", F.bit_count("fp").alias("ones"))
     tall = {r["ones"]: max(1, -(-r["n"] // tile)) for r in counted.groupBy("ones").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not tall:
         return spark.createDataFrame([], "a long, b long")
     parts = F.element_at(F.create_map(*[F.lit(x) for kv in tall.items() for x in kv]), F.col("ones"))
-    tiles = counted.withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int")).groupBy("ones", "part").agg(F.collect_list("fp").alias("fps"))
+    tiles = counted.withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int")).groupBy("ones", "part").agg(F.flatten(F.collect_list(F.array("node", "fp", "fp2"))).alias("fps"))
     width = F.create_map(*[F.lit(x) for kv in tall.items() for x in kv])
     # Each tile goes to the pairs that it is part of: with every tile of a count from its own to radius more, and less.
     ones = F.explode(F.filter(F.sequence(F.col("ones") - radius, F.col("ones") + radius), lambda k: F.map_contains_key(width, k))).alias("other")
@@ -139,32 +155,35 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         held: tuple | None = None
         for pdf in batches:
             for p, q, side, fps in zip(pdf["p"], pdf["q"], pdf["side"], pdf["fps"], strict=True):
-                fps = np.asarray(fps, dtype=np.int64).view(np.uint64)
+                rows = np.asarray(fps, dtype=np.int64).reshape(-1, 3)
+                nodes, fps = rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
                 if p == q:
                     x, y = near_pairs(fps, fps, radius, True)
-                    yield pd.DataFrame({"a": fps[x].view(np.int64), "b": fps[y].view(np.int64)})
+                    yield pd.DataFrame({"a": nodes[x], "b": nodes[y]})
                 elif side == 0:
-                    held = (p, q, fps)
+                    held = (p, q, nodes, fps)
                 elif held and held[:2] == (p, q):
-                    x, y = near_pairs(held[2], fps, radius, False)
-                    yield pd.DataFrame({"a": held[2][x].view(np.int64), "b": fps[y].view(np.int64)})
+                    x, y = near_pairs(held[3], fps, radius, False)
+                    yield pd.DataFrame({"a": held[2][x], "b": nodes[y]})
 
     spark_batch = dealt.select("p", "q", "side", "fps")
     return spark_batch.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, second: bool = False) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
     Fingerprints link at radius or fewer differing bits, equal ones included; a component is named by its smallest doc_id.
-    Null and empty texts and texts of spaces have fingerprint zero and link like any other. Rows whose doc_id is null get
-    the component of their fingerprint's other rows, or null. An empty table gives no rows.
+    With second, texts have another fingerprint too, and link only if both do: of two random texts both are near far more
+    rarely, which allows a radius at which looser copies are found. Null and empty texts and texts of spaces have
+    fingerprint zero and link like any other. Rows whose doc_id is null get the component of their fingerprint's other rows,
+    or null. An empty table gives no rows.
     """
-    rows = cut(fingerprints(docs, words))
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(links(distinct.select("fp"), radius))
+    rows = cut(fingerprints(docs, words, second))
+    distinct = rows.groupBy("fp", "fp2").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("fp", "fp2") if second else F.col("fp"))
+    found = components(links(distinct.select("node", "fp", "fp2"), radius))
     # A component's smallest doc_id, over its distinct fingerprints; a lone fingerprint is its own component.
-    named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", "component")
+    named = distinct.join(found, "node", "left").select("fp", "fp2", "least", "component")
     least = named.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
-    by_fp = named.join(least, "component", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    return rows.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = named.join(least, "component", "left").select("fp", "fp2", F.coalesce("first", "least").alias("component_id"))
+    return rows.join(by_fp, ["fp", "fp2"]).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -41,7 +41,7 @@ def test_components_like_brute_force(spark, tile, monkeypatch):
             x ^= 1 << int(f)
         fps.append(x)
     signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
-    links = simhash.links(spark.createDataFrame([(x,) for x in set(signed)], "fp long"), 4, tile).collect()
+    links = simhash.links(spark.createDataFrame([(x, x, 0) for x in set(signed)], "node long, fp long, fp2 long"), 4, tile).collect()
     assert len(links) < 40 * len(fps)
     joined = {x: x for x in signed}
 
@@ -73,3 +73,14 @@ def test_documents(spark):
         i = r.doc_id - 10
         assert (r.fingerprint, r.component_id) == (f"{fps[i]:016x}", want[i] + 10)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_both_fingerprints_must_be_near(spark):
+    rows = [(1, 0, 0), (2, 1, 0), (3, 3, 2**62 - 1), (4, 2**40 - 1, 1)]
+    links = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame(rows, "node long, fp long, fp2 long"), 14).collect()}
+    assert links == {(1, 2)}
+    words = [f"w{i}" for i in range(600)]
+    loose = words[:]
+    loose[100], loose[300], loose[500] = "a", "b", "c"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(loose)), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 14, True).collect()} == {1: 1, 2: 1, 3: 3}
