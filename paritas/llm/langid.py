@@ -67,15 +67,16 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         sums: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                bins = trigrams(text)
                 # Of a text that repeats itself, each trigram counts up to a few times.
-                sums.setdefault(lang, np.zeros(BINS))
-                sums[lang] += np.minimum(np.bincount(bins, minlength=BINS), 20)
-        yield pd.DataFrame([(k, v.astype("<f8").tobytes()) for k, v in sums.items()], columns=["lang", "data"])
+                sums.setdefault(lang, np.zeros(BINS, dtype=np.int64))
+                sums[lang] += np.minimum(np.bincount(trigrams(text), minlength=BINS), 20)
+        for lang, v in sums.items():
+            bins = np.flatnonzero(v)
+            yield pd.DataFrame({"lang": lang, "bin": bins.astype(np.int32), "n": v[bins]})
 
     table = np.full((len(languages), BINS), 0.05)
-    for r in some.mapInPandas(count, "lang string, data binary").toLocalIterator():
-        table[languages.index(r["lang"])] += np.frombuffer(r["data"], "<f8")
+    summed = some.mapInPandas(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    table[[languages.index(x) for x in summed["lang"]], summed["bin"].to_numpy()] += summed["n"].to_numpy()
     table = np.log(table / table.sum(axis=1, keepdims=True))
     model = Model(languages, table, np.zeros(len(languages)), np.ones(len(languages)))
 
