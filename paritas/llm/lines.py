@@ -21,7 +21,7 @@ from paritas.llm.common import cut
 
 LEAST, EDITS = 32, 2
 #: Lines that share a key before letters are compared, and these letters.
-CROWD, LETTERS = 40, "eatoinshrdlucmpg "
+CROWD, LETTERS = 40, "abcdefghijklmnopqrstuvwxyz ,."
 #: Rows of two or three numbers that may be broadcast; with more, the same join shuffles.
 FEW = 2_000_000
 
