@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paritas import cli, config
-from paritas.functions import checksum, normalize
+from paritas.functions import checksum, normalize, types
 from paritas.functions.predicates import checked_filter, key_range, literal, quoted, time_window
 from paritas.operators import analyze, diff, repair, segments
 from paritas.plans.planner import compare
@@ -224,3 +224,11 @@ def test_streaming(spark, tmp_path):
     write = lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")
     watch(changes, lambda: s, lambda: t, ["k"], ["v"], write, f"{tmp_path}/cp", once=True).awaitTermination(60)
     assert sorted((r.operation, r.k) for r in spark.read.parquet(f"{tmp_path}/out/0").collect()) == [("mismatch", 3), ("target_missing", 7)]
+
+
+def test_types_of_other_databases():
+    for text, want in (("VARCHAR(20)", "string"), ("decimal(10,2)", "decimal(10,2)"), ("numeric", "decimal(38,18)"), ("bigint unsigned", "decimal(20,0)"), ("int(11) unsigned zerofill", "bigint"), ("tinyint(1)", "boolean"), ("TIMESTAMP(6) WITH TIME ZONE", "timestamp"), ("datetime", "timestamp_ntz"), ("integer[]", "array<int>"), ("geometry", "string"), ("double  precision", "double"), ("number(5)", "decimal(5,0)"), ("bytea", "binary"), ("character varying(3)", "string")):
+        assert types.from_native(text).simpleString() == want, text
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("a b", T.DecimalType(5, 2)), T.StructField("m", T.MapType(T.StringType(), T.StringType()))])
+    assert types.create_table("t", schema, "postgresql") == 'CREATE TABLE IF NOT EXISTS t ("id" BIGINT NOT NULL, "a b" NUMERIC(5,2), "m" TEXT)'
+    assert types.to_native(T.TimestampNTZType(), "starrocks") == "DATETIME" and types.to_native(T.ByteType(), "nobody") == "SMALLINT"
