@@ -21,7 +21,7 @@ MARK = "▁"
 #: Symbols from which a word is encoded with a queue, as rounds grow with a word's length.
 LONG_WORD = 400
 #: Distinct words whose ids a worker keeps; beyond it the words are forgotten.
-MOST_WORDS = 300_000
+MOST_WORDS = 600_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -259,8 +259,8 @@ def _replace(raw: bytes) -> str:
 class Encoder:
     """Encodes texts, keeping the ids of words that it has met in flat arrays."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+    def __init__(self, pieces: Pieces, decimal: bool = True):
+        self.pieces, self.decimal = pieces, decimal
         self._forget()
 
     def _forget(self) -> None:
@@ -295,16 +295,16 @@ class Encoder:
             return
         flat, size = self.pieces.encode_words([MARK + w for w in new])
         ends = np.cumsum(size)
-        names = list(map(str, flat.tolist()))
-        for w, a, b in zip(new, (ends - size).tolist(), ends.tolist(), strict=True):
-            self.code[w] = len(self.text_of)
-            self.text_of.append(",".join(names[a:b]))
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
+        if self.decimal:
+            names = list(map(str, flat.tolist()))
+            self.text_of += [",".join(names[a:b]) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
         self.start = np.concatenate([self.start, len(self.flat) + ends - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
 
     def ids(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
-        """The ids of each text, and these in decimal, joined by commas."""
+        """The ids of each text, and these in decimal, joined by commas (empty text unless decimals are kept)."""
         split = [self.words(t) for t in texts]
         self.learn(split)
         out = []
@@ -315,7 +315,7 @@ class Encoder:
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
             ids = self.flat[np.arange(total) + np.repeat(self.start[at] - ends + size, size)]
-            out.append((ids, ",".join(map(self.text_of.__getitem__, codes))))
+            out.append((ids, ",".join(map(self.text_of.__getitem__, codes)) if self.decimal else ""))
         return out
 
 
