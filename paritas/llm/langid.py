@@ -30,7 +30,7 @@ FULL, TEMPER = 400, 0.25
 DECLARED, SUFFIXED, PATHED = 2.0, 1.5, 1.0
 HOST_ROWS, DOMAIN_ROWS = 5.0, 20.0
 #: A text is rejected if no language has this probability, or if the surprise of its trigrams is so many deviations above usual.
-CERTAIN, ODD = 0.5, 12.0
+CERTAIN, ODD = 0.5, 20.0
 #: Languages of country suffixes. Fixed values.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh"}
 
