@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words in the contracts: space and the controls from tab to carriage return.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Characters of text that a Python worker holds as words at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +59,13 @@ def chunks(lengths: list[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, i
         yield start, len(lengths)
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system, as idle Python workers would else keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has this
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def by_text(fn: Callable[[list[str], pd.DataFrame], pd.DataFrame], most: int = CHUNK_CHARS, column: str = "text"):
     """A function for mapInPandas that gives fn the texts (null: empty) of a bounded run of rows and the rows."""
 
@@ -64,6 +74,8 @@ def by_text(fn: Callable[[list[str], pd.DataFrame], pd.DataFrame], most: int = C
             texts = [t if isinstance(t, str) else "" for t in pdf[column]]
             for a, b in chunks([len(t) for t in texts], most):
                 yield fn(texts[a:b], pdf.iloc[a:b])
+            del pdf, texts
+            release()
 
     return run
 
@@ -106,6 +118,8 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, np.ndar
             whole = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
             if (out := fn(whole, np.append(starts(whole), len(whole)))) is not None and len(out):
                 yield out
+        del held
+        release()
 
     return df.select(*names).repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paritas.llm.common import partitions
+from paritas.llm.common import partitions, release
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_TIMES = 3.0
@@ -220,5 +220,7 @@ def texts(docs: DataFrame, column: str = "text") -> DataFrame:
                 for e in sorted(epochs, key=lambda e: e["epoch"]):
                     rows.append(row if e["whole"] else row | {column: cut_out(row[column], list(e["spans"]))})
             yield pd.DataFrame(rows, columns=[c for c in pdf.columns if c != "_epochs"])
+            del rows, pdf
+            release()
 
     return both.mapInPandas(run, schema)
