@@ -126,29 +126,33 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def keyed(texts: DataFrame, edits: int, keep: Sequence[str], probes: bool) -> DataFrame:
-    """(keep, key): the indexed segments, or the probes, of lines (line)."""
+def keyed(texts: DataFrame, edits: int, probes: bool) -> DataFrame:
+    """(h, line, keys, key): the keys of the indexed segments, or of the probes, of lines (h, line), one a row and all."""
     known = _once(texts, b=F.col("line").cast("binary"), n=F.octet_length("line"))
     if probes:
         keys = [_key(i, s, delta, edits) for delta in range(edits + 1) for i, s in _places(edits, delta)]
     else:
         keys = [_key(i, 0, 0, edits) for i in range(1, edits + 2)]
-    return known.select(*keep, F.explode(F.expr(f"array({', '.join(keys)})")).alias("key")).where("key is not null")
+    known = _once(known, keys=F.expr(f"array({', '.join(keys)})"))
+    return known.select("h", "line", "keys", F.explode("keys").alias("key")).where("key is not null")
 
 
 def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
     """(a, b): hashes of the distinct lines (h, line) that share a key, each pair once."""
-    count = keyed(texts, edits, [], False).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    count = keyed(texts, edits, False).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = sized(count.where(F.col("n") > crowd).select("key", F.lit(True).alias("hot")))
     letters = F.array(*[(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c)))).cast("int") for c in LETTERS])
 
     def rows(probes: bool, side: str) -> DataFrame:
-        known = keyed(texts, edits, ["h", "line"], probes).join(hot, "key", "left")
-        return known.select("key", F.col("h").alias(f"{side}_h"), F.when(F.col("hot"), letters).alias(f"{side}_letters"))
+        known = keyed(texts, edits, probes).join(hot, "key", "left")
+        return known.select("key", F.col("h").alias(f"{side}_h"), F.when(F.col("hot"), letters).alias(f"{side}_letters"), F.when(F.col("hot"), F.col("keys")).alias(f"{side}_keys"), F.when(F.col("hot"), F.octet_length("line")).alias(f"{side}_n"))
 
-    # An edit changes the count of one letter less and of one more.
+    # Under a crowded key: an edit changes the count of one letter less and of one more; of the keys that a pair shares the
+    # least brings it; and of lines of one length, which ask for each other, one asks.
     apart = F.aggregate(F.zip_with("i_letters", "p_letters", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
-    near = F.col("i_letters").isNull() | (apart <= 2 * edits)
+    first = F.array_min(F.array_intersect("i_keys", "p_keys")) == F.col("key")
+    once = (F.col("i_n") != F.col("p_n")) | (F.col("i_h") < F.col("p_h"))
+    near = F.col("i_letters").isNull() | (once & (apart <= 2 * edits) & first)
     i, p = rows(False, "i").withColumnRenamed("key", "k"), rows(True, "p")
     both = i.join(p, (F.col("k") == F.col("key")) & (F.col("i_h") != F.col("p_h")) & near)
     return both.select(F.col("p_h").alias("a"), F.col("i_h").alias("b")).distinct()
