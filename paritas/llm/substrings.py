@@ -15,14 +15,14 @@ replaced by its windows, each its own region under its own hash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import chunks, cut, partitions
+from paritas.llm.common import chunks, cut, partitions, release
 from paritas.llm.hashing import mix
 
 LENGTH, GRAM = 50, 16
@@ -224,6 +224,9 @@ def _store(docs: DataFrame, buckets: int) -> DataFrame:
                     ids = np.array([least[k][0] for k in mine], dtype=np.int64)
                     rows.append((d, _squeeze(b"".join(mine), ids, np.array([len(r) for r in raws], dtype=np.int64), b"".join(raws))))
                 yield pd.DataFrame(rows, columns=["d", "data"])
+                del least, keys, rows
+            del pdf, texts
+            release()
 
     return docs.mapInPandas(run, "d int, data binary")
 
@@ -299,6 +302,22 @@ def _shared_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
+def _freed(work: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
+    """work on a group, after which what it held goes back to the system."""
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = work(pdf)
+        release()
+        return out
+
+    def together(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = work(mine, answers)
+        release()
+        return out
+
+    return together if work.__code__.co_argcount == 2 else alone
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, buckets: int | None = None) -> DataFrame:
     """(key, doc, n_bytes, n_removed, n_spans, kept_sha256): of each distinct text, in its document of smallest id, what is
     left without the bytes that length-byte strings cover which a document of smaller id has too.
@@ -331,8 +350,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, buckets:
             rows.append((d, int(pdf["b"].iloc[0]), 0, _squeeze(_six(x[c > 1]), c[c > 1] > crowd)))
         return pd.DataFrame(rows, columns=["d", "b", "kind", "data"])
 
-    told = store.groupBy("d").applyInPandas(tell, "b int, d int, data binary")
-    shared = cut(told.groupBy("b").applyInPandas(weigh, "d int, b int, kind int, data binary"))
+    told = store.groupBy("d").applyInPandas(_freed(tell), "b int, d int, data binary")
+    shared = cut(told.groupBy("b").applyInPandas(_freed(weigh), "d int, b int, kind int, data binary"))
 
     def send(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         """The bucket's distinct regions under shared anchors."""
@@ -365,8 +384,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, buckets:
             at += c
         return pd.DataFrame(rows, columns=["d", "b", "kind", "data"])
 
-    sent = store.groupBy("d").cogroup(shared.groupBy("d")).applyInPandas(send, "b int, d int, data binary")
-    judged = sent.groupBy("b").applyInPandas(judge, "d int, b int, kind int, data binary")
+    sent = store.groupBy("d").cogroup(shared.groupBy("d")).applyInPandas(_freed(send), "b int, d int, data binary")
+    judged = sent.groupBy("b").applyInPandas(_freed(judge), "d int, b int, kind int, data binary")
 
     def remove(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         """What is left of the bucket's texts; its regions are found again in the order in which they were sent."""
@@ -403,7 +422,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, buckets:
         return pd.DataFrame(rows, columns=["key", "doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = "key binary, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return store.groupBy("d").cogroup(shared.unionByName(judged).groupBy("d")).applyInPandas(remove, schema)
+    return store.groupBy("d").cogroup(shared.unionByName(judged).groupBy("d")).applyInPandas(_freed(remove), schema)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, buckets: int | None = None) -> DataFrame:
