@@ -84,3 +84,34 @@ def test_both_fingerprints_must_be_near(spark):
     loose[100], loose[300], loose[500] = "a", "b", "c"
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(loose)), (3, " ".join(words[::-1]))], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 14, True).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("part", [3, 512])
+def test_similar_links_by_shingles(spark, part):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for i in range(400):
+        words = [f"w{rng.integers(10**9)}" for _ in range(int(rng.integers(60, 300)))]
+        loose = words[:]
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0.01, 0.06))), replace=False):
+            loose[at] = f"x{i}"
+        a, b = " ".join(words), " ".join(loose)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        want[i] = jaccard(a, b)
+    # A chain whose ends are less similar than its links; the same shingle many times beside other words.
+    chain = [" ".join(f"c{j}" for j in range(k * 10, k * 10 + 200)) for k in range(8)]
+    rows += [(1000 + k, t) for k, t in enumerate(chain)]
+    rows += [(2000 + k, "a " * 900 + " ".join(f"{c}{j}" for j in range(30))) for k, c in enumerate("pq")]
+    rows += [(3000, ""), (3001, None), (None, rows[0][1]), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs, 5, 0.8, part).collect()}
+    wrong = [(i, j) for i, j in want.items() if (got[2 * i + 1] == 2 * i) != (j >= 0.8)]
+    assert not wrong and 50 < sum(j >= 0.8 for j in want.values()) < 350
+    assert {got[1000 + k] for k in range(8)} == {1000} and jaccard(chain[0], chain[-1]) < 0.8
+    assert (got[2000], got[2001], got[3000], got[3001]) == (2000, 2001, 3000, 3000)
+    assert simhash.similar(docs.limit(0), 5, 0.8).count() == 0
