@@ -1,7 +1,7 @@
 """Line deduplication over all documents, exact and within a few edits, in DataFrame operations only.
 
-Lines of LEAST bytes or more take part. Of equal lines the first is kept, in order of doc_id and place; a line within
-EDITS edits of one that comes first earlier goes too, with all its copies.
+Every line that is not blank takes part. Of equal lines the first is kept, in order of doc_id and place; a line of LEAST bytes
+or NEAR characters or more that is within EDITS edits of such a line that comes first earlier goes too, with all its copies.
 
 Near lines are found by a segment-partition join: a line is cut into EDITS + 1 segments, one of which stands unedited in
 any line within EDITS edits. Segments are indexed by length and number, and every line probes, for each length that a
@@ -17,9 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import cut
+from paritas.llm.common import SPACES, cut
 
-LEAST, EDITS = 32, 2
+#: Bytes, or characters, of the shortest lines compared for edits: of sf0.1's lines of 16 to 31 characters 18 pairs are within
+#: two edits, mostly of punctuation, of 12 to 15 there are 26, and of 8 to 11 there are 245, mostly of other words.
+LEAST, NEAR, EDITS = 32, 16, 2
 #: Lines that share a key before letters are compared, and these letters.
 CROWD, LETTERS = 40, "abcdefghijklmnopqrstuvwxyz ,."
 #: Rows of two or three numbers that may be broadcast; with more, the same join shuffles.
@@ -32,10 +34,15 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
-def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, no, line, h, g): the lines that take part, numbered from 0 in their document, with a hash of 128 bits."""
+def lines(docs: DataFrame, least: int = LEAST, short: bool = False) -> DataFrame:
+    """(doc, no, line, h, g): the lines that take part, numbered from 0 in their document, with a hash of 128 bits; with short
+    also the shorter ones that are not blank.
+    """
     rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.col("text"), "\n")).alias("no", "line"))
-    return rows.where(F.octet_length("line") >= least).select("doc", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    takes = F.octet_length("line") >= least
+    if short:
+        takes = takes | (F.trim("line", F.lit(SPACES.decode())) != "")
+    return rows.where(takes).select("doc", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 # -- edit distance ----------------------------------------------------------------------------------------------------
@@ -161,13 +168,14 @@ def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> Data
 # -- documents --------------------------------------------------------------------------------------------------------
 
 
-def removals(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFrame:
+def removals(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
     """(doc, gone, links): places of the lines that go, for each document that loses some; links counts those that go as near."""
-    named = cut(lines(docs, least).select("doc", "no", "h", "g"))
+    named = cut(lines(docs, least, short).select("doc", "no", "h", "g"))
     whole = named.groupBy("h", "g").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = sized(whole.where("n > 1").select("h", "g", F.col("first.doc").alias("first_doc"), F.col("first.no").alias("first_no")))
     again = ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("no") == F.col("first_no")))
-    texts = lines(docs, least).join(repeated, ["h", "g"], "left").where(F.col("first_no").isNull() | ~again)
+    long = lines(docs, least, short).where((F.octet_length("line") >= least) | (F.length("line") >= NEAR)) if short else lines(docs, least)
+    texts = long.join(repeated, ["h", "g"], "left").where(F.col("first_no").isNull() | ~again)
     pairs = cut(candidates(texts.select("h", "line"), edits))
     wanted = sized(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct())
     held = cut(texts.join(wanted, "h", "left_semi").select("h", "g", "line", F.struct("doc", "no").alias("at")))
@@ -181,15 +189,22 @@ def removals(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFra
     return goes.groupBy("doc").agg(F.sort_array(F.collect_list("no")).alias("gone"), F.count_if(F.col("near")).alias("links"))
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFrame:
+def whole(docs: DataFrame) -> DataFrame:
+    """deduplicated as the queries ask for it: repeats of short lines go too."""
+    return deduplicated(docs, short=True)
+
+
+def deduplicated(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
     """docs with their text without the lines that go, and n_lines, n_removed and n_near (those of them near another line).
 
+    Lines of least bytes or more take part; with short, all that are not blank, those under NEAR characters in exact repeats only.
+
     A null text stays null, with no lines; an empty one has one empty line. Rows of one doc_id count as one document, whose
     lines of equal places go or stay together; rows without a doc_id come first in the order, and lose only lines that
     repeat elsewhere. An empty table gives no rows. Columns n_lines, n_removed and n_near of docs are replaced.
     """
     base = docs.drop("n_lines", "n_removed", "n_near")
-    gone = sized(removals(docs.select("doc_id", "text"), least, edits))
+    gone = sized(removals(docs.select("doc_id", "text"), least, edits, short))
     both = base.join(gone, base["doc_id"].eqNullSafe(gone["doc"]), "left")
     parts = F.split(F.col("text"), "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))

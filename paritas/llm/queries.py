@@ -26,7 +26,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text without lines that repeat, or come within two edits of, a line of an earlier place."""
-    out = lines.deduplicated(read(spark, sf_dir, "documents"))
+    out = lines.whole(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

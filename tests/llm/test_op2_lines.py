@@ -86,3 +86,9 @@ def test_corners(spark):
     assert lines.deduplicated(df.limit(0)).count() == 0
     plan = lines.deduplicated(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_short_lines_that_repeat_go(spark):
+    docs = [(1, "All rights reserved.\nok\n\n  \nRoom 1"), (2, "ok\nAll rights reserved.\n\n  \nRoom 2"), (3, "ok\nok\nnew"), (4, "okay")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.whole(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (docs[0][1], 5, 0), 2: ("\n  \nRoom 2", 5, 2), 3: ("new", 3, 2), 4: (docs[3][1], 1, 0)}
