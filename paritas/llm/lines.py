@@ -7,7 +7,7 @@ Near lines are found by a segment-partition join: a line is cut into EDITS + 1 s
 any line within EDITS edits. Segments are indexed by length and number, and every line probes, for each length that a
 partner can have, the few substrings where its segment can be. Under a key that many lines share, only lines meet whose letters' counts differ by no
 more than the edits allow. What meets is verified: common ends are taken off, and a banded bit-parallel recurrence gives the
-edit distance of the rest. Lengths and edits are in bytes of UTF-8, which a scan can cut without counting characters.
+edit distance of the rest. Lengths and edits are in characters, or in bytes of UTF-8 where a caller asks for these.
 """
 
 from __future__ import annotations
@@ -58,10 +58,11 @@ def _common(a: Column, b: Column, most: Column, at_end: bool) -> Column:
     return F.aggregate(steps, F.lit(0), lambda p, step: F.when(p + step > most, p).when(part(a, p, step) == part(b, p, step), p + step).otherwise(p))
 
 
-def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
-    """The pairs whose texts a and b are within edits edits of bytes."""
+def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS, characters: bool = False) -> DataFrame:
+    """The pairs whose texts a and b are within edits edits of bytes, or of characters."""
     # A byte each as a character, so that positions count bytes.
-    df = _once(pairs, _a=F.decode(F.col(a).cast("binary"), "ISO-8859-1"), _b=F.decode(F.col(b).cast("binary"), "ISO-8859-1"))
+    unit = F.col if characters else lambda c: F.decode(F.col(c).cast("binary"), "ISO-8859-1")
+    df = _once(pairs, _a=unit(a), _b=unit(b))
     a, b = "_a", "_b"
     df = _once(df.where(F.abs(F.length(a) - F.length(b)) <= edits), _m=F.least(F.length(a), F.length(b)))
     df = _once(df, _head=_common(F.col(a), F.col(b), F.col("_m"), False))
@@ -119,7 +120,7 @@ def _places(edits: int, delta: int) -> list[tuple[int, int]]:
 
 
 def _key(i: int, shift: int, delta: int, edits: int) -> str:
-    """SQL of the key of segment i of lines delta shorter than this one, bytes b of length n, read at shift from its place
+    """SQL of the key of segment i of lines delta shorter than this one, b of length n, read at shift from its place
     there; null where the line has no such place.
     """
     start, stop = (f"int((n - {delta}) * {k} div {edits + 1})" for k in (i - 1, i))
@@ -133,26 +134,27 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def keyed(texts: DataFrame, edits: int, probes: bool) -> DataFrame:
-    """(h, line, keys, key): the keys of the indexed segments, or of the probes, of lines (h, line), one a row and all."""
-    known = _once(texts, b=F.col("line").cast("binary"), n=F.octet_length("line"))
+def keyed(texts: DataFrame, edits: int, probes: bool, characters: bool = False) -> DataFrame:
+    """(h, line, n, keys, key): the length, and the keys of the indexed segments, or of the probes, of lines (h, line), one a row and all."""
+    line = F.col("line")
+    known = _once(texts, b=line, n=F.length(line)) if characters else _once(texts, b=line.cast("binary"), n=F.octet_length(line))
     if probes:
         keys = [_key(i, s, delta, edits) for delta in range(edits + 1) for i, s in _places(edits, delta)]
     else:
         keys = [_key(i, 0, 0, edits) for i in range(1, edits + 2)]
     known = _once(known, keys=F.expr(f"array({', '.join(keys)})"))
-    return known.select("h", "line", "keys", F.explode("keys").alias("key")).where("key is not null")
+    return known.select("h", "line", "n", "keys", F.explode("keys").alias("key")).where("key is not null")
 
 
-def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
+def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD, *, characters: bool = False) -> DataFrame:
     """(a, b): hashes of the distinct lines (h, line) that share a key, each pair once."""
-    count = keyed(texts, edits, False).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    count = keyed(texts, edits, False, characters).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = sized(count.where(F.col("n") > crowd).select("key", F.lit(True).alias("hot")))
     letters = F.array(*[(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c)))).cast("int") for c in LETTERS])
 
     def rows(probes: bool, side: str) -> DataFrame:
-        known = keyed(texts, edits, probes).join(hot, "key", "left")
-        return known.select("key", F.col("h").alias(f"{side}_h"), F.when(F.col("hot"), letters).alias(f"{side}_letters"), F.when(F.col("hot"), F.col("keys")).alias(f"{side}_keys"), F.when(F.col("hot"), F.octet_length("line")).alias(f"{side}_n"))
+        known = keyed(texts, edits, probes, characters).join(hot, "key", "left")
+        return known.select("key", F.col("h").alias(f"{side}_h"), F.when(F.col("hot"), letters).alias(f"{side}_letters"), F.when(F.col("hot"), F.col("keys")).alias(f"{side}_keys"), F.when(F.col("hot"), F.col("n")).alias(f"{side}_n"))
 
     # Under a crowded key: an edit changes the count of one letter less and of one more; of the keys that a pair shares the
     # least brings it; and of lines of one length, which ask for each other, one asks.
@@ -168,7 +170,7 @@ def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> Data
 # -- documents --------------------------------------------------------------------------------------------------------
 
 
-def removals(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
+def removals(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False, characters: bool = False) -> DataFrame:
     """(doc, gone, links): places of the lines that go, for each document that loses some; links counts those that go as near."""
     named = cut(lines(docs, least, short).select("doc", "no", "h", "g"))
     whole = named.groupBy("h", "g").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -176,12 +178,12 @@ def removals(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: boo
     again = ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("no") == F.col("first_no")))
     long = lines(docs, least, short).where((F.octet_length("line") >= least) | (F.length("line") >= NEAR)) if short else lines(docs, least)
     texts = long.join(repeated, ["h", "g"], "left").where(F.col("first_no").isNull() | ~again)
-    pairs = cut(candidates(texts.select("h", "line"), edits))
+    pairs = cut(candidates(texts.select("h", "line"), edits, characters=characters))
     wanted = sized(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct())
     held = cut(texts.join(wanted, "h", "left_semi").select("h", "g", "line", F.struct("doc", "no").alias("at")))
     side = lambda s: held.select(*[F.col(c).alias(f"{s}_{c}") for c in held.columns])
     both = pairs.join(side("x"), F.col("a") == F.col("x_h")).join(side("y"), F.col("b") == F.col("y_h"))
-    near = within(both, "x_line", "y_line", edits)
+    near = within(both, "x_line", "y_line", edits, characters)
     later = lambda s: F.when(F.col("x_at") > F.col("y_at"), F.col(f"x_{s}")).otherwise(F.col(f"y_{s}"))
     late = sized(near.select(later("h").alias("h"), later("g").alias("g")).distinct().withColumn("near", F.lit(True)))
     marked = named.join(repeated, ["h", "g"], "left").join(late, ["h", "g"], "left")
@@ -190,21 +192,22 @@ def removals(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: boo
 
 
 def whole(docs: DataFrame) -> DataFrame:
-    """deduplicated as the queries ask for it: repeats of short lines go too."""
-    return deduplicated(docs, short=True)
+    """deduplicated as the queries ask for it: repeats of short lines go too, and edits are of characters."""
+    return deduplicated(docs, short=True, characters=True)
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False, characters: bool = False) -> DataFrame:
     """docs with their text without the lines that go, and n_lines, n_removed and n_near (those of them near another line).
 
-    Lines of least bytes or more take part; with short, all that are not blank, those under NEAR characters in exact repeats only.
+    Lines of least bytes or more take part; with short, all that are not blank, those under NEAR characters in exact repeats only. Edits
+    are of bytes of UTF-8, or of characters.
 
     A null text stays null, with no lines; an empty one has one empty line. Rows of one doc_id count as one document, whose
     lines of equal places go or stay together; rows without a doc_id come first in the order, and lose only lines that
     repeat elsewhere. An empty table gives no rows. Columns n_lines, n_removed and n_near of docs are replaced.
     """
     base = docs.drop("n_lines", "n_removed", "n_near")
-    gone = sized(removals(docs.select("doc_id", "text"), least, edits, short))
+    gone = sized(removals(docs.select("doc_id", "text"), least, edits, short, characters))
     both = base.join(gone, base["doc_id"].eqNullSafe(gone["doc"]), "left")
     parts = F.split(F.col("text"), "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))

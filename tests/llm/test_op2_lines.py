@@ -92,3 +92,27 @@ def test_short_lines_that_repeat_go(spark):
     docs = [(1, "All rights reserved.\nok\n\n  \nRoom 1"), (2, "ok\nAll rights reserved.\n\n  \nRoom 2"), (3, "ok\nok\nnew"), (4, "okay")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.whole(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: (docs[0][1], 5, 0), 2: ("\n  \nRoom 2", 5, 2), 3: ("new", 3, 2), 4: (docs[3][1], 1, 0)}
+
+
+def character_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("crowd", [2, 40])
+def test_edits_of_characters_like_all_pairs(spark, crowd):
+    rng = np.random.default_rng(crowd)
+    base = ["".join(rng.choice(list("abcdé 日😀"), rng.integers(16, 40))) for _ in range(20)] + ["It's a plain line of text - it repeats"]
+    texts = sorted({edited(rng, str(rng.choice(base)), int(rng.integers(0, 4))) for _ in range(200)} | {"It’s a plain line of text — it repeats"} | set(base))
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+    pairs = lines.candidates(df, 2, crowd, characters=True).join(df.toDF("a", "x"), "a").join(df.toDF("b", "y"), "b")
+    got = {tuple(sorted((r.a, r.b))) for r in lines.within(pairs, "x", "y", 2, True).collect()}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if character_distance(texts[i], texts[j]) <= 2}
+    assert got == want and len(want) > 100
+    docs = spark.createDataFrame([(1, base[-1]), (2, "It’s a plain line of text — it repeats")], "doc_id long, text string")
+    assert {r.doc_id: r.n_near for r in lines.whole(docs).collect()} == {1: 0, 2: 1}
