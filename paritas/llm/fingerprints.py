@@ -1,6 +1,6 @@
 """Document fingerprints: a homomorphic hash of the multiset of a document's paragraphs.
 
-A paragraph is a line. Its wide vector has EXACT lanes of 64 bits, its BLAKE2b digest, and LIKE lanes of 16 bits, to which
+A paragraph is a line. Its wide vector has EXACT lanes of 64 bits, its BLAKE2b digest, and LIKE lanes of 32 bits, to which
 each pair of neighbouring words (a lone word by itself) adds or takes 1 at a lane that its hash names. A document's
 fingerprint is the sum of its paragraphs' vectors, each lane modulo its power of two: paragraphs can be put in or taken
 out without the rest, their order has no effect, and fingerprints of disjoint parts add up.
@@ -29,9 +29,9 @@ Vectors = tuple[np.ndarray, np.ndarray]
 
 
 def of_paragraphs(parts: list[list[str]]) -> Vectors:
-    """The summed vectors of each list of paragraphs: uint64 (n, EXACT) and uint16 (n, LIKE)."""
+    """The summed vectors of each list of paragraphs: uint64 (n, EXACT) and uint32 (n, LIKE)."""
     n = len(parts)
-    exact, like = np.zeros((n, EXACT), dtype=np.uint64), np.zeros((n, LIKE), dtype=np.uint16)
+    exact, like = np.zeros((n, EXACT), dtype=np.uint64), np.zeros((n, LIKE), dtype=np.uint32)
     counts = np.fromiter(map(len, parts), dtype=np.int64, count=n)
     raw = [p.encode() for some in parts for p in some]
     if not raw:
@@ -55,7 +55,7 @@ def of_paragraphs(parts: list[list[str]]) -> Vectors:
         of = owner[np.concatenate([paragraph[:-1][near], paragraph[~joined]])]
         lane = of * LIKE + (feature >> np.uint64(56)).astype(np.int64)
         sign = 1.0 - 2.0 * (feature & np.uint64(1)).astype(np.float64)
-        like = np.bincount(lane, weights=sign, minlength=n * LIKE).astype(np.int64).astype(np.uint16).reshape(n, LIKE)
+        like = np.bincount(lane, weights=sign, minlength=n * LIKE).astype(np.int64).astype(np.uint32).reshape(n, LIKE)
     return exact, like
 
 
@@ -72,18 +72,19 @@ def minus(a: Vectors, b: Vectors) -> Vectors:
 
 
 def written(v: Vectors) -> list[str]:
-    """Fingerprints as hex digits."""
+    """Fingerprints as hex digits, of the LIKE lanes the lower 16 bits."""
     rows = np.concatenate([v[0].astype("<u8").view(np.uint8), v[1].astype("<u2").view(np.uint8)], axis=1)
     return [r.tobytes().hex() for r in rows]
 
 
 def read_back(texts: list[str]) -> Vectors:
+    """Fingerprints from hex digits; a LIKE lane beyond 32,767 either way has wrapped there."""
     rows = np.frombuffer(bytes.fromhex("".join(texts)), dtype=np.uint8).reshape(len(texts), EXACT * 8 + LIKE * 2)
-    return rows[:, : EXACT * 8].copy().view("<u8"), rows[:, EXACT * 8 :].copy().view("<u2")
+    return rows[:, : EXACT * 8].copy().view("<u8"), rows[:, EXACT * 8 :].copy().view("<i2").astype(np.int32).view(np.uint32)
 
 
 def likeness(a: Vectors, b: Vectors) -> np.ndarray:
-    x, y = (v[1].astype(np.uint16).view(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[1].astype(np.uint32).view(np.int32).astype(np.float64) for v in (a, b))
     both = (x * x).sum(axis=1) + (y * y).sum(axis=1)
     apart = ((x - y) ** 2).sum(axis=1)
     same = (a[0] == b[0]).all(axis=1)

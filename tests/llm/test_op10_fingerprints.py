@@ -60,3 +60,9 @@ def test_rows_without_an_id(spark):
     assert fp.edits(df).count() == 3
     assert fp.fingerprints(df).columns == ["doc_id", "text", "fingerprint"]
     assert len(fp.fingerprints(df).first().fingerprint) == 2 * (fp.EXACT * 8 + fp.LIKE * 2)
+
+
+def test_many_repeats_of_a_pair_do_not_wrap():
+    text = "one two " * 40_000
+    edited = text[: len(text) * 2 // 3]
+    assert fp.likeness(vectors(text), vectors(edited))[0] > 0.9
