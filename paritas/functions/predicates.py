@@ -110,7 +110,7 @@ _TOKEN = re.compile(r"\s+|'(?:[^']|'')*'|`[^`]+`|[A-Za-z_][A-Za-z0-9_.]*|\d+(?:\
 ALLOWED = {"AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "BETWEEN", "TRUE", "FALSE"}
 BLOCKED = {
     "SELECT", "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "MERGE", "GRANT", "REVOKE", "EXEC",
-    "EXECUTE", "UNION", "FROM", "WHERE", "JOIN", "INTO", "CALL", "SET", "HAVING", "GROUP", "ORDER",
+    "EXECUTE", "UNION", "FROM", "WHERE", "JOIN", "INTO", "CALL", "SET", "HAVING", "GROUP", "ORDER", "LIMIT", "OFFSET", "WITH",
 }
 
 

@@ -12,16 +12,26 @@ from paritas.functions.predicates import quoted
 from paritas.operators.diff import MISMATCH, SOURCE_MISSING, TARGET_MISSING
 
 
-def sql_literal(c: Column, dtype: T.DataType) -> Column:
-    """The values of a column as SQL literals."""
-    if isinstance(dtype, T.NumericType):
+#: Dialects in whose string literals a backslash escapes what follows it.
+BACKSLASH = {"spark", "mysql", "tidb", "doris", "starrocks", "clickhouse"}
+
+
+def sql_literal(c: Column, dtype: T.DataType, dialect: str = "spark") -> Column:
+    """The values of a column as SQL literals of a dialect; NaN and infinities as casts of their text."""
+    if isinstance(dtype, T.FloatType | T.DoubleType):
+        odd = F.isnan(c) | (F.abs(c) == float("inf"))
+        text = F.when(odd, F.concat(F.lit("CAST('"), c.cast("string"), F.lit("' AS DOUBLE)"))).otherwise(c.cast("string"))
+    elif isinstance(dtype, T.NumericType):
         text = c.cast("string")
     elif isinstance(dtype, T.BooleanType):
         text = F.upper(c.cast("string"))
     elif isinstance(dtype, T.BinaryType):
         text = F.concat(F.lit("X'"), F.hex(c), F.lit("'"))
     else:
-        text = F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+        inner = c.cast("string")
+        if dialect in BACKSLASH:
+            inner = F.replace(inner, F.lit("\\"), F.lit("\\\\"))
+        text = F.concat(F.lit("'"), F.replace(inner, F.lit("'"), F.lit("''")), F.lit("'"))
     return F.coalesce(text, F.lit("NULL"))
 
 
@@ -35,7 +45,7 @@ def repair_sql(diff: DataFrame, keys: Sequence[str], columns: Sequence[str], tab
     types, own = {f.name: f.dataType for f in diff.schema}, names or {}
     column = {c: quoted(own.get(c, c), dialect) for c in (*keys, *columns)}
     side = 1 if fix == "target" else 2  # whose values are right
-    value = {c: sql_literal(F.col(f"{c}_{side}"), types[f"{c}_{side}"]) for c in columns} | {k: sql_literal(F.col(k), types[k]) for k in keys}
+    value = {c: sql_literal(F.col(f"{c}_{side}"), types[f"{c}_{side}"], dialect) for c in columns} | {k: sql_literal(F.col(k), types[k], dialect) for k in keys}
     where = F.concat_ws(" AND ", *[F.when(F.col(k).isNull(), F.lit(f"{column[k]} IS NULL")).otherwise(F.concat(F.lit(f"{column[k]} = "), value[k])) for k in keys])
     sets = F.concat_ws(", ", *[F.when(F.array_contains("changed", c), F.concat(F.lit(f"{column[c]} = "), value[c])) for c in columns])
     insert = F.concat(F.lit(f"INSERT INTO {table} ({', '.join(column.values())}) VALUES ("), F.concat_ws(", ", *[value[c] for c in column]), F.lit(")"))
