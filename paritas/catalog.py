@@ -6,6 +6,7 @@ The source is a table as it is; the target is a fixed rewrite of it with moved k
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -377,20 +378,20 @@ def equi_depth_segments(spark, d):
     return segments.depth_segments(table(spark, d, "orders"), "o_orderkey", 8, 1_000_000)
 
 
-_SEG = "least(o_orderkey // 500, 3)::int"
+_SEG = "((o_orderkey % 100000000) // 97)::int"
 
 
 def _segment_sql(side: str) -> str:
     return f"SELECT {_SEG} AS segment, count(*) AS n, printf('%016X', bit_xor(('0x' || substr(md5({ROW_TEXT}), 1, 16))::ubigint)) AS c FROM ({side}) GROUP BY 1"
 
 
-@query(f"""WITH s AS ({_segment_sql(S_SQL + " WHERE o_orderkey < 900")}), t AS ({_segment_sql(T_SQL)})
+@query(f"""WITH s AS ({_segment_sql(S_SQL)}), t AS ({_segment_sql(T_SQL)})
   SELECT coalesce(s.segment, t.segment) AS segment, coalesce(s.n, 0) AS source_rows, coalesce(t.n, 0) AS target_rows, s.c AS source_checksum, t.c AS target_checksum,
   CASE WHEN s.n IS NOT DISTINCT FROM t.n AND s.c IS NOT DISTINCT FROM t.c THEN 'skip_equal' ELSE 'compare' END AS decision FROM s FULL OUTER JOIN t ON s.segment = t.segment""")
 def segment_trace(spark, d):
     s, t = both(spark, d)
-    seg = F.least(F.floor(F.col("o_orderkey").cast("bigint") / 500), F.lit(3)).cast("int")
-    texts = [diff.normalized(x, N_COLUMNS) for x in (s.where("o_orderkey < 900"), t)]
+    seg = F.floor((F.col("o_orderkey").cast("bigint") % 100_000_000) / 97).cast("int")
+    texts = [diff.normalized(x, N_COLUMNS) for x in (s, t)]
     return segments.segment_trace(*[segments.segment_digests(x, KEYS, COLUMNS, seg) for x in texts])
 
 
@@ -595,6 +596,55 @@ def checksum_diff_row_hash(spark, d):
     return _plain(diff.checksum_diff(*both(spark, d), KEYS, COLUMNS, local="row-hash", buckets=256))
 
 
+# Values that hold separators, nulls that change places, and numbers without decimals; strict nulls.
+def _hostile_sql(a: str, b: str, x: str) -> str:
+    return f"SELECT c_custkey AS k, {a} AS a, {b} AS b, {x} AS x FROM customer"
+
+
+HS_SQL = _hostile_sql(
+    "CASE c_custkey % 5 WHEN 0 THEN c_name || '|b' WHEN 1 THEN NULL ELSE c_name END", "CASE c_custkey % 5 WHEN 0 THEN 'c' WHEN 1 THEN 'z' ELSE c_mktsegment END",
+    "CASE c_custkey % 7 WHEN 0 THEN 'NaN'::double WHEN 1 THEN 'Infinity'::double WHEN 2 THEN 1e36 ELSE c_acctbal END",
+)
+HT_SQL = _hostile_sql(
+    "CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN 'z' ELSE c_name END", "CASE c_custkey % 5 WHEN 0 THEN 'b|c' WHEN 1 THEN NULL ELSE c_mktsegment END",
+    "CASE c_custkey % 7 WHEN 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'NaN'::double ELSE 0.0 END WHEN 1 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Infinity'::double ELSE '-Infinity'::double END WHEN 2 THEN CASE WHEN c_custkey % 2 = 0 THEN 1e36 ELSE 2e36 END ELSE c_acctbal END",
+)
+HOSTILE_SQL = f"""WITH s AS ({HS_SQL}), t AS ({HT_SQL}), j AS (SELECT k, s.a IS DISTINCT FROM t.a AS na, s.b IS DISTINCT FROM t.b AS nb, s.x IS DISTINCT FROM t.x AS nx FROM s JOIN t USING (k))
+  SELECT 'mismatch' AS operation, k::varchar AS k, concat_ws(',', CASE WHEN na THEN 'a' END, CASE WHEN nb THEN 'b' END, CASE WHEN nx THEN 'x' END) AS changed FROM j WHERE na OR nb OR nx"""
+
+
+def _hostile(spark, d, **how):
+    five, seven, even = F.col("c_custkey") % 5, F.col("c_custkey") % 7, F.col("c_custkey") % 2 == 0
+    number = lambda nan, inf, big: F.when(seven == 0, nan).when(seven == 1, inf).when(seven == 2, big).otherwise(F.col("c_acctbal"))
+    text = lambda zero, one, rest: F.when(five == 0, zero).when(five == 1, one).otherwise(F.col(rest))
+    nan, inf, none = F.lit(float("nan")), F.lit(float("inf")), F.lit(None).cast("string")
+    rows = table(spark, d, "customer")
+    s = rows.select(F.col("c_custkey").alias("k"), text(F.concat("c_name", F.lit("|b")), none, "c_name").alias("a"), text(F.lit("c"), F.lit("z"), "c_mktsegment").alias("b"), number(nan, inf, F.lit(1e36)).alias("x"))
+    t = rows.select(F.col("c_custkey").alias("k"), text(F.col("c_name"), F.lit("z"), "c_name").alias("a"), text(F.lit("b|c"), none, "c_mktsegment").alias("b"), number(F.when(even, nan).otherwise(0.0), F.when(even, inf).otherwise(-inf), F.when(even, 1e36).otherwise(2e36)).alias("x"))
+    made = diff.checksum_diff(s, t, ["k"], ["a", "b", "x"], strict_nulls=True, **how)
+    return made.select("operation", "k", F.array_join("changed", ",").alias("changed"))
+
+
+@query(HOSTILE_SQL)
+def hostile_full(spark, d):
+    return _hostile(spark, d)
+
+
+@query(HOSTILE_SQL)
+def hostile_pruned(spark, d):
+    return _hostile(spark, d, buckets=64)
+
+
+@query(HOSTILE_SQL)
+def hostile_row_hash(spark, d):
+    return _hostile(spark, d, local="row-hash")
+
+
+@query(HOSTILE_SQL)
+def hostile_row_hash_pruned(spark, d):
+    return _hostile(spark, d, local="row-hash", buckets=64)
+
+
 @query(_text_diff_sql(False, RECORD_TEXT))
 def merge_diff(spark, d):
     return _plain(diff.merge_diff(*both(spark, d), KEYS, COLUMNS, validate_unique_keys=True))
@@ -829,11 +879,11 @@ def diff_records(spark, d):
     return rows.select("operation", F.array_join("primary_key", ",").alias("primary_key"), F.array_join("changed_columns1", ",").alias("changed_columns1"), F.array_join("changed_columns2", ",").alias("changed_columns2"), rows.source_values["o_orderstatus"].alias("source_status"), rows.target_values["t_orderstatus"].alias("target_status"))
 
 
-@query(f"WITH {D_SQL} SELECT operation, o_orderkey, changed FROM d WHERE (coalesce(o_orderkey, 0) % 100000000) % 5 = 0")
+@query(f"WITH {D_SQL} SELECT operation, o_orderkey, changed FROM d WHERE o_orderkey IN (SELECT o_orderkey FROM ({S_SQL}) WHERE o_orderdate >= TIMESTAMP '1996-01-01' UNION SELECT o_orderkey FROM ({T_SQL}) WHERE o_orderdate >= TIMESTAMP '1996-01-01')")
 def incremental_diff(spark, d):
-    """Differences of the keys in a batch of changes, as the streaming check finds them."""
+    """Differences of the keys that were updated since a moment, as the streaming check finds them."""
     from paritas.streaming.incremental import changed_diff
 
     s, t = both(spark, d)
-    keys = s.select("o_orderkey").unionByName(t.select("o_orderkey")).where("(o_orderkey % 100000000) % 5 = 0")
+    keys = s.unionByName(t).where(time_window("o_orderdate", datetime(1996, 1, 1), None)).select("o_orderkey")
     return _plain(changed_diff(keys, s, t, KEYS, COLUMNS)).select("operation", "o_orderkey", "changed")

@@ -53,7 +53,7 @@ def run(argv: list[str] | None = None) -> int:
         if args.dry_run:
             print(json.dumps(dict(zip(("source_rows", "target_rows"), probe(spark, job.comparison), strict=True))))
             return 0
-        result = publish(job.sinks, job.task, lambda: compare(spark, job.comparison), job.fail_on_sink_error)
+        result = publish(job.sinks, job.task, lambda: compare(spark, job.comparison).checked(), job.fail_on_sink_error)
         if args.verbose:
             result.diff.explain("formatted")
         return int(result.stats.first()["total_differences"] > 0)

@@ -110,8 +110,8 @@ def job(config: dict[str, Any]) -> Job:
     mappings = tuple(Mapping(m["name"], _value(m["source"]), _value(m["target"]), m.get("key", False), m.get("compare", True)) for m in c.get("mappings", ()))
     sides = [_side(config[w], c, w, n.get("global", []), n.get(w, [])) for w in ("source", "target")]
     strategy = Strategy(
-        s.get("mode", "checksum"), s.get("algorithm", "concat"), s.get("localCompare", "full"), tuple(s.get("prefer", ())), s.get("allowFallback", True),
-        int(s.get("buckets", 256)), int(s.get("maxDifferences", 1_000_000)), s.get("validateUniqueKeys", True), s.get("strictNulls", False),
+        s.get("mode", "checksum"), s.get("algorithm", "xor"), s.get("localCompare", "full"), tuple(s.get("prefer", ())), s.get("allowFallback", True),
+        None if s.get("buckets") == "auto" else int(s.get("buckets", 0)), int(s.get("maxDifferences", 1_000_000)), s.get("validateUniqueKeys", True), s.get("strictNulls", False),
     )
     comparison = Comparison(*sides, strategy, mappings)
     task = writers.Task(str(config.get("task", {}).get("id", "task")), sides[0].resource.path, sides[1].resource.path, strategy.mode, strategy.algorithm)

@@ -11,10 +11,17 @@ SEPARATOR = "|"
 
 
 def row_hash(texts: Sequence[Column]) -> Column:
-    """MD5 of a row's canonical texts. A separator within a value can make two rows alike, as in every such scheme."""
+    """MD5 of a row's canonical texts as other systems write it: a separator within a value, or a null, can make two rows
+    alike. Where rows are skipped for equal hashes, use exact_hash.
+    """
     return F.md5(F.concat_ws(SEPARATOR, *texts))
 
 
+def exact_hash(texts: Sequence[Column]) -> Column:
+    """MD5 of a row's canonical texts, each behind its length, nulls marked: equal only for equal texts, but for collisions."""
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]))
+
+
 def key_text(texts: Sequence[Column]) -> Column:
     return F.concat_ws(SEPARATOR, *texts)
 

@@ -93,16 +93,22 @@ def integer(c: Column, rule: Rule = Rule()) -> Column:
 
 
 def number(c: Column, rule: Rule = Rule(), precision: int = 4) -> Column:
-    """Fixed decimals, rounded half up or cut; exact in decimal(38, p) arithmetic, so that no exponent can appear."""
+    """Fixed decimals, rounded half up or cut; exact in decimal(38, p) arithmetic, so that no exponent can appear.
+
+    Values that have no such decimals keep their own text: NaN, infinities, and numbers too large for them.
+    """
     p = precision if rule.precision is None else rule.precision
     if rule.rounding == "truncate":
-        wide = c.cast(T.DecimalType(38, 10))
-        scaled = F.floor(F.abs(wide) * F.lit(10**p)).cast(T.DecimalType(38, 0))
-        value = (scaled / F.lit(10**p).cast(T.DecimalType(12, 0)) * F.signum(wide).cast(T.DecimalType(1, 0))).cast(T.DecimalType(38, p))
+        wide = c.try_cast(T.DecimalType(37, 10))
+        whole = F.floor(F.abs(wide)).cast(T.DecimalType(27, 0))
+        # The digits after the point by themselves, as a scaled number may not fit.
+        rest = F.floor((F.abs(wide) % F.lit(1)).cast(T.DecimalType(11, 10)) * F.lit(10**p)).cast(T.DecimalType(12, 0)) / F.lit(10**p).cast(T.DecimalType(12, 0))
+        cut = whole + rest.cast(T.DecimalType(11, p))
+        value = F.when(wide < 0, -cut).otherwise(cut).cast(T.DecimalType(38, p))
     else:
-        value = c.cast(T.DecimalType(38, p))
+        value = c.try_cast(T.DecimalType(38, p))
     zero = "0" if p == 0 else "0." + "0" * p
-    return _or(value.cast("string"), rule, zero)
+    return _or(F.coalesce(value.cast("string"), c.cast("string")), rule, zero)
 
 
 def boolean(c: Column, rule: Rule = Rule()) -> Column:

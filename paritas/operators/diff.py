@@ -124,7 +124,10 @@ def _one_to_one(source: DataFrame, target: DataFrame, keys: Sequence[str], colum
 
 def differing_buckets(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int, algorithm: str = "xor") -> DataFrame:
     """(bucket, source_rows, target_rows, source_checksum, target_checksum) of the buckets of text keys that differ."""
-    s, t = bucket_digests(source, keys, columns, n, algorithm), bucket_digests(target, keys, columns, n, algorithm)
+    return _differing(bucket_digests(source, keys, columns, n, algorithm), bucket_digests(target, keys, columns, n, algorithm))
+
+
+def _differing(s: DataFrame, t: DataFrame) -> DataFrame:
     both = s.select("bucket", F.col("row_count").alias("source_rows"), F.col("checksum").alias("source_checksum"), F.col("total").alias("source_total")).join(
         t.select("bucket", F.col("row_count").alias("target_rows"), F.col("checksum").alias("target_checksum"), F.col("total").alias("target_total")), "bucket", "full_outer"
     )
@@ -132,9 +135,9 @@ def differing_buckets(source: DataFrame, target: DataFrame, keys: Sequence[str],
     return both.where(~same).drop("source_total", "target_total")
 
 
-def bucket_digests(texts: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int, algorithm: str = "xor") -> DataFrame:
-    """(bucket, row_count, checksum, total) by bucket of the keys' text."""
-    h = checksum.row_hash([F.col(c) for c in (*keys, *columns)])
+def bucket_digests(texts: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int, algorithm: str = "xor", hashed: Callable[[Sequence[Column]], Column] = checksum.row_hash) -> DataFrame:
+    """(bucket, row_count, checksum, total) by bucket of the keys' text, over row hashes that hashed makes."""
+    h = hashed([F.col(c) for c in (*keys, *columns)])
     rows = texts.select(checksum.bucket([F.col(k) for k in keys], n).alias("bucket"), checksum.key_text([F.col(k) for k in keys]).alias("k"), h.alias("h"))
     made = checksum.xor_checksum(F.col("h")) if algorithm == "xor" else checksum.concat_checksum(F.col("k"), F.col("h"))
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("row_count"), made.alias("checksum"), checksum.sum_checksum(F.col("h")).alias("total"))
@@ -146,12 +149,14 @@ def checksum_diff(
 ) -> DataFrame:
     """Differences of canonical text.
 
-    With buckets, both sides are first reduced to a digest for each, and only rows of differing buckets are joined: the
-    digests are at most that many rows, which bounds the broadcast. It pays where most buckets are equal.
+    With buckets, both sides are first reduced to a digest for each, and only rows of differing buckets are compared: the
+    digests are at most that many rows, which bounds the broadcast. It reads both sides twice, and pays where rows are wide
+    and most buckets equal. Digests are of exact hashes, so that only buckets of equal rows are skipped (rows of a repeated
+    key among them, where both sides have the same ones).
     """
     texts = [normalized(df, (*keys, *columns), rules, strict_nulls) for df, rules in ((source, source_rules), (target, target_rules))]
     if buckets:
-        differing = F.broadcast(differing_buckets(*texts, keys, columns, buckets, algorithm).select("bucket"))
+        differing = F.broadcast(_differing(*[bucket_digests(t, keys, columns, buckets, algorithm, checksum.exact_hash) for t in texts]).select("bucket"))
         own = checksum.bucket([F.col(k) for k in keys], buckets)
         texts = [t.withColumn("bucket", own).join(differing, "bucket", "left_semi").drop("bucket") for t in texts]
     if local == "row-hash":
@@ -161,24 +166,30 @@ def checksum_diff(
 
 
 def _row_hash_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """A full outer join of keys and row hashes; only the rows that differ there are joined with their values."""
+    """A full outer join of keys and row hashes; only the rows that differ there are joined with their values.
+
+    Of a repeated key the row of largest row_hash counts; rows are told apart by exact_hash. A null key matches nothing.
+    """
+    every = [F.col(c) for c in (*keys, *columns)]
+    h = F.concat(checksum.row_hash(every), checksum.exact_hash(every))
+    names = [f"k{i}" for i in range(len(keys))]
 
     def hashed(df: DataFrame, side: str) -> DataFrame:
-        h = checksum.row_hash([F.col(c) for c in (*keys, *columns)])
-        return df.groupBy(*keys).agg(F.max(h).alias("h")).select(*[F.col(k).alias(f"{side}k{i}") for i, k in enumerate(keys)], F.col("h").alias(f"{side}h"))
+        return df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.max(h).alias(f"{side}h")).select(*[F.col(n).alias(f"{side}{n}") for n in names], f"{side}h")
 
     joined = hashed(source, "s").join(hashed(target, "t"), _on(keys), "full_outer").where(~F.col("sh").eqNullSafe(F.col("th")))
-    wanted = joined.select(*[F.coalesce(f"sk{i}", f"tk{i}").alias(k) for i, k in enumerate(keys)], "sh", "th")
 
     def fetched(df: DataFrame, side: str) -> DataFrame:
-        h = checksum.row_hash([F.col(c) for c in (*keys, *columns)])
-        return df.withColumn("h", h).join(wanted.select(*keys, F.col(f"{side}h").alias("h")), [*keys, "h"], "left_semi").dropDuplicates([*keys, "h"]).drop("h")
+        wanted = joined.where(F.col(f"{side}h").isNotNull()).select(*[F.col(f"{side}{n}").alias(n) for n in names], F.col(f"{side}h").alias("wanted_h"))
+        rows = df.select(F.struct(*keys, *columns).alias("row"), *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], h.alias("own_h"))
+        on = [rows[n].eqNullSafe(wanted[n]) for n in names] + [F.col("own_h") == F.col("wanted_h")]
+        return rows.join(wanted, on, "left_semi").dropDuplicates([*names, "own_h"]).select("row.*")
 
     return join_diff(fetched(source, "s"), fetched(target, "t"), keys, columns)
 
 
 def merge_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str], validate_unique_keys: bool = False) -> DataFrame:
-    """Differences of record text; Spark's sort-merge join is the ordered merge."""
+    """Differences of record text, by a window in which the two rows of a key are neighbours."""
     texts = [normalized(df, (*keys, *columns), write=record) for df in (source, target)]
     return _one_to_one(*texts, keys, columns, {}, validate_unique_keys)
 

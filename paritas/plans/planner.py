@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +71,12 @@ class Result:
     strategy: str
     prepared: Prepared
     diff: DataFrame
+    most: int = 1_000_000
+
+    def checked(self) -> Result:
+        """This result, or an error if it has more differences than the strategy allows; one job, which stops there."""
+        ops.checked(self.diff, self.most)
+        return self
 
     @property
     def records(self) -> DataFrame:
@@ -90,7 +96,8 @@ class Result:
 
 def _checksum(c: Comparison, p: Prepared, local: str) -> DataFrame:
     s = c.strategy
-    return ops.checksum_diff(p.source, p.target, p.keys, p.columns, source_rules=c.source.rules, target_rules=c.target.rules, strict_nulls=s.strict_nulls, buckets=s.buckets, algorithm=algorithm(s.algorithm), local=local, equal=s.equal)
+    buckets = segments.bucket_number(p.source.count()) if s.buckets is None else s.buckets
+    return ops.checksum_diff(p.source, p.target, p.keys, p.columns, source_rules=c.source.rules, target_rules=c.target.rules, strict_nulls=s.strict_nulls, buckets=buckets, algorithm=algorithm(s.algorithm), local=local, equal=s.equal)
 
 
 #: How each strategy gives the differences; register() replaces or adds one.
@@ -107,12 +114,9 @@ def register(name: str, executor: Callable[[Comparison, Prepared], DataFrame]) -
 
 
 def compare(spark: SparkSession, comparison: Comparison) -> Result:
-    """Plans and declares the comparison; only a check for repeated keys, where asked for, runs at once."""
+    """Plans and declares the comparison; only what the strategy asks for runs at once: a check for repeated keys, or a count
+    of rows for the number of buckets. checked() of the result holds it to the strategy's most differences.
+    """
     name = choose(comparison)
     prepared = prepare(spark, comparison)
-    return Result(name, prepared, EXECUTORS[name](comparison, prepared))
-
-
-def with_buckets_for(comparison: Comparison, rows: int) -> Comparison:
-    """comparison with as many buckets as suit so many rows."""
-    return replace(comparison, strategy=replace(comparison.strategy, buckets=segments.bucket_number(rows)))
+    return Result(name, prepared, EXECUTORS[name](comparison, prepared), comparison.strategy.max_differences)

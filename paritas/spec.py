@@ -86,14 +86,18 @@ class Side:
 
 @dataclass(frozen=True)
 class Strategy:
-    """How rows are compared. prefer lists strategies in order; fallback allows the later ones."""
+    """How rows are compared. prefer lists strategies in order; fallback allows the later ones.
+
+    buckets: digests by which a checksum comparison skips what is equal; 0: none, one pass over both sides; None: as many as
+    suit the number of rows.
+    """
 
     mode: str = "checksum"
     algorithm: str = "xor"
     local: str = "full"
     prefer: tuple[str, ...] = ()
     fallback: bool = True
-    buckets: int = 256
+    buckets: int | None = 0
     max_differences: int = 1_000_000
     validate_unique_keys: bool = False
     strict_nulls: bool = False
@@ -103,8 +107,8 @@ class Strategy:
         object.__setattr__(self, "mode", _one_of("mode", self.mode, ("checksum", "join", "merge")))
         object.__setattr__(self, "algorithm", _one_of("algorithm", self.algorithm, ("concat", "xor")))
         object.__setattr__(self, "local", _one_of("local", self.local, ("full", "row-hash")))
-        if self.buckets < 1 or self.max_differences < 0:
-            raise ValueError("buckets must be positive, and max_differences not negative")
+        if (self.buckets is not None and self.buckets < 0) or self.max_differences < 0:
+            raise ValueError("neither buckets nor max_differences may be negative")
 
 
 @dataclass(frozen=True)

@@ -106,6 +106,23 @@ def test_limit(spark):
     assert diff.checked(diff.join_diff(s, t, ["id"], ["name"]), 10).count() == 10
     with pytest.raises(ValueError, match="more than 9"):
         diff.checked(diff.join_diff(s, t, ["id"], ["name"]), 9)
+    c = lambda n: Comparison(sides(s), sides(t), Strategy(max_differences=n, buckets=None))
+    assert compare(spark, c(10)).checked().diff.count() == 10
+    with pytest.raises(ValueError, match="more than 9"):
+        compare(spark, c(9)).checked()
+
+
+HOSTILE = [(1, "a|b", "c", 1.0), (2, None, "z", 2.0), (3, "x", "y", float("nan")), (4, "x", "y", float("inf")), (5, "x", "y", 1e36), (6, "1:a", "", 0.0), (7, "", None, -1.5), (8, "é|", "|", 1e300)]
+CHANGED = [(1, "a", "b|c", 1.0), (2, "z", None, 2.0), (3, "x", "y", 0.0), (4, "x", "y", float("-inf")), (5, "x", "y", 2e36), (6, "", "1:a", 0.0), (7, None, "", -1.5), (8, "é", "||", 1e300)]
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_pruning_changes_nothing(spark, strict):
+    s, t = (spark.createDataFrame(x, "k int, a string, b string, x double") for x in (HOSTILE, CHANGED))
+    ways = [{}, {"buckets": 1}, {"buckets": 16}, {"buckets": 5, "algorithm": "concat"}, {"local": "row-hash"}, {"local": "row-hash", "buckets": 3}]
+    got = [sorted((r.operation, r.k, *r.changed) for r in diff.checksum_diff(s, t, ["k"], ["a", "b", "x"], strict_nulls=strict, **w).collect()) for w in ways]
+    assert all(g == got[0] for g in got) and [r[1] for r in got[0]] == [str(k) for k in range(1, 9) if strict or k != 7]
+    assert diff.checksum_diff(s, s, ["k"], ["a", "b", "x"], strict_nulls=strict).count() == 0
 
 
 def test_statistics(spark):

@@ -26,7 +26,7 @@ def test_filters_that_are_allowed(text):
         assert checked_filter(text) == text
 
 
-@pytest.mark.parametrize("text", ["", "a = 1; DROP TABLE x", "a = 1 -- x", "a IN (SELECT 1)", "sleep(5) = 0", "a = 1 /* */", "(a = 1", "a = \\", "a = 1 UNION b"])
+@pytest.mark.parametrize("text", ["", "a = 1; DROP TABLE x", "a = 1 -- x", "a IN (SELECT 1)", "sleep(5) = 0", "a = 1 /* */", "(a = 1", "a = \\", "a = 1 UNION b", "a = 1 LIMIT 2", "a = 1 OFFSET 2", "WITH x"])
 def test_filters_that_are_not(text):
     with pytest.raises(ValueError):
         checked_filter(text)
@@ -65,6 +65,9 @@ def test_normalize(spark):
     assert one(spark, Decimal("1.25"), T.DecimalType(5, 2), {"decimal": rule(precision=1)}) == "1.3"
     assert one(spark, Decimal("1.6"), T.DecimalType(5, 2), {"decimal": rule(precision=0, rounding="truncate")}) == "1"
     assert one(spark, 0.5, T.FloatType()) == "0.500000"
+    assert [one(spark, x, T.DoubleType()) for x in (float("nan"), float("-inf"), 1e36, -1e300)] == ["NaN", "-Infinity", "1.0E36", "-1.0E300"]
+    assert one(spark, 1e30, T.DoubleType(), {"double": rule(rounding="truncate")}) == "1.0E30" and one(spark, -1.29999, T.DoubleType(), {"double": rule(rounding="truncate", precision=10)}) == "-1.2999900000"
+    assert one(spark, Decimal("1" * 38), T.DecimalType(38, 0)) == "1" * 38
     assert one(spark, None, T.BooleanType()) == "0" and one(spark, True, T.BooleanType()) == "1"
     assert one(spark, None, T.StringType(), strict=True) is None
     assert one(spark, {"b": 1, "a": 2}, T.MapType(T.StringType(), T.IntegerType())) == '{"a":2,"b":1}'
@@ -116,6 +119,12 @@ def test_repair(spark):
     assert text[4] == "INSERT INTO db.t (`id`, `name`, `price`, `created_at`) VALUES (4, 'it''s', 4.0, 'y')"
     assert text[5] == "DELETE FROM db.t WHERE `id` = 5"
     assert text[2] == "UPDATE db.t SET `name` = NULL, `created_at` = '2021' WHERE `id` = 2"
+    odd = spark.createDataFrame([(1, "a\\' OR 1=1 -- \\", float("nan")), (2, "\\", float("-inf"))], "id int, v string, x double")
+    fixes = {r.id: r.statement for r in repair.repair_sql(diff.join_diff(odd, odd.limit(0), ["id"], ["v", "x"]), ["id"], ["v", "x"], "t").collect()}
+    for r in odd.collect():  # what Spark reads back from the statement is the value
+        assert str(spark.sql("SELECT * FROM VALUES " + fixes[r.id].split("VALUES ")[1]).first()[:]) == str(tuple(r))
+    ansi = {r.id: r.statement for r in repair.repair_sql(diff.join_diff(odd, odd.limit(0), ["id"], ["v", "x"]), ["id"], ["v", "x"], "t", dialect="postgresql").collect()}
+    assert "'\\'" in ansi[2] and "'a\\'' OR" in ansi[1]
     back = {r.id: r.statement for r in repair.repair_sql(found, ["id"], ["name", "price", "created_at"], "s", "source", {"id": "key"}, "postgresql").collect()}
     assert back[4] == 'DELETE FROM s WHERE "key" = 4' and back[5].startswith('INSERT INTO s ("key", "name"')
 
