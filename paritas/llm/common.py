@@ -24,23 +24,37 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that the cluster names; a temporary one only where none is named."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between stages that the cluster names; a temporary one only where all runs on this machine."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under a name of its own in the folder of checkpoints, which all executors share, and read again."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet under a name of its own in the shared folder, and read again; and where, for removed()."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what written() wrote, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -124,15 +138,15 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, np.ndar
     return df.select(*names).repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of links (a, b) reaches.
 
     Alternating large-star and small-star rounds, each a grouped aggregate without collecting a neighbourhood; lineage
-    is cut every round. Ends when a round changes nothing, and raises if that needs more than the given rounds.
+    is cut every round. Ends when a round changes nothing, after some log(n) ** 2 rounds at most.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, before = cut(edges), None
-    for _ in range(rounds):
+    while True:
         # Large star: every larger neighbour of a node moves to the smallest of the node and its neighbours.
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -147,4 +161,3 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = now
-    raise RuntimeError(f"components did not settle within {rounds} rounds")

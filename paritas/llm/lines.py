@@ -5,44 +5,49 @@ or NEAR characters or more that is within EDITS edits of such a line that comes
 
 Near lines are found by a segment-partition join: a line is cut into EDITS + 1 segments, one of which stands unedited in
 any line within EDITS edits. Segments are indexed by length and number, and every line probes, for each length that a
-partner can have, the few substrings where its segment can be. Under a key that many lines share, only lines meet whose letters' counts differ by no
-more than the edits allow. What meets is verified: common ends are taken off, and a banded bit-parallel recurrence gives the
-edit distance of the rest. Lengths and edits are in characters, or in bytes of UTF-8 where a caller asks for these.
+partner can have, the few substrings where its segment can be. What meets is verified: common ends are taken off, and a
+banded bit-parallel recurrence gives the edit distance of the rest. Lengths and edits are in characters.
+
+Lines under a key that many share do not meet under it. They are cut again, into FINE segments of which all but EDITS stand
+unedited, and meet under all such segments together, if they differ in the others. Where many share even these, as lines of
+one template do, they meet under what is left of their other segments when up to EDITS characters are taken out, if that
+gives fewer rows than pairs: a line's rows are bounded by its length, not by how many lines are like it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import SPACES, cut
+from paritas.llm.common import SPACES, cut, removed, written
 
 #: Bytes, or characters, of the shortest lines compared for edits: of sf0.1's lines of 16 to 31 characters 18 pairs are within
 #: two edits, mostly of punctuation, of 12 to 15 there are 26, and of 8 to 11 there are 245, mostly of other words.
 LEAST, NEAR, EDITS = 32, 16, 2
-#: Lines that share a key before letters are compared, and these letters.
-CROWD, LETTERS = 40, "abcdefghijklmnopqrstuvwxyz ,."
-#: Rows of two or three numbers that may be broadcast; with more, the same join shuffles.
-FEW = 2_000_000
+#: Lines that share a key beyond which they meet under finer ones; and the segments of these.
+CROWD, FINE = 40, 8
+#: Bytes that a table may have in memory to be broadcast; larger ones are shuffled in the same join.
+BROADCAST = 32 << 20
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """df, materialised, to be broadcast only if it has few rows."""
+def sized(df: DataFrame, width: Column | int = 64) -> DataFrame:
+    """df, materialised, to be broadcast only if its rows, of width bytes in memory, are within BROADCAST."""
     df = cut(df)
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    return F.broadcast(df) if (df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0) <= BROADCAST else df
 
 
-def lines(docs: DataFrame, least: int = LEAST, short: bool = False) -> DataFrame:
-    """(doc, no, line, h, g): the lines that take part, numbered from 0 in their document, with a hash of 128 bits; with short
-    also the shorter ones that are not blank.
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc, row, no, line, h, g): the lines that are not blank, numbered from 0 in their document, which doc and a hash of its
+    text name, with a hash of 128 bits.
     """
-    rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.col("text"), "\n")).alias("no", "line"))
-    takes = F.octet_length("line") >= least
-    if short:
-        takes = takes | (F.trim("line", F.lit(SPACES.decode())) != "")
-    return rows.where(takes).select("doc", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    # The hash and the parts first: what stands beside a generator is copied for each of its rows.
+    known = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), F.split(F.col("text"), "\n").alias("parts"))
+    rows = known.select("doc", "row", F.posexplode_outer("parts").alias("no", "line"))
+    takes = (F.octet_length("line") >= LEAST) | (F.trim("line", F.lit(SPACES.decode())) != "")
+    return rows.where(takes).select("doc", "row", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 # -- edit distance ----------------------------------------------------------------------------------------------------
@@ -58,13 +63,9 @@ def _common(a: Column, b: Column, most: Column, at_end: bool) -> Column:
     return F.aggregate(steps, F.lit(0), lambda p, step: F.when(p + step > most, p).when(part(a, p, step) == part(b, p, step), p + step).otherwise(p))
 
 
-def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS, characters: bool = False) -> DataFrame:
-    """The pairs whose texts a and b are within edits edits of bytes, or of characters."""
-    # A byte each as a character, so that positions count bytes.
-    unit = F.col if characters else lambda c: F.decode(F.col(c).cast("binary"), "ISO-8859-1")
-    df = _once(pairs, _a=unit(a), _b=unit(b))
-    a, b = "_a", "_b"
-    df = _once(df.where(F.abs(F.length(a) - F.length(b)) <= edits), _m=F.least(F.length(a), F.length(b)))
+def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
+    """The pairs whose texts a and b are within edits edits of characters."""
+    df = _once(pairs.where(F.abs(F.length(a) - F.length(b)) <= edits), _m=F.least(F.length(a), F.length(b)))
     df = _once(df, _head=_common(F.col(a), F.col(b), F.col("_m"), False))
     df = _once(df, _tail=_common(F.col(a), F.col(b), F.col("_m") - F.col("_head"), True))
     df = _once(df, **{name: F.substring(F.col(s), F.col("_head") + 1, F.length(s) - F.col("_head") - F.col("_tail")) for s, name in ((a, "_x"), (b, "_y"))})
@@ -93,7 +94,7 @@ def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS, characters: boo
     rows = F.lit((1 << (2 * edits)) - 1).bitwiseAND(F.bitwise_not(F.expr(f"shiftleft(1, greatest(0, length(_x) - length(_y) + {edits})) - 1")))
     up = F.bit_count(F.col("_s.vp").bitwiseAND(rows)) - F.bit_count(F.col("_s.vn").bitwiseAND(rows))
     distance = F.when(F.greatest(m, n) <= edits, F.lit(0)).when(F.col("_s.d") > 3 * edits, F.lit(edits + 1)).otherwise(F.col("_s.d") - up)
-    return df.where(distance <= edits).drop("_a", "_b", "_m", "_head", "_tail", "_x", "_y", "_p", "_t", "_s")
+    return df.where(distance <= edits).drop("_m", "_head", "_tail", "_x", "_y", "_p", "_t", "_s")
 
 
 def _moved(d0: Column, j: Column, vp: Column, vn: Column, d: Column, width: int, mask: int) -> Column:
@@ -119,14 +120,18 @@ def _places(edits: int, delta: int) -> list[tuple[int, int]]:
     return out
 
 
+def _bound(k: int, delta: int, edits: int) -> str:
+    """The column that says where segment k of lines delta shorter ends, from 0; the ends of a line itself are known."""
+    return "0" if k == 0 else f"n - {delta}" if k == edits + 1 else f"_{delta}_{k}"
+
+
 def _key(i: int, shift: int, delta: int, edits: int) -> str:
     """SQL of the key of segment i of lines delta shorter than this one, b of length n, read at shift from its place
     there; null where the line has no such place.
     """
-    start, stop = (f"int((n - {delta}) * {k} div {edits + 1})" for k in (i - 1, i))
-    at, size = f"({start} + {1 + shift})", f"({stop} - {start})"
-    made = f"xxhash64({i}, n - {delta}, substring(b, {at}, {size}))"
-    return made if shift == 0 else f"CASE WHEN {at} >= 1 AND {at} + {size} - 1 <= n THEN {made} END"
+    start, stop = _bound(i - 1, delta, edits), _bound(i, delta, edits)
+    made = f"xxhash64({i}, n - {delta}, substring(b, {start} + {1 + shift}, {stop} - {start}))"
+    return made if shift == 0 else f"CASE WHEN {start} + {shift} >= 0 AND {stop} + {shift} <= n THEN {made} END"
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -134,84 +139,159 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def keyed(texts: DataFrame, edits: int, probes: bool, characters: bool = False) -> DataFrame:
-    """(h, line, n, keys, key): the length, and the keys of the indexed segments, or of the probes, of lines (h, line), one a row and all."""
-    line = F.col("line")
-    known = _once(texts, b=line, n=F.length(line)) if characters else _once(texts, b=line.cast("binary"), n=F.octet_length(line))
-    if probes:
-        keys = [_key(i, s, delta, edits) for delta in range(edits + 1) for i, s in _places(edits, delta)]
-    else:
-        keys = [_key(i, 0, 0, edits) for i in range(1, edits + 2)]
-    known = _once(known, keys=F.expr(f"array({', '.join(keys)})"))
-    return known.select("h", "line", "n", "keys", F.explode("keys").alias("key")).where("key is not null")
+def keyed(texts: DataFrame, edits: int, probes: bool) -> DataFrame:
+    """(h, line, n, key): the length, and the keys of the indexed segments, or of the probes, of lines (h, line), one a row."""
+    deltas = range(edits + 1) if probes else (0,)
+    keys = [_key(i, s, delta, edits) for delta in deltas for i, s in (_places(edits, delta) if probes else [(i, 0) for i in range(1, edits + 2)])]
+    known = _once(texts, b=F.col("line"), n=F.length("line"))
+    # Bounds first, so that the code made for the keys is short enough to be compiled; an outer generator makes each key once.
+    known = _once(known, **{f"_{delta}_{k}": F.expr(f"int((n - {delta}) * {k} div {edits + 1})") for delta in deltas for k in range(1, edits + 1)})
+    return known.select("h", "line", "n", F.explode_outer(F.expr(f"array({', '.join(keys)})")).alias("key")).where("key is not null")
+
+
+def _fine_shifts(masked: int, edits: int, delta: int) -> list[tuple[int, ...]]:
+    """How far a line that is delta longer may have moved behind each of so many edited segments, the last time by delta."""
+    moved = [(*s, delta) for s in itertools.product(range(-edits, edits + 1), repeat=masked - 1)]
+    return [m for m in moved if sum(max(1, abs(b - a)) for a, b in zip((0, *m), m, strict=False)) <= edits]
+
 
+def _fine_keys(masked: int, edits: int, probes: bool, of: int) -> str:
+    """SQL of an array of (key, same, parts), one for each choice of so many masked segments and shifts: a hash of what stands
+    between them in lines delta shorter, each run moved by the shift before it; whether lengths are equal; and the masked
+    segments themselves, as they are under these shifts. Null where a segment does not fit.
+
+    A choice is an array of the masked segments, counted from 0, then the shifts behind them; the last shift is delta.
+    """
+    shifts = [s for delta in range(edits + 1) for s in _fine_shifts(masked, edits, delta)] if probes else [(0,) * masked]
+    choices = ", ".join(f"array({', '.join(map(str, (*m, *s)))})" for m in itertools.combinations(range(of), masked) for s in shifts)
+    delta = f"c[{2 * masked - 1}]"
+    runs, parts, fits, at, moved = [], [], [], "0", "0"
+    for j in range(masked):
+        start, stop, after = f"int((n - {delta}) * c[{j}] div {of})", f"int((n - {delta}) * (c[{j}] + 1) div {of})", f"c[{masked + j}]"
+        runs.append(f"substring(b, {at} + 1 + {moved}, {start} - {at})")
+        size = f"{stop} - {start} + {after} - {moved}"
+        parts.append(f"substring(b, {start} + 1 + {moved}, {size})")
+        fits.append(f"{size} >= 0")
+        at, moved = stop, after
+    runs.append(f"substring(b, {at} + 1 + {moved}, n - {at})")
+    places = ", ".join(f"c[{j}]" for j in range(masked))
+    made = f"struct(xxhash64({places}, n - {delta}, {', '.join(runs)}) AS key, {delta} = 0 AS same, array({', '.join(parts)}) AS parts)"
+    return f"transform(array({choices}), c -> CASE WHEN {' AND '.join(fits)} THEN {made} END)"
+
+
+def fine(texts: DataFrame, edits: int, probes: bool, of: int = FINE) -> DataFrame:
+    """(h, key, same, parts): a row for each choice of up to edits segments in which a line's partner may differ from it, each
+    of them edited at least once.
+    """
+    known = _once(texts, b=F.col("line"), n=F.length("line"))
+    known = _once(known, keys=F.expr(f"concat({', '.join(_fine_keys(k, edits, probes, of) for k in range(1, edits + 1))})"))
+    return known.select("h", F.explode("keys").alias("at")).where("at is not null").select("h", "at.*")
 
-def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD, *, characters: bool = False) -> DataFrame:
-    """(a, b): hashes of the distinct lines (h, line) that share a key, each pair once."""
-    count = keyed(texts, edits, False, characters).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = sized(count.where(F.col("n") > crowd).select("key", F.lit(True).alias("hot")))
-    letters = F.array(*[(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c)))).cast("int") for c in LETTERS])
 
-    def rows(probes: bool, side: str) -> DataFrame:
-        known = keyed(texts, edits, probes, characters).join(hot, "key", "left")
-        return known.select("key", F.col("h").alias(f"{side}_h"), F.when(F.col("hot"), letters).alias(f"{side}_letters"), F.when(F.col("hot"), F.col("keys")).alias(f"{side}_keys"), F.when(F.col("hot"), F.col("n")).alias(f"{side}_n"))
+def _thinned(rest: Column, edits: int) -> Column:
+    """rest, and all that is left when up to edits of its characters are taken out."""
+    out = F.array(rest)
+    for _ in range(edits):
+        less = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        out = F.array_distinct(F.flatten(F.transform(out, lambda s: F.concat(F.array(s), less(s)))))
+    return out
+
 
-    # Under a crowded key: an edit changes the count of one letter less and of one more; of the keys that a pair shares the
-    # least brings it; and of lines of one length, which ask for each other, one asks.
-    apart = F.aggregate(F.zip_with("i_letters", "p_letters", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
-    first = F.array_min(F.array_intersect("i_keys", "p_keys")) == F.col("key")
-    once = (F.col("i_n") != F.col("p_n")) | (F.col("i_h") < F.col("p_h"))
-    near = F.col("i_letters").isNull() | (once & (apart <= 2 * edits) & first)
-    i, p = rows(False, "i").withColumnRenamed("key", "k"), rows(True, "p")
-    both = i.join(p, (F.col("k") == F.col("key")) & (F.col("i_h") != F.col("p_h")) & near)
-    return both.select(F.col("p_h").alias("a"), F.col("i_h").alias("b")).distinct()
+def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
+    """(a, b): hashes of the distinct lines (h, line) that share a key, each pair once or, from both its lines, twice."""
+    counts = keyed(texts, edits, False).groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.first("n").alias("n")).where(F.col("lines") > crowd)
+    hot = sized(counts.select("key", "n"))
+    some = [keyed(texts, edits, probes).select("h", "key").join(hot.select("key"), "key", "left_anti") for probes in (False, True)]
+    found = _met(some[0], some[1].withColumn("same", F.lit(False)))
+    # The lines of crowded keys; a line probes its own keys too. Their lengths leave out most others before keys are made.
+    lengths = sized(hot.select(F.explode(F.sequence(F.col("n"), F.col("n") + edits)).alias("length")).distinct())
+    near = texts.join(lengths, F.length("line") == F.col("length"), "left_semi")
+    crowded = cut(keyed(near, edits, True).join(hot.select("key"), "key", "left_semi").select("h", "line").dropDuplicates(["h"]))
+    index = fine(crowded, edits, False)
+    many = index.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") > crowd)
+    # Under a fine key that many lines share: the usual segments, which are the median's if over half of the lines have them,
+    # and whether taking characters out makes fewer rows than there are lines.
+    usual = [F.percentile_approx(F.xxhash64(F.get("parts", F.lit(j))), 0.5) for j in range(edits)]
+    width = F.max(F.length(F.array_join("parts", "\n"))).cast("double")
+    rows = sum((F.pow(width, F.lit(k)) / math.factorial(k) for k in range(1, edits + 1)), F.lit(1.0))
+    again = sized(index.join(sized(many), "key").groupBy("key").agg(F.array(*usual).alias("usual"), (rows < F.first("lines")).alias("thin")), 128)
+
+    def finer(probes: bool) -> DataFrame:
+        """The segments of two lines that are edited are not both the usual ones: keys name those that are unusual in the
+        indexed line, and a line asks for all that, with its own, make up every masked segment.
+        """
+        known = fine(crowded, edits, probes).join(again, "key", "left")
+        bits = F.array(*[F.lit(1 << j) for j in range(edits)])
+        odd = F.transform("parts", lambda x, j: F.when(F.xxhash64(x) != F.get("usual", j), F.get(bits, j)).otherwise(0))
+        every = F.get(F.array(*[F.lit((2 << j) - 1) for j in range(edits)]), F.size("parts") - 1)
+        known = _once(known, odd=F.when(F.col("usual").isNotNull(), F.aggregate(odd, F.lit(0), lambda a, b: a + b)), every=every)
+        wanted = F.filter(F.sequence(F.lit(0), F.col("every")), lambda f: f.bitwiseOR(F.col("odd")) == F.col("every")) if probes else F.array("odd")
+        left = F.when(F.col("thin"), _thinned(F.array_join("parts", "\n"), edits)).otherwise(F.array(F.lit("")))
+        known = _once(known, wanted=wanted, left=left)
+        keys = F.flatten(F.transform("wanted", lambda f: F.transform("left", lambda s: F.xxhash64("key", f, s))))
+        return known.select("h", "same", F.explode(F.when(F.col("usual").isNull(), F.array("key")).otherwise(keys)).alias("key"))
+
+    return found.unionByName(_met(finer(False).drop("same"), finer(True))).distinct()
+
+
+def _met(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """(a, b) of the probes (h, key, same) and the indexed rows (h, key) that share a key; lines that ask for each other, once."""
+    both = index.select(F.col("key").alias("k"), F.col("h").alias("b")).join(probes.select("key", "same", F.col("h").alias("a")), F.col("k") == F.col("key"))
+    return both.where("a <> b and (not same or a < b)").select("a", "b")
 
 
 # -- documents --------------------------------------------------------------------------------------------------------
 
 
-def removals(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False, characters: bool = False) -> DataFrame:
-    """(doc, gone, links): places of the lines that go, for each document that loses some; links counts those that go as near."""
-    named = cut(lines(docs, least, short).select("doc", "no", "h", "g"))
-    whole = named.groupBy("h", "g").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = sized(whole.where("n > 1").select("h", "g", F.col("first.doc").alias("first_doc"), F.col("first.no").alias("first_no")))
-    again = ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("no") == F.col("first_no")))
-    long = lines(docs, least, short).where((F.octet_length("line") >= least) | (F.length("line") >= NEAR)) if short else lines(docs, least)
-    texts = long.join(repeated, ["h", "g"], "left").where(F.col("first_no").isNull() | ~again)
-    pairs = cut(candidates(texts.select("h", "line"), edits, characters=characters))
+def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(doc, row, gone, links): places of the lines that go, for each document that loses some; links counts those that go as near."""
+    place = F.struct("doc", "row", "no")
+    named = cut(lines(docs).select("doc", "row", "no", "h", "g"))
+    whole = named.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = sized(whole.where("n > 1").select("h", "g", "first"), 96)
+    again = ~place.eqNullSafe(F.col("first"))
+    long = lines(docs).where((F.octet_length("line") >= LEAST) | (F.length("line") >= NEAR))
+    texts = long.join(repeated, ["h", "g"], "left").where(F.col("first").isNull() | ~again)
+    # Read five times; as Parquet, a line's text is on disk once more, compressed.
+    texts, path = written(texts.select("h", "g", "line", place.alias("at")), "lines")
+    pairs = cut(candidates(texts.select("h", "line"), edits))
     wanted = sized(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct())
-    held = cut(texts.join(wanted, "h", "left_semi").select("h", "g", "line", F.struct("doc", "no").alias("at")))
+    held = cut(texts.join(wanted, "h", "left_semi"))
+    removed(texts.sparkSession, path)
     side = lambda s: held.select(*[F.col(c).alias(f"{s}_{c}") for c in held.columns])
     both = pairs.join(side("x"), F.col("a") == F.col("x_h")).join(side("y"), F.col("b") == F.col("y_h"))
-    near = within(both, "x_line", "y_line", edits, characters)
+    near = within(both, "x_line", "y_line", edits)
     later = lambda s: F.when(F.col("x_at") > F.col("y_at"), F.col(f"x_{s}")).otherwise(F.col(f"y_{s}"))
     late = sized(near.select(later("h").alias("h"), later("g").alias("g")).distinct().withColumn("near", F.lit(True)))
     marked = named.join(repeated, ["h", "g"], "left").join(late, ["h", "g"], "left")
-    goes = marked.where(F.col("near") | (F.col("first_no").isNotNull() & again))
-    return goes.groupBy("doc").agg(F.sort_array(F.collect_list("no")).alias("gone"), F.count_if(F.col("near")).alias("links"))
+    goes = marked.where(F.col("near") | (F.col("first").isNotNull() & again))
+    return goes.groupBy("doc", "row").agg(F.sort_array(F.collect_set("no")).alias("gone"), F.count_if(F.col("near")).alias("links"))
 
 
-def whole(docs: DataFrame) -> DataFrame:
-    """deduplicated as the queries ask for it: repeats of short lines go too, and edits are of characters."""
-    return deduplicated(docs, short=True, characters=True)
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores in front until no column has it, in whatever case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False, characters: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """docs with their text without the lines that go, and n_lines, n_removed and n_near (those of them near another line).
 
-    Lines of least bytes or more take part; with short, all that are not blank, those under NEAR characters in exact repeats only. Edits
-    are of bytes of UTF-8, or of characters.
-
-    A null text stays null, with no lines; an empty one has one empty line. Rows of one doc_id count as one document, whose
-    lines of equal places go or stay together; rows without a doc_id come first in the order, and lose only lines that
-    repeat elsewhere. An empty table gives no rows. Columns n_lines, n_removed and n_near of docs are replaced.
+    A null text stays null, with no lines; an empty one has one empty line. Rows of one doc_id are documents of their own if
+    their texts differ; rows that repeat both count as one, whose lines go or stay together. Rows without a doc_id come first
+    in the order. An empty table gives no rows. Columns n_lines, n_removed and n_near of docs are replaced; others stay,
+    whatever their names.
     """
     base = docs.drop("n_lines", "n_removed", "n_near")
-    gone = sized(removals(docs.select("doc_id", "text"), least, edits, short, characters))
-    both = base.join(gone, base["doc_id"].eqNullSafe(gone["doc"]), "left")
-    parts = F.split(F.col("text"), "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n = F.coalesce(F.size(parts), F.lit(0))
-    made = both.withColumn("_kept", kept).withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long"))
-    made = made.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("n_near", F.coalesce("links", F.lit(0)).cast("long"))
-    return made.select(*[F.col("_kept").alias("text") if c == "text" else F.col(c) for c in base.columns], "n_lines", "n_removed", "n_near")
+    doc, row, gone, links, parts, kept = (fresh(x, base.columns) for x in ("doc", "row", "gone", "links", "parts", "kept"))
+    found = sized(removals(docs.select("doc_id", "text"), edits), F.size("gone") * 4 + 96).toDF(doc, row, gone, links)
+    both = base.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(row)), "left")
+    n = F.coalesce(F.size(parts), F.lit(0)).cast("long")
+    made = _once(both, **{parts: F.when(F.col("text").isNotNull(), F.split(F.col("text"), "\n"))})
+    # Places that stay, by a hash set, so that a document's cost grows with its lines alone.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(parts), i)), "\n"))
+    made = made.withColumn(kept, text)
+    columns = [F.col(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns]
+    return made.select(*columns, n.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.col(links), F.lit(0)).cast("long").alias("n_near"))
