@@ -142,15 +142,27 @@ def valid(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return vectors.select(F.col(id_column).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
 
 
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Vectors of length one, in double precision."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", cosine: float = COSINE, **cells: float) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
-    Vectors that are null, zero, or hold null or non-finite components have no links and are their own component; so have
-    vectors of another dimension with each other. Rows are told apart by their id: rows that repeat an id are one vector
-    (of these the least) and get the same answer. Rows without an id get a null component, and are not kept.
+    Equal vectors are folded into one before all else. Vectors that are null, zero, or hold null or non-finite components have
+    no links and are their own component; so have vectors of another dimension with each other. Rows are told apart by their
+    id: rows that repeat an id are one vector (of these the least) and get the same answer. Rows without an id get a null
+    component, and are not kept.
     """
-    neighbours = int(cells.get("neighbours", NEIGHBOURS))
+    asked = 1 + int(cells.get("neighbours", NEIGHBOURS))
+    id_type = vectors.schema[id_column].dataType.simpleString()
+    kind = np.float32 if vectors.schema[column].dataType.simpleString() == "array<float>" else np.float64
     usable = valid(vectors, id_column, column).groupBy("id").agg(F.min("v").alias("v"))
+    named = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]
+    folded = usable.select("id", "v", *named).groupBy("h", "g").agg(F.min(F.struct("id", "v")).alias("first"), F.count(F.lit(1)).alias("many"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[int, Cells] = {}
@@ -160,62 +172,51 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str =
                 rows = pdf[sizes == d]
                 for a in range(0, len(rows), 1024):
                     some = rows.iloc[a : a + 1024]
-                    x = np.stack(some["v"].to_numpy()).astype(np.float64)
-                    x /= np.abs(x).max(axis=1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    c = made.setdefault(int(d), Cells(int(d), **cells)).of(x)
-                    raw, named = [r.tobytes() for r in x], [r.tobytes() for r in c]
-                    n, tables, asked = c.shape
-                    yield pd.DataFrame(
-                        {
-                            "cell": c.reshape(-1),
-                            "dim": np.int32(d),
-                            "tab": np.tile(np.repeat(np.arange(tables, dtype=np.int32), asked), n),
-                            "own": np.tile(np.arange(asked) == 0, n * tables),
-                            "id": np.repeat(some["id"].to_numpy(), tables * asked),
-                            "unit": [raw[i] for i in range(n) for _ in range(tables * asked)],
-                            "cells": [named[i] for i in range(n) for _ in range(tables * asked)],
-                        }
-                    )
-
-    id_type = vectors.schema[id_column].dataType.simpleString()
-    schema = f"cell long, dim int, tab int, own boolean, id {id_type}, unit binary, cells binary"
-    placed = usable.mapInPandas(place, schema)
-    # Cells with a single visitor, or none at home, are left out; a crowded one is split into blocks, by pairs of these.
-    crowd = placed.groupBy("cell", "dim").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("home")).where("n > 1 and home")
-    crowd = cut(crowd.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).select("cell", "dim", "parts"))
+                    raw = np.stack(some["v"].to_numpy()).astype(kind)
+                    found = made.setdefault(int(d), Cells(int(d), **cells)).of(_unit(raw)).reshape(len(some), -1)
+                    yield some[["h", "g", "id", "many"]].assign(dim=np.int32(d), raw=[r.tobytes() for r in raw], cells=list(found))
+
+    nodes = cut(folded.select("h", "g", "first.id", "first.v", "many").mapInPandas(place, f"h long, g long, id {id_type}, many long, dim int, raw binary, cells array<long>"))
+    # Cells with a single visitor, or none at home, are left out; a crowded one is split into blocks, by pairs of these. Only
+    # ids are placed; vectors come to the places that are left.
+    placed = nodes.select("id", "dim", F.posexplode("cells").alias("at", "cell"))
+    crowd = placed.groupBy("cell", "dim").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("at") % asked == 0).alias("home")).where("n > 1 and home")
+    crowd = cut(crowd.select("cell", "dim", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     sent = placed.join(crowd, ["cell", "dim"]).withColumn("part", part).select("*", other)
     low, high = F.least("part", "other"), F.greatest("part", "other")
-    sent = sent.select("cell", "dim", low.alias("p"), high.alias("q"), "part", "tab", "own", "id", "unit", "cells")
+    sent = sent.select("cell", "dim", low.alias("p"), high.alias("q"), "part", "at", "id").join(nodes.select("id", "many", "raw", "cells"), "id")
 
     def verify(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame | None:
         out = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             g = pdf.iloc[a:b]
-            if b - a < 2 or not g["own"].any():
+            at = g["at"].to_numpy()
+            if b - a < 2 or not (at % asked == 0).any():
                 continue
-            table, cell = int(g["tab"].iloc[0]), int(g["cell"].iloc[0])
-            unit = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1)
-            named = np.frombuffer(b"".join(g["cells"]), np.int64).reshape(len(g), -1, 1 + neighbours)
-            ids, side = g["id"].to_numpy(), g["part"].to_numpy()
+            table, cell = int(at[0]) // asked, int(g["cell"].iloc[0])
+            unit = _unit(np.frombuffer(b"".join(g["raw"]), kind).reshape(len(g), -1))
+            home = np.stack(g["cells"].to_numpy()).reshape(len(g), -1, asked)
+            ids, side, many = g["id"].to_numpy(), g["part"].to_numpy(), g["many"].to_numpy()
             p, q = int(g["p"].iloc[0]), int(g["q"].iloc[0])
             x, y = np.flatnonzero(side == p), np.flatnonzero(side == q)
-            i, j = links_within((unit[x], named[x]), (unit[y], named[y]), p == q, table, cosine, cell)
+            i, j = links_within((unit[x], home[x]), (unit[y], home[y]), p == q, table, cosine, cell)
             if not len(i):
                 continue
             i, j = x[i], y[j]
             least = forest(len(g), i, j)
-            count = np.bincount(np.concatenate([i, j]), minlength=len(g))
+            count = np.bincount(np.concatenate([i, j]), weights=many[np.concatenate([j, i])], minlength=len(g)).astype(np.int64)
             some = np.flatnonzero(count)
             out.append(pd.DataFrame({"a": ids[some], "b": ids[least[some]], "n": count[some]}))
         return pd.concat(out, ignore_index=True) if out else None
 
     found = cut(by_group(sent, ["cell", "dim", "p", "q"], verify, f"a {id_type}, b {id_type}, n long", 20_000))
-    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    joined = counts.join(components(found.select("a", "b")), "node", "left")
-    rows = vectors.select(F.col(id_column).alias("node")).join(joined, "node", "left")
-    component = F.coalesce("component", "node")
-    kept = F.coalesce(F.col("node") == component, F.lit(False))
-    return rows.select(F.col("node").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
+    counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    classes = nodes.select("h", "g", "id", "many").join(counts, "id", "left").join(components(found.select("a", "b")).withColumnRenamed("node", "id"), "id", "left")
+    links = F.col("many") - 1 + F.coalesce("others", F.lit(0))
+    classes = classes.select("h", "g", links.alias("n_links"), F.coalesce("component", "id").alias("component"))
+    members = usable.select("id", *named).join(classes, ["h", "g"]).drop("h", "g")
+    rows = vectors.select(F.col(id_column).alias("id")).join(members, "id", "left")
+    component = F.coalesce("component", "id")
+    return rows.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -29,6 +29,7 @@ def data(n=400, near=0.02):
             rows.append(w / np.linalg.norm(w) * 5)
     hot = rng.normal(size=64)
     rows += [hot + rng.normal(size=64) * 0.1 for _ in range(150)]
+    rows += [rows[0]] * 40 + [hot * 3] * 30 + [rows[-1]] * 5
     return [r.astype(np.float32).tolist() for r in rows]
 
 
@@ -52,7 +53,7 @@ def test_links_like_brute_force(spark, block, monkeypatch):
     degree = {i: 0 for i in ids}
     for a, _ in pairs:
         degree[a] += 1
-    assert sum(got[i].n_links for i in ids) >= 0.97 * len(pairs)
+    assert sum(got[i].n_links for i in ids) >= 0.97 * len(pairs) > 9_000
     assert all(got[i].n_links <= degree[i] for i in ids)
     component = {i: i for i in ids}
     for _, (a, b) in itertools.product(range(6), sorted(pairs)):
@@ -71,4 +72,10 @@ def test_pairs_at_the_threshold_are_mostly_found():
     o /= np.linalg.norm(o, axis=1, keepdims=True)
     cells = lattice.Cells(64)
     x, y = cells.of(a), cells.of(0.9 * a + np.sqrt(1 - 0.81) * o)
-    assert ((x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)).any(axis=1).mean() > 0.88
+    assert ((x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)).any(axis=1).mean() > 0.92
+
+
+def test_doubles_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], 5), (2, [1.0, 2.1], 6), (3, [1.0, 2.0], 7), (None, [1.0, 2.0], 8), (4, [-1.0, 5.0], 9)], "vec_id int, embedding array<double>, id int")
+    got = sorted(map(tuple, lattice.near_duplicates(df).collect()), key=str)
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (None, 0, None, False)]
