@@ -10,6 +10,8 @@ inside one does not count. A text's matches, in sum and per thousand words, give
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import by_text
+from paritas.llm.common import by_text, cut
 
 #: Letters of other scripts that look like Latin ones, and what digits and signs in words stand for. Fixed values.
 LOOKALIKES = {
@@ -29,12 +31,12 @@ LOOKALIKES = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ſ": "s",
 }
 STAND_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-#: Labelled rows of each class that the lexicon is learned from, in expectation; entries; and lengths of word beginnings.
-TOXIC_ROWS, CLEAN_ROWS, ENTRIES = 4_000, 8_000, 400
+#: Labelled rows of each class that the lexicon is learned from, in expectation; and lengths of word beginnings.
+TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
 BEGINNINGS = range(3, 8)
-#: Log odds that an entry has at least; the share of toxic rows that must have it; and the log likelihood by which its rows'
-#: classes must differ from chance, of which many rare words would otherwise show some.
-LEAST_ODDS, LEAST_SHARE, LEAST_EVIDENCE = 2.5, 0.01, 11.0
+#: Log odds that an entry has at least, and the log likelihood by which its rows' classes must differ from chance, of which
+#: many rare words would otherwise show some. Nothing else bounds the entries: the sample of rows does.
+LEAST_ODDS, LEAST_EVIDENCE = 2.5, 11.0
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 _SIGN = re.compile(r"(?<![^\W_])[0134578@$!](?=[^\W\d_])|(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])")
 
@@ -94,7 +96,11 @@ def matches(automaton, folded: str) -> list[tuple[int, int, float]]:
             found[start] = (end, w)
     out = [(s, e, w) for s, (e, w) in found.items()]
     if spared:
-        out = [(s, e, w) for s, e, w in out if not any(a <= s and e <= b + 1 for a, b in spared)]
+        # A term is inside an exception if, of those that start before it, one ends behind it.
+        spared.sort()
+        starts, last = [a for a, _ in spared], list(itertools.accumulate((b for _, b in spared), max))
+        inside = lambda s, e: (k := bisect.bisect_right(starts, s)) > 0 and e <= last[k - 1] + 1
+        out = [x for x in out if not inside(x[0], x[1])]
     return out
 
 
@@ -124,7 +130,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, tup
     place = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) / 1_000_000.0
     wanted = known.where(place < F.when(F.col("toxic") == 1, share[1][1]).otherwise(share[0][1]))
     # At most some twelve thousand rows of two numbers.
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted), "doc_id").select("text", "toxic"), share
+    return cut(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted), "doc_id").select("text", "toxic")), share
 
 
 def features(folded: str) -> set[str]:
@@ -156,14 +162,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     odds = F.log((F.col("t") + 0.5) / (toxic_n + 1)) - F.log((F.col("c") + 0.5) / (clean_n + 1))
     t, c, p = F.col("t"), F.col("c"), toxic_n / (toxic_n + clean_n)
     evidence = t * F.log(t / (t + c) / p) + F.when(c > 0, c * F.log(c / (t + c) / (1 - p))).otherwise(0.0)
-    frequent = counted.where(t >= max(3, LEAST_SHARE * toxic_n))
-    good = frequent.withColumn("odds", odds).where((F.col("odds") >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE))
-    best = good.orderBy((F.col("t") * F.col("odds")).desc(), F.length("term").desc(), "term").limit(20 * ENTRIES).collect()
-    model = Model()
-    for r in best:
+    good = counted.where(t > 0).withColumn("odds", odds).where((F.col("odds") >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE))
+    # At most the words of the sampled toxic rows, and far fewer, as each needs its evidence.
+    best = good.orderBy((F.col("t") * F.col("odds")).desc(), F.length("term").desc(), "term").collect()
+    model, begun = Model(), set()
+    for r in best:  # of entries that begin alike the best stays
         term = r["term"]
-        if len(model.weights) < ENTRIES and not any(term.startswith(k) or k.startswith(term.rstrip()) for k in model.weights):
+        if term.rstrip() not in begun and not any(term[:k] in model.weights for k in range(1, len(term) + 1)):
             model.weights[term] = float(r["odds"])
+            begun.update(term[:k] for k in range(1, len(term) + 1))
 
     terms = model.automaton()
 
@@ -182,12 +189,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                         phrases.add(folded[before : word_end + 1])
                     if after > word_end + 1:
                         phrases.add(folded[s : after + 1])
-                out.append((toxic, *signals(found, folded), [" ".join(["", *p.split(), ""]) for p in sorted(phrases)][:200]))
+                out.append((toxic, *signals(found, folded), [" ".join(["", *p.split(), ""]) for p in sorted(phrases)]))
             yield pd.DataFrame(out, columns=["toxic", "total", "rate", "phrases"])
 
     seen = rows.mapInPandas(look, "toxic int, total double, rate double, phrases array<string>")
     phrase = seen.select("toxic", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
-    spare = phrase.where((F.col("c") >= 5) & (F.col("c") >= 9 * F.col("t"))).orderBy(F.desc("c"), "phrase").limit(ENTRIES).collect()
+    spare = phrase.where((F.col("c") >= 5) & (F.col("c") >= 9 * F.col("t"))).collect()
     model.exceptions = {r["phrase"] for r in spare}
     final = model.automaton()
     points = seen.select("toxic", "total", "rate").toPandas() if not model.exceptions else _points(rows, final)

@@ -19,6 +19,24 @@ def test_exceptions_spare_terms():
     assert toxicity.matches(toxicity.Model().automaton(), " x ") == []
 
 
+def test_matches_like_loops():
+    """Against all starts, terms and exceptions, in loops."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        word = lambda: "".join(rng.choice(list("ab"), rng.integers(1, 4)))
+        weights = {f" {word()}" + (" " if rng.random() < 0.5 else ""): float(rng.integers(1, 9)) for _ in range(4)}
+        spare = {f" {word()} {word()} " for _ in range(4)}
+        folded = " " + " ".join(word() for _ in range(12)) + " "
+        want = []
+        for s in range(len(folded)):
+            found = [t for t in weights if folded.startswith(t, s)]
+            if found:
+                end = s + max(map(len, found)) - 1
+                if not any(folded.startswith(p, a) and a <= s and end <= a + len(p) for p in spare for a in range(len(folded))):
+                    want.append((s, end, weights[max(found, key=len)]))
+        assert sorted(toxicity.matches(toxicity.Model(weights, spare).automaton(), folded)) == want
+
+
 def corpus(n=1500):
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(300)]
@@ -50,6 +68,8 @@ def test_learns_words_beginnings_and_exceptions(spark):
     held = [i for i in want if got[i].held_out]
     assert 200 < len(held) < 400
     assert np.mean([got[i].predicted == want[i] for i in held]) > 0.97
+    toxic = [i for i in held if want[i]]
+    assert np.mean([got[i].predicted for i in toxic]) > 0.9 and len(toxic) > 20
     assert got[5000].score == got[5001].score < 0.3
     assert toxicity.score(table.limit(0), model).count() == 0
 
