@@ -26,12 +26,25 @@ def test_learns_and_rejects(spark, docs, model):
     rows = {r.doc_id: r for r in langid.fused(langid.documents_evidence(docs), model, "doc_id").collect()}
     truth = {r.doc_id: r.lang for r in docs.collect()}
     assert all(rows[i].lang == truth[i] and rows[i].accepted for i in range(240))
+    # Also those that were not learned from: a model of a half of the rows, asked about the other half.
+    half = langid.learn(docs.where("doc_id % 2 = 0"))
+    other = langid.fused(langid.documents_evidence(docs.where("doc_id % 2 = 1 and doc_id < 900")), half, "doc_id").collect()
+    assert len(other) == 120 and all(r.lang == truth[r.doc_id] and r.accepted for r in other)
     assert rows[900].n_grams == 0 and rows[900].text_lang is None
     assert not rows[902].accepted and rows[902].lang is None
     assert langid.fused(langid.documents_evidence(docs.limit(0)), model, "doc_id").count() == 0
     assert langid.fused(langid.documents_evidence(docs), langid.learn(docs.limit(0)), "doc_id").where("accepted").count() == 0
 
 
+def test_rejects_languages_that_were_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned, other = docs.where("pmod(xxhash64(doc_id), 2) = 0"), docs.where("pmod(xxhash64(doc_id), 2) = 1")
+    for out in ("en", "fr"):
+        model = langid.learn(learned.where(f"lang <> '{out}'"))
+        got = langid.fused(langid.documents_evidence(other), model, "doc_id").join(other.select("doc_id", langid.F.col("lang").alias("truth")), "doc_id").where("n_grams >= 50").collect()
+        assert np.mean([not r.accepted for r in got if r.truth == out]) > 0.98 and np.mean([r.lang == r.truth for r in got if r.truth != out]) > 0.98
+
+
 def test_evidence(spark):
     rows = [(1, "https://u@Blog.Site.DE:80/fr-FR/x?y", "<!doctype html><HTML class=a LANG='en-GB'><script>var a='<p>b'</script><p>Hi&amp;you<!-- no --></p>"), (2, "nothing", "<meta http-equiv=content-language content=es>x"), (3, None, None)]
     got = langid.pages_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
