@@ -25,6 +25,8 @@ from paritas.llm.hashing import mix, span_hashes, spans
 EXACT, LIKE = 8, 256
 #: Characters that are hashed at a time, at some 60 bytes of arrays each.
 CHUNK = 400_000
+#: Keys of the order that are sampled for each range.
+SAMPLED = 200
 Vectors = tuple[np.ndarray, np.ndarray]
 
 
@@ -72,15 +74,15 @@ def minus(a: Vectors, b: Vectors) -> Vectors:
 
 
 def written(v: Vectors) -> list[str]:
-    """Fingerprints as hex digits, of the LIKE lanes the lower 16 bits."""
-    rows = np.concatenate([v[0].astype("<u8").view(np.uint8), v[1].astype("<u2").view(np.uint8)], axis=1)
+    """Fingerprints as hex digits, lane by lane."""
+    rows = np.concatenate([v[0].astype("<u8").view(np.uint8), v[1].astype("<u4").view(np.uint8)], axis=1)
     return [r.tobytes().hex() for r in rows]
 
 
 def read_back(texts: list[str]) -> Vectors:
-    """Fingerprints from hex digits; a LIKE lane beyond 32,767 either way has wrapped there."""
-    rows = np.frombuffer(bytes.fromhex("".join(texts)), dtype=np.uint8).reshape(len(texts), EXACT * 8 + LIKE * 2)
-    return rows[:, : EXACT * 8].copy().view("<u8"), rows[:, EXACT * 8 :].copy().view("<i2").astype(np.int32).view(np.uint32)
+    """Fingerprints from hex digits."""
+    rows = np.frombuffer(bytes.fromhex("".join(texts)), dtype=np.uint8).reshape(len(texts), EXACT * 8 + LIKE * 4)
+    return rows[:, : EXACT * 8].copy().view("<u8"), rows[:, EXACT * 8 :].copy().view("<u4")
 
 
 def likeness(a: Vectors, b: Vectors) -> np.ndarray:
@@ -124,37 +126,45 @@ def fingerprints(docs: DataFrame, column: str = "text", name: str = "fingerprint
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (at, guest, id, text) in which each document's next by descending doc_id (after the last: the first) follows it.
 
-    Documents are dealt into ranges of doc_id between approximate quantiles, as many as there are shuffle partitions, and
-    the first document of each range also goes, as guest, to the end of the range before: texts move once, and none meets
-    all others in a task. Only range bounds and the largest id of each range, one of each a partition, reach the driver.
-    Nulls come last; rows with the same doc_id are next to each other, by text.
+    Documents without a doc_id come last; those of one doc_id, or of none, come by a hash of their texts, then by these, so
+    that many of them spread too. Documents are dealt into ranges of that order, twice as many as there are shuffle
+    partitions, between quantiles of a sample, and the first of each range also goes, as guest, to the end of the range
+    before: texts move once, and none meets all others in a task. The sample only decides where ranges part. It, of SAMPLED
+    keys a range in expectation, and each range's first key reach the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # The complement orders like the negative, and fits; without an id the largest number.
+    order = F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(int(np.iinfo(np.int64).max)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), order.alias("k"), F.xxhash64(text).alias("tie"))
     n = 2 * partitions(spark)
-    found = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 1000)).first()[0] or []
-    bounds = np.unique(np.array(found, dtype=np.int64))
+    share = min(1.0, n * SAMPLED / max(1, rows.count()))
+    some = rows.select("k", "tie").where(F.pmod(F.xxhash64(F.lit(10), "k", "tie"), F.lit(1_000_000)) < share * 1_000_000).collect()
+    sample = sorted({(r["k"], r["tie"]) for r in some})
+    bounds = [sample[i * len(sample) // n] for i in range(1, n)] if len(sample) >= n else sample[1:]
+    first, second = (np.array([b[i] for b in bounds], dtype=np.int64) for i in (0, 1))
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        at = np.searchsorted(bounds, ids.fillna(0).to_numpy().astype(np.int64), side="left")
-        return pd.Series(np.where(known, at, -1).astype(np.int32))
-
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    heads = {r["at"]: r["id"] for r in ids.select("id", bucket("id").alias("at")).groupBy("at").agg(F.max("id").alias("id")).collect()}
+    def bucket(ks: pd.Series, ties: pd.Series) -> pd.Series:
+        k, tie = ks.to_numpy(), ties.to_numpy()
+        at, stop = np.searchsorted(first, k, side="left"), np.searchsorted(first, k, side="right")
+        for i in np.flatnonzero(at < stop):  # of keys that are a bound's, the ties decide
+            at[i] += np.searchsorted(second[at[i] : stop[i]], tie[i], side="right")
+        return pd.Series(at.astype(np.int32))
+
+    placed = rows.withColumn("at", bucket("k", "tie"))
+    heads = {r["at"]: (r["head"]["k"], r["head"]["tie"]) for r in placed.groupBy("at").agg(F.min(F.struct("k", "tie")).alias("head")).collect()}
     used = sorted(heads)
-    before = {a: used[(i + 1) % len(used)] for i, a in enumerate(used)}
+    before = {a: used[i - 1] for i, a in enumerate(used)}
 
     @F.pandas_udf("int")
-    def guest_of(at: pd.Series, ids: pd.Series) -> pd.Series:
-        first = [before[a] if (heads[a] is None or heads[a] == i) else None for a, i in zip(at.tolist(), ids.tolist(), strict=True)]
-        return pd.Series(first, dtype="Int32")
+    def guest_of(at: pd.Series, ks: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([before[a] if heads[a] == (k, t) else None for a, k, t in zip(at.tolist(), ks.tolist(), ties.tolist(), strict=True)], dtype="Int32")
 
-    placed = rows.withColumn("at", bucket("id"))
     places = F.array_compact(F.array(F.struct(F.col("at"), F.lit(False).alias("guest")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("at"), F.lit(True).alias("guest")))))
-    dealt = placed.withColumn("to", guest_of("at", "id")).select("id", "text", F.explode(places).alias("place")).select("place.at", "place.guest", "id", "text")
-    return dealt.repartition(partitions(spark), "at").sortWithinPartitions("at", "guest", F.col("id").desc_nulls_last(), "text")
+    dealt = placed.withColumn("to", guest_of("at", "k", "tie")).select("id", "text", "k", "tie", F.explode(places).alias("place"))
+    dealt = dealt.select("place.at", "place.guest", "id", "text", "k", "tie").repartition(partitions(spark), "at")
+    return dealt.sortWithinPartitions("at", "guest", "k", "tie", "text").select("at", "guest", "id", "text")
 
 
 def edits(docs: DataFrame) -> DataFrame:
