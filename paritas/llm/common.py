@@ -11,13 +11,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words in the contracts: space and the controls from tab to carriage return.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Characters of text that a Python worker holds as words at a time.
 CHUNK_CHARS = 1_000_000
+#: Bytes that a table may have in memory to be broadcast; larger ones are shuffled in the same join.
+BROADCAST = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +45,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, width: Column | int = 64) -> DataFrame:
+    """df, materialised, to be broadcast only if its rows, of width bytes in memory, are within BROADCAST."""
+    df = cut(df)
+    return F.broadcast(df) if (df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0) <= BROADCAST else df
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores in front until no column has it, in whatever case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet under a name of its own in the shared folder, and read again; and where, for removed()."""
     spark = df.sparkSession

@@ -22,21 +22,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import SPACES, cut, removed, written
+from paritas.llm.common import SPACES, cut, fresh, removed, sized, written
 
 #: Bytes, or characters, of the shortest lines compared for edits: of sf0.1's lines of 16 to 31 characters 18 pairs are within
 #: two edits, mostly of punctuation, of 12 to 15 there are 26, and of 8 to 11 there are 245, mostly of other words.
 LEAST, NEAR, EDITS = 32, 16, 2
 #: Lines that share a key beyond which they meet under finer ones; and the segments of these.
 CROWD, FINE = 40, 8
-#: Bytes that a table may have in memory to be broadcast; larger ones are shuffled in the same join.
-BROADCAST = 32 << 20
-
-
-def sized(df: DataFrame, width: Column | int = 64) -> DataFrame:
-    """df, materialised, to be broadcast only if its rows, of width bytes in memory, are within BROADCAST."""
-    df = cut(df)
-    return F.broadcast(df) if (df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0) <= BROADCAST else df
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -268,13 +260,6 @@ def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return goes.groupBy("doc", "row").agg(F.sort_array(F.collect_set("no")).alias("gone"), F.count_if(F.col("near")).alias("links"))
 
 
-def fresh(name: str, taken: list[str]) -> str:
-    """name, with underscores in front until no column has it, in whatever case."""
-    while name.lower() in {c.lower() for c in taken}:
-        name = f"_{name}"
-    return name
-
-
 def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """docs with their text without the lines that go, and n_lines, n_removed and n_near (those of them near another line).
 
