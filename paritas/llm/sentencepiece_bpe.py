@@ -9,7 +9,6 @@ compacts the arrays; words without a pair leave. Decoding gathers piece bytes by
 from __future__ import annotations
 
 import hashlib
-import heapq
 
 import numpy as np
 import pandas as pd
@@ -18,8 +17,6 @@ from pyspark.sql import DataFrame
 from paritas.llm.common import by_text
 
 MARK = "▁"
-#: Symbols from which a word is encoded with a queue, as rounds grow with a word's length.
-LONG_WORD = 400
 #: Distinct words whose ids a worker keeps; beyond it the words are forgotten.
 MOST_WORDS = 300_000
 NONE = np.iinfo(np.int32).max
@@ -71,7 +68,6 @@ class Pieces:
                     inner = self.ids.get(p[a:b])
                     if inner is not None and scores[i] >= scores[inner]:
                         self.lone[inner] = True
-        self.pairs = {k: i for k, i in zip(keys, merged, strict=True)}
         self._hash(np.array(keys, dtype=np.uint64), np.array(merged, dtype=np.int32))
         if any(MARK in p.lstrip(MARK) for p in pieces.values()):
             raise ValueError("a piece of this model crosses words")
@@ -125,53 +121,45 @@ class Pieces:
         symbols = known[at]
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbols, done_words = [], []
-        long = np.flatnonzero(lengths > LONG_WORD)
-        if len(long):
-            is_long = lengths[word] > LONG_WORD
-            ends = np.cumsum(lengths)
-            for w in long:
-                ids = self._queue(symbols[ends[w] - lengths[w] : ends[w]].tolist())
-                done_symbols.append(np.array(ids, dtype=np.int64))
-                done_words.append(np.full(len(ids), w))
-            symbols, word = symbols[~is_long], word[~is_long]
+        merged = np.full(len(symbols), -1, dtype=np.int32)  # what each symbol and the next one merge into
+        self._look(symbols, word, merged, np.arange(len(symbols)))
         while len(symbols):
-            same = word[1:] == word[:-1]
-            same &= (symbols[1:] >= 0) & (symbols[:-1] >= 0)
-            pair = np.flatnonzero(same)
-            merged = self.merge_of(symbols[pair], symbols[pair + 1])
-            pair, merged = pair[merged >= 0], merged[merged >= 0]
-            rank = self.rank[merged]
+            pair = np.flatnonzero(merged >= 0)
             if not len(pair):
                 done_symbols.append(symbols)
                 done_words.append(word)
                 break
-            of = word[pair]
+            into, of = merged[pair], word[pair]
+            rank = self.rank[into]
             head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             least = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.append(head, len(pair))))
+            open_words = np.zeros(len(words), dtype=bool)
+            open_words[of] = True
             best = rank == least
-            pair, merged, of = pair[best], merged[best], of[best]
+            pair, into, of = pair[best], into[best], of[best]
             # Leftmost first: of overlapping pairs every second one, from the first of its run; of lone pieces the first.
             apart = np.concatenate([[True], pair[1:] - pair[:-1] > 1])
             run = np.maximum.accumulate(np.where(apart, np.arange(len(pair)), 0))
             take = (np.arange(len(pair)) - run) % 2 == 0
             first = np.concatenate([[True], of[1:] != of[:-1]])
             head = np.maximum.accumulate(np.where(first, np.arange(len(pair)), 0))
-            mixed = np.logical_or.reduceat(self.lone[merged] | (merged != merged[head]), np.flatnonzero(first))
+            mixed = np.logical_or.reduceat(self.lone[into] | (into != into[head]), np.flatnonzero(first))
             take &= first | ~np.repeat(mixed, np.diff(np.append(np.flatnonzero(first), len(pair))))
-            pair, merged = pair[take], merged[take]
-            symbols[pair] = merged
+            pair, into = pair[take], into[take]
+            symbols[pair] = into
             keep = np.ones(len(symbols), dtype=bool)
             keep[pair + 1] = False
             # Words without any pair are finished and leave the arrays.
-            open_words = np.zeros(len(words), dtype=bool)
-            open_words[of] = True
             stays = open_words[word]
-            out = keep & ~stays
-            if out.any():
+            if not stays.all():
+                out = keep & ~stays
                 done_symbols.append(symbols[out])
                 done_words.append(word[out])
-            keep &= stays
-            symbols, word = symbols[keep], word[keep]
+                keep &= stays
+            place = np.cumsum(keep) - 1
+            symbols, word, merged = symbols[keep], word[keep], merged[keep]
+            at = place[pair]
+            self._look(symbols, word, merged, np.concatenate([at, at[at > 0] - 1]))
         if not done_symbols:
             return np.zeros(0, dtype=np.int32), np.zeros(len(words), dtype=np.int64)
         symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
@@ -179,6 +167,13 @@ class Pieces:
         symbols, word = symbols[order], word[order]
         return self._fall_back(symbols, word, len(words))
 
+    def _look(self, symbols: np.ndarray, word: np.ndarray, merged: np.ndarray, at: np.ndarray) -> None:
+        """Looks up what the symbols at some places merge into with their next ones."""
+        merged[at] = -1
+        at = at[at + 1 < len(symbols)]
+        at = at[(word[at] == word[at + 1]) & (symbols[at] >= 0) & (symbols[at + 1] >= 0)]
+        merged[at] = self.merge_of(symbols[at], symbols[at + 1])
+
     def _fall_back(self, symbols: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Characters outside the vocabulary as ids of their UTF-8 bytes."""
         unknown = symbols < 0
@@ -193,36 +188,6 @@ class Pieces:
             symbols, word = out, np.repeat(word, width)
         return symbols.astype(np.int32), np.bincount(word, minlength=n)
 
-    def _queue(self, symbols: list[int]) -> list[int]:
-        """A long word's symbols after all merges, best rank first, then leftmost."""
-        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(symbols) and symbols[i] >= 0 and symbols[j] >= 0:
-                m = self.pairs.get(symbols[i] << 32 | symbols[j])
-                if m is not None:
-                    heapq.heappush(heap, (int(self.rank[m]), i, symbols[i], symbols[j]))
-
-        for i in range(len(symbols) - 1):
-            offer(i)
-        gone = [False] * len(symbols)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= len(symbols) or symbols[i] != a or symbols[j] != b:
-                continue
-            symbols[i] = self.pairs[a << 32 | b]
-            gone[j] = True
-            after[i] = after[j]
-            if after[i] < len(symbols):
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [s for s, g in zip(symbols, gone, strict=True) if not g]
-
     # -- ids to text --------------------------------------------------------------------------------------------
 
     def decode(self, ids: np.ndarray) -> str:

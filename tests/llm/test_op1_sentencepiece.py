@@ -28,6 +28,13 @@ def test_same_ids_as_the_library(library):
         assert encoder.pieces.decode(ids) == library.decode(ids.tolist())
 
 
+def test_long_words_go_through_the_rounds_too(library):
+    rng = np.random.default_rng(5)
+    parts = ["the", "ing", "tion", "qu", "x", "日本", "é", "aa"]
+    words = ["".join(rng.choice(parts, n)) for n in (200, 1000, 6000)] + ["ab" * 3000, "a" * 10_001]
+    assert [i.tolist() for i, _ in bpe.Encoder(bpe.Pieces(MODEL)).ids(words)] == library.encode(words)
+
+
 def test_decodes_any_ids_like_the_library(library):
     rng = np.random.default_rng(4)
     pieces = bpe.Pieces(MODEL)
