@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import SPACES, by_group, by_text, components, cut, partitions
+from paritas.llm.common import SPACES, by_group, by_text, components, cut, partitions, sized
 from paritas.llm.hashing import mix
 
 WORDS, RADIUS = 4, 4
@@ -207,8 +207,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
 
 
 def sketches(docs: DataFrame, words: int, sets: bool = False, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """(id, node, fp, fp2, shingles): a hash of every row's set of shingles, two fingerprints of that set, and with sets its
-    sorted hashes (else null).
+    """(id, row, node, fp, fp2, shingles): a hash of every row's text, and of its set of shingles, two fingerprints of that set,
+    and with sets its sorted hashes (else null).
     """
     id_type = docs.schema[id_column].dataType.simpleString()
 
@@ -217,10 +217,10 @@ def sketches(docs: DataFrame, words: int, sets: bool = False, id_column: str = "
 
         held = [np.unique(shingles(t, words)) for t in texts]
         fps = np.array([(xxhash.xxh64_intdigest(h.tobytes(), SEED), _most(h), _most(mix(h))) if len(h) else (0, 0, 0) for h in held], dtype=np.uint64).reshape(-1, 3).view(np.int64)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "node": fps[:, 0], "fp": fps[:, 1], "fp2": fps[:, 2], "shingles": [h.tobytes() if sets else None for h in held]})
+        return pd.DataFrame({"id": pdf["id"].to_numpy(), "row": pdf["row"].to_numpy(), "node": fps[:, 0], "fp": fps[:, 1], "fp2": fps[:, 2], "shingles": [h.tobytes() if sets else None for h in held]})
 
-    rows = docs.select(F.col(id_column).alias("id"), F.col(column).alias("text"))
-    return rows.mapInPandas(by_text(some), f"id {id_type}, node long, fp long, fp2 long, shingles binary")
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(column).alias("row"), F.col(column).alias("text"))
+    return rows.mapInPandas(by_text(some), f"id {id_type}, row long, node long, fp long, fp2 long, shingles binary")
 
 
 def similar_pairs(fps: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int = FIRST, both: int = BOTH) -> list[tuple[int, int]]:
@@ -251,20 +251,23 @@ def similar_pairs(fps: np.ndarray, sets: list[np.ndarray], similarity: float, ra
 
 
 def similar(docs: DataFrame, words: int, similarity: float, part: int = PART) -> DataFrame:
-    """(doc_id, component_id) for each row of docs: texts link whose sets of shingles have that Jaccard similarity.
+    """(doc_id, row, component_id, kept) for each row of docs: texts link whose sets of shingles have that Jaccard similarity.
+    row is a hash of the text; of a component the row of smallest doc_id, then row, is kept, and all that equal it in both.
 
     Groups of texts that are near by loose bounds on two fingerprints are candidates; within a group the near pairs' shingles
     are compared before they link, a large group by pairs of parts. Equal sets link without; texts without words are equal.
-    Rows whose doc_id is null get the component of their set's other rows, or null. An empty table gives no rows.
+    Rows whose doc_id is null get the component of their set's other rows, or null, and come last in the order. An empty table
+    gives no rows.
     """
-    rows = cut(sketches(docs, words).select("id", "node", "fp", "fp2"))
-    distinct = rows.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
+    rows = cut(sketches(docs, words).select("id", "row", "node", "fp", "fp2"))
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")
+    distinct = rows.groupBy("node").agg(F.min(place).alias("least"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
     groups = components(links(distinct.select("node", "fp", "fp2"), FIRST, both=BOTH))
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
     near = groups.join(sizes, "component").select("node", "component", "parts")
-    wanted = distinct.join(near, "node", "left_semi").select(F.col("least").alias("wanted")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = sketches(texts, words, True).drop("id").dropDuplicates(["node"]).join(near, "node")
+    wanted = sized(distinct.join(near, "node", "left_semi").select(F.col("least.id").alias("wanted"), F.col("least.row").alias("row")))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.xxhash64("text") == F.col("row")), "left_semi")
+    sets = sketches(texts, words, True).drop("id", "row").dropDuplicates(["node"]).join(near, "node")
     # Two parts meet once, and each then also has its own pairs.
     dealt = sets.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.where((F.col("parts") == 1) | (F.col("p") != F.col("q")))
@@ -282,5 +285,5 @@ def similar(docs: DataFrame, words: int, similarity: float, part: int = PART) ->
     joined = components(by_group(dealt, ["component", "p", "q"], run, "a long, b long", HELD))
     named = distinct.join(joined, "node", "left").select("node", "least", "component")
     first = named.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
-    by_node = named.join(first, "component", "left").select("node", F.coalesce("first", "least").alias("component_id"))
-    return rows.join(by_node, "node").select(F.col("id").alias("doc_id"), "component_id")
+    by_node = named.join(first, "component", "left").select("node", F.coalesce("first", "least").alias("first"))
+    return rows.join(by_node, "node").select(F.col("id").alias("doc_id"), "row", F.col("first.id").alias("component_id"), place.eqNullSafe(F.col("first")).alias("kept"))

@@ -109,7 +109,9 @@ def test_similar_links_by_shingles(spark, part):
     rows += [(2000 + k, "a " * 900 + " ".join(f"{c}{j}" for j in range(30))) for k, c in enumerate("pq")]
     rows += [(3000, ""), (3001, None), (None, rows[0][1]), (None, "alone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in simhash.similar(docs, 5, 0.8, part).collect()}
+    found = simhash.similar(docs, 5, 0.8, part).collect()
+    got = {r.doc_id: r.component_id for r in found}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found if r.doc_id is not None) and sorted(r.kept for r in found if r.doc_id is None) == [False, True]
     wrong = [(i, j) for i, j in want.items() if (got[2 * i + 1] == 2 * i) != (j >= 0.8)]
     assert not wrong and 50 < sum(j >= 0.8 for j in want.values()) < 350
     assert {got[1000 + k] for k in range(8)} == {1000} and jaccard(chain[0], chain[-1]) < 0.8
