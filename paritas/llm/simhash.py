@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import SPACES, by_group, by_text, components, cut, partitions, sized
+from paritas.llm.common import SPACES, by_group, by_text, components, cut, partitions, release, sized
 from paritas.llm.hashing import mix
 
 WORDS, RADIUS = 4, 4
@@ -168,6 +168,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, both: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None
         for pdf in batches:
+            rows = fps = None
             for p, q, side, fps in zip(pdf["p"], pdf["q"], pdf["side"], pdf["fps"], strict=True):
                 rows = np.asarray(fps, dtype=np.int64).reshape(-1, 3)
                 nodes, fps = rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
@@ -179,6 +180,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, both: int
                 elif held and held[:2] == (p, q):
                     x, y = near_pairs(held[3], fps, radius, False, both)
                     yield pd.DataFrame({"a": held[2][x], "b": nodes[y]})
+            del pdf, fps, rows
+            release()
 
     spark_batch = dealt.select("p", "q", "side", "fps")
     return spark_batch.mapInPandas(run, "a long, b long")
