@@ -176,7 +176,11 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def first_documents(hashes: np.ndarray, docs: np.ndarray, strings: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """For each window of each string, in order, the smallest of docs that has it, among strings of the same hash."""
+    """For each window of each string, in order, the smallest of docs that has it, among strings of the same hash.
+
+    Strings of a hash that are all equal are settled as such; where several differ, their windows' classes come from the
+    transform.
+    """
     seen: dict[tuple[int, bytes], int] = {}
     which = np.array([seen.setdefault(k, len(seen)) for k in zip(hashes.tolist(), strings, strict=True)], dtype=np.int64)
     distinct = [raw for _, raw in seen]
