@@ -29,6 +29,8 @@ from paritas.llm.common import SPACES, cut, fresh, removed, sized, written
 LEAST, NEAR, EDITS = 32, 16, 2
 #: Lines that share a key beyond which they meet under finer ones; and the segments of these.
 CROWD, FINE = 40, 8
+#: Letters that are counted in pairs before these are verified.
+LETTERS = "abcdefghijklmnopqrstuvwxyz ,."
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -61,6 +63,10 @@ def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     df = _once(df, _head=_common(F.col(a), F.col(b), F.col("_m"), False))
     df = _once(df, _tail=_common(F.col(a), F.col(b), F.col("_m") - F.col("_head"), True))
     df = _once(df, **{name: F.substring(F.col(s), F.col("_head") + 1, F.length(s) - F.col("_head") - F.col("_tail")) for s, name in ((a, "_x"), (b, "_y"))})
+    # An edit changes the number of one letter, or of two by one each: most other pairs go by these, before the recurrence.
+    number = lambda c, x: F.octet_length(c) - F.octet_length(F.replace(F.col(c), x))
+    letters = F.array(*[F.lit(x) for x in LETTERS])
+    df = df.where(F.aggregate(letters, F.lit(0), lambda n, x: n + F.abs(number("_x", x) - number("_y", x))) <= 2 * edits)
     width = 2 * edits + 1
     mask = (1 << width) - 1
     pad = F.array(*[F.lit("")] * edits)
