@@ -6,7 +6,7 @@ The source is a table as it is; the target is a fixed rewrite of it with moved k
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +15,12 @@ from pyspark.sql.window import Window
 
 from paritas.functions import checksum, comparators
 from paritas.functions import normalize as norm
-from paritas.functions.predicates import after_key, all_null, differs, key_in, key_range, time_window
+from paritas.functions.predicates import after_key, all_null, differs, key_in, key_range, literal, time_window
 from paritas.operators import analyze, diff, repair, segments, sets, stats
 from paritas.plans.planner import compare
+from paritas.sinks import writers
 from paritas.sinks.interpolate import Output, diff_places, project, result_places
-from paritas.sources.readers import prepare
+from paritas.sources.readers import prepare, restricted, schema
 from paritas.spec import Comparison, Mapping, Resource, Side, Strategy, Value
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,7 +286,7 @@ def keyset_count(spark, d):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-07-01'")
 def update_window(spark, d):
-    from datetime import datetime
+    from datetime import date, datetime
 
     return table(spark, d, "orders").where(time_window("o_orderdate", datetime(1995, 1, 1), datetime(1995, 7, 1))).select("o_orderkey", "o_orderdate")
 
@@ -378,6 +379,48 @@ def equi_depth_segments(spark, d):
     return segments.depth_segments(table(spark, d, "orders"), "o_orderkey", 8, 1_000_000)
 
 
+@query("""WITH b AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS z FROM orders)
+  SELECT (SELECT count(*) FROM range(1, 8) i(i) WHERE o_orderkey >= a + (z - a + 1) * i // 8)::int AS segment, count(*) AS row_count, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key FROM orders, b GROUP BY 1""")
+def segments_auto(spark, d):
+    """Whole-number keys are cut into ranges of equal width between their bounds."""
+    return segments.segmented(table(spark, d, "orders"), "o_orderkey", 8)
+
+
+@query("SELECT count(*) AS rows, min(c_name) AS low, max(c_name) AS high, 0::bigint AS overlaps FROM customer")
+def segments_fallback(spark, d):
+    """Texts have no ranges of equal width: sampled boundaries take their place, whose segments hold each row once."""
+    made = segments.segmented(table(spark, d, "customer"), "c_name", 6, "range")
+    made = made.withColumn("before", F.lag("max_key").over(Window.orderBy("segment")))
+    return made.agg(F.sum("row_count").alias("rows"), F.min("min_key").alias("low"), F.max("max_key").alias("high"), F.count_if(F.col("before") >= F.col("min_key")).alias("overlaps"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS place FROM lineitem)
+  SELECT place // 100 AS segment, count(*) AS row_count, min(l_orderkey) AS min_key, max(l_orderkey) AS max_key FROM r GROUP BY 1""")
+def keyset_walk(spark, d):
+    """Pages of 100 rows in key order, keys that repeat among them."""
+    return segments.walk(table(spark, d, "lineitem"), "l_orderkey", 100)
+
+
+@query("SELECT max(o_orderkey) - min(o_orderkey) + 1 AS keys FROM orders")
+def key_space(spark, d):
+    low, high = segments.key_bounds(table(spark, d, "orders"), KEYS).first()[1:]
+    return spark.range(1).select(F.lit(segments.estimated_size([low], [high])).cast("long").alias("keys"))
+
+
+_NODES = f"""s AS ({_digest_sql(S_SQL)}), t AS ({_digest_sql(T_SQL)}), l AS (SELECT coalesce(s.bucket, t.bucket) AS b, coalesce(s.n, 0) AS sn, coalesce(t.n, 0) AS tn,
+    s.n IS DISTINCT FROM t.n OR s.c IS DISTINCT FROM t.c AS differs FROM s FULL OUTER JOIN t ON s.bucket = t.bucket),
+  n AS (SELECT i::int AS level, (b // (8 ** (4 - i))::bigint)::int AS segment, sum(sn)::bigint AS source_rows, sum(tn)::bigint AS target_rows, bool_or(differs) AS differs FROM l, range(0, 5) r(i) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_NODES} SELECT n.level, n.segment, n.source_rows, n.target_rows,
+  CASE WHEN NOT n.differs THEN 'skip_equal' WHEN n.level = 4 OR greatest(n.source_rows, n.target_rows) <= 30 THEN 'compare' ELSE 'split' END AS decision
+  FROM n LEFT JOIN n AS p ON p.level = n.level - 1 AND p.segment = n.segment // 8 WHERE n.level = 0 OR (p.differs AND greatest(p.source_rows, p.target_rows) > 30)""")
+def bisection_trace(spark, d):
+    """Eight children a segment, four levels, and comparison of segments of 30 rows or fewer."""
+    texts = [diff.normalized(x, N_COLUMNS) for x in both(spark, d)]
+    return diff.bisection(*texts, KEYS, COLUMNS, 8, 4, 30)
+
+
 _SEG = "((o_orderkey % 100000000) // 97)::int"
 
 
@@ -540,6 +583,30 @@ def norm_map_boolean(spark, d):
     return _normalized(df.withColumn("v", F.col("v") > 0), "c_custkey", {"boolean": rule})
 
 
+@query("SELECT c_custkey, coalesce('  ' || v || ' ', 'none') AS text FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS v FROM customer)")
+def norm_string_option(spark, d):
+    df = _nulled(spark, d, "customer", "c_custkey", "c_name")
+    rule = norm.rule_of("normalize_string", {"trim": False, "nullValue": "none"})
+    return _normalized(df.withColumn("v", F.concat(F.lit("  "), "v", F.lit(" "))), "c_custkey", {"string": rule})
+
+
+@query("SELECT o_orderkey, '' AS s, '' AS i, '' AS c, '' AS p, '' AS x, '' AS b, '' AS dt, '' AS ts, '' AS bin, '' AS text FROM orders")
+def record_null(spark, d):
+    """A null of every type is an empty text, also where a bad value has a default."""
+    types = {"s": "string", "i": "int", "c": "decimal(18,2)", "p": "double", "x": "float", "b": "boolean", "dt": "date", "ts": "timestamp", "bin": "binary"}
+    rows = table(spark, d, "orders").select("o_orderkey", *[F.lit(None).cast(t).alias(c) for c, t in types.items()])
+    return rows.select("o_orderkey", *[norm.record(F.col(c), rows.schema[c].dataType).alias(c) for c in types], norm.record_text(F.col("s"), "time").alias("text"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '00:00:00' WHEN 1 THEN '' ELSE strftime(o_orderdate + INTERVAL (o_orderkey % 86400) SECOND, '%H:%M:%S') END AS time FROM orders")
+def record_time(spark, d):
+    """Times to the second; a text that holds none is midnight, a null empty."""
+    k = F.col("o_orderkey")
+    at = F.date_format(F.timestamp_seconds(F.unix_timestamp("o_orderdate") + k % 86400), "HH:mm:ss")
+    text = F.when(k % 4 == 0, F.lit("noon")).when(k % 4 == 1, F.lit(None)).when(k % 4 == 2, F.concat(at, F.lit(".250"))).otherwise(F.concat(F.lit(" "), at))
+    return table(spark, d, "orders").select("o_orderkey", norm.record_text(text, "time").alias("time"))
+
+
 @query("""SELECT o_orderkey, o_orderstatus AS s, printf('%.6f', o_totalprice) AS p, CASE WHEN abs(x) > 1e10 THEN printf('%.6e', x) ELSE printf('%.6f', x) END AS x,
   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS t, printf('%.4f', o_totalprice::decimal(18,2)::double) AS c, lower(hex(o_orderstatus)) AS b FROM (SELECT *, floor(o_totalprice) * 1000033 AS x FROM orders)""")
 def record_profile(spark, d):
@@ -596,6 +663,24 @@ def checksum_diff_row_hash(spark, d):
     return _plain(diff.checksum_diff(*both(spark, d), KEYS, COLUMNS, local="row-hash", buckets=256))
 
 
+def _compared(spark, d, **how) -> DataFrame:
+    """Differences as a planned comparison gives them."""
+    sides = [frame(x, keys=("o_orderkey",), columns=("o_orderstatus", "o_totalprice")) for x in both(spark, d)]
+    return _plain(compare(spark, Comparison(*sides, Strategy(**how))).checked().diff)
+
+
+@query(_text_diff_sql(True, TABLE_TEXT))
+def checksum_diff_auto(spark, d):
+    """As many buckets as suit the rows."""
+    return _compared(spark, d, buckets=None)
+
+
+@query(_text_diff_sql(False, TABLE_TEXT))
+def key_hash_diff(spark, d):
+    """The key-hash plan: keys and row hashes are compared first."""
+    return _compared(spark, d, prefer=("key-hash",))
+
+
 # Values that hold separators, nulls that change places, and numbers without decimals; strict nulls.
 def _hostile_sql(a: str, b: str, x: str) -> str:
     return f"SELECT c_custkey AS k, {a} AS a, {b} AS b, {x} AS x FROM customer"
@@ -703,6 +788,29 @@ def filtered_diff(spark, d):
     return compare(spark, Comparison(*sides, Strategy("join"))).diff.drop("changed")
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'it''s', 'O') AND o_orderdate >= TIMESTAMP '1995-03-01' AND NOT (o_totalprice BETWEEN 1000.5 AND 90000 OR o_custkey IS NULL)")
+def literal_filter(spark, d):
+    """A filter of written literals, checked before it reaches the scan."""
+    a, b, c, day, low, high = (literal(x) for x in ("F", "it's", "O", date(1995, 3, 1), 1000.5, 90000))
+    text = f"o_orderstatus IN ({a}, {b}, {c}) AND o_orderdate >= {day.removeprefix('DATE ')} AND NOT (o_totalprice BETWEEN {low} AND {high} OR o_custkey IS NULL)"
+    return restricted(table(spark, d, "orders"), frame(None, keys=("o_orderkey",), filter=text)).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS source_rows, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 97 <> 0) AS target_rows")
+def probe_partitions(spark, d):
+    """A dry run over sides whose filter must name the partition column."""
+    rows = table(spark, d, "orders")
+    sides = [Side(Resource("frame", frame=x, partition_columns=("o_orderstatus",)), keys=("o_orderkey",), columns=("o_totalprice",), filter="o_orderstatus = 'F'") for x in (rows, rows.where("o_orderkey % 97 <> 0"))]
+    made = prepare(spark, Comparison(*sides))
+    return made.source.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(made.target.agg(F.count(F.lit(1)).alias("target_rows")))
+
+
+@query("SELECT column_name FROM (DESCRIBE orders)")
+def schema_discovery(spark, d):
+    names = schema(spark, Resource("parquet", f"{d}/orders.parquet")).names
+    return spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("column_name"))
+
+
 @query(f"""WITH {J_SQL} SELECT {OPERATION} AS operation, count(*) AS differences FROM j WHERE k1 IS NULL OR k2 IS NULL OR a1 IS DISTINCT FROM a2 GROUP BY 1""")
 def excluded_columns_diff(spark, d):
     """All columns but excluded and derived ones are compared."""
@@ -808,6 +916,16 @@ def pattern_time_window(spark, d):
     return found.where("pattern = 'TIME_WINDOW'").withColumn("confidence", F.round("confidence", 6))
 
 
+_EVERY = " UNION ALL ".join(f"SELECT * FROM ({ORACLE_SQL[f'pattern_{n.lower()}']})" for n in (*analyze.PATTERNS, "TIME_WINDOW"))
+
+
+@query(f"SELECT round(avg(confidence), 4) AS confidence, count(*) AS patterns, count(DISTINCT repair_hint) AS hints FROM ({_EVERY})")
+def analyzer_summary(spark, d):
+    found = diff.join_diff(*_events(spark, d), ["event_id"], ["ts", "value", "name"])
+    told = analyze.summary(analyze.analyze(found, ["ts", "value", "name"]), found.count())
+    return spark.range(1).select(F.lit(round(told["confidence"], 4)).alias("confidence"), F.lit(len(told["patterns"])).cast("long").alias("patterns"), F.lit(len(told["hints"])).cast("long").alias("hints"))
+
+
 # -- repair and output ------------------------------------------------------------------------------------------------------------
 
 _CENTS = "(o_totalprice * 100)::bigint"
@@ -887,3 +1005,22 @@ def incremental_diff(spark, d):
     s, t = both(spark, d)
     keys = s.unionByName(t).where(time_window("o_orderdate", datetime(1996, 1, 1), None)).select("o_orderkey")
     return _plain(changed_diff(keys, s, t, KEYS, COLUMNS)).select("operation", "o_orderkey", "changed")
+
+
+@query(f"""WITH {STATS_SQL} SELECT 'run1' AS nl_dq_execution_id, 'orders' AS src_table, 'copy' AS tgt_table, total_differences AS diff_count, source_missing_count AS src_missing, target_missing_count AS tgt_missing,
+  mismatch_count, 'DIFF' AS run_status, '2024-05-06 07:08:09' AS completed_at FROM n""")
+def table_result(spark, d):
+    """The row that a table of results gets."""
+    s, t = both(spark, d)
+    task = writers.Task("run1", "orders", "copy", started=datetime(2024, 5, 6, 7, 8, 9))
+    return writers.result_row(stats.statistics(diff.join_diff(s, t, KEYS, COLUMNS), s, t), task)
+
+
+@query(f"""WITH {D_SQL} SELECT upper(operation) AS operation, o_orderkey::varchar AS primary_key, changed AS changed_columns1, changed AS changed_columns2, CASE WHEN operation <> 'source_missing' THEN o_orderstatus_1 END AS source_status,
+  CASE WHEN operation <> 'target_missing' THEN o_orderstatus_2 END AS target_status, 'run1:' || o_orderkey AS tag FROM d""")
+def merged_defaults(spark, d):
+    """Outputs beside the default columns: one takes a default's place, one is added."""
+    places = diff_places(KEYS, COLUMNS, {"taskId": "run1"}) | {"loud": F.upper("operation")}
+    rows = project(_join(spark, d), [Output("operation", "${loud}"), Output("tag", "${taskId}:${primaryKey}")], places, diff.record_columns(KEYS, COLUMNS))
+    texts = [F.array_join(c, ",").alias(c) for c in ("primary_key", "changed_columns1", "changed_columns2")]
+    return rows.select("operation", *texts, rows.source_values["o_orderstatus"].alias("source_status"), rows.target_values["o_orderstatus"].alias("target_status"), "tag")

@@ -53,10 +53,12 @@ def run(argv: list[str] | None = None) -> int:
         if args.dry_run:
             print(json.dumps(dict(zip(("source_rows", "target_rows"), probe(spark, job.comparison), strict=True))))
             return 0
-        result = publish(job.sinks, job.task, lambda: compare(spark, job.comparison).checked(), job.fail_on_sink_error)
+        result = publish(job.sinks, job.task, lambda: compare(spark, job.comparison).checked().held(), job.fail_on_sink_error)
         if args.verbose:
             result.diff.explain("formatted")
-        return int(result.stats.first()["total_differences"] > 0)
+        found = not result.diff.isEmpty()
+        result.diff.unpersist()
+        return int(found)
     except (ValueError, KeyError, TypeError, OSError) as error:
         print(json.dumps({"valid": False, "error": cfg.masked(str(error) or type(error).__name__)}), file=sys.stderr)
         return 2

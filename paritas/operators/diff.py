@@ -96,7 +96,8 @@ def _one_to_one(source: DataFrame, target: DataFrame, keys: Sequence[str], colum
     """Differences where rows pair one to one, and all rows of other keys as missing.
 
     Both sides' rows move once, to a window over the keys in which a source row finds its partner next to it: no join, and
-    repeated keys are counted on the way. A hot repeated key is one task's work, as for every window, but spills.
+    repeated keys are counted on the way. A hot repeated key is one task's work, as for every window; its rows spill and
+    leave one by one, so that memory is bounded, but not that task's time.
     """
     names = [f"k{i}" for i in range(len(keys))]
 
@@ -143,6 +144,30 @@ def bucket_digests(texts: DataFrame, keys: Sequence[str], columns: Sequence[str]
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("row_count"), made.alias("checksum"), checksum.sum_checksum(F.col("h")).alias("total"))
 
 
+def bisection(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str], factor: int = 8, levels: int = 3, threshold: int = 0) -> DataFrame:
+    """(level, segment, source_rows, target_rows, decision) of the segments that a bisection of text visits, the whole first.
+
+    skip_equal: nothing differs below; compare: the rows are compared, as they are at most threshold a side or at the last
+    level; split: its factor children are visited. Each side is digested once, at the last level, and levels are rolled up
+    from there: factor ** levels digests at most, whatever the number of rows.
+    """
+    if factor < 2 or levels < 0:
+        raise ValueError("a bisection needs a factor of 2 or more, and no negative level")
+    s, t = (bucket_digests(x, keys, columns, factor**levels, hashed=checksum.exact_hash).select("bucket", "row_count", F.struct("checksum", "total").alias("digest")) for x in (source, target))
+    leaves = s.toDF("bucket", "n1", "d1").join(t.toDF("bucket", "n2", "d2"), "bucket", "full_outer")
+    leaves = leaves.select("bucket", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n1", "n2")], (~F.col("d1").eqNullSafe(F.col("d2")) | ~F.col("n1").eqNullSafe(F.col("n2"))).alias("differs"))
+    width = F.element_at(F.array(*[F.lit(factor ** (levels - i)) for i in range(levels + 1)]), F.col("level") + 1)
+    nodes = leaves.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).groupBy("level", F.floor(F.col("bucket") / width).cast("int").alias("segment"))
+    nodes = nodes.agg(F.sum("n1").alias("source_rows"), F.sum("n2").alias("target_rows"), F.max("differs").alias("differs"))
+    # Siblings tell of their parent: it differs if one of them does, and holds the rows of all.
+    siblings = Window.partitionBy("level", F.floor(F.col("segment") / factor))
+    larger = F.greatest(F.sum("source_rows").over(siblings), F.sum("target_rows").over(siblings))
+    nodes = nodes.withColumn("visited", (F.col("level") == 0) | (F.max("differs").over(siblings) & (larger > threshold)))
+    small = (F.greatest("source_rows", "target_rows") <= threshold) | (F.col("level") == levels)
+    decision = F.when(~F.col("differs"), F.lit("skip_equal")).when(small, F.lit("compare")).otherwise(F.lit("split"))
+    return nodes.where("visited").select("level", "segment", "source_rows", "target_rows", decision.alias("decision"))
+
+
 def checksum_diff(
     source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str], *, source_rules: Rules | None = None, target_rules: Rules | None = None,
     strict_nulls: bool = False, buckets: int = 0, algorithm: str = "xor", local: str = "full", equal: Mapping[str, Equal] | None = None,

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from paritas.functions import checksum
 from paritas.functions.predicates import after_key, key_range
 
+#: Ranges of keys that a walk numbers apart.
+RANGES = 512
+
 
 def row_count(df: DataFrame, condition: Column | None = None) -> DataFrame:
     return (df if condition is None else df.where(condition)).agg(F.count(F.lit(1)).alias("row_count"))
@@ -69,7 +74,12 @@ def _by_segment(df: DataFrame, key: str, segment: Column) -> DataFrame:
 
 
 def depth_boundaries(df: DataFrame, key: str, n: int, accuracy: int = 10_000) -> list:
-    """Inner boundaries of n ranges with about equally many rows."""
+    """Inner boundaries of n ranges with about equally many rows; of keys that have no quantiles, such as texts, those of the
+    sample by which Spark itself cuts ranges.
+    """
+    if not isinstance(df.schema[key].dataType, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType):
+        cuts = df.select(F.col(key).alias("k")).where("k is not null").repartitionByRange(n, "k").groupBy(F.spark_partition_id()).agg(F.max("k").alias("k")).collect()
+        return sorted(r["k"] for r in cuts)[:-1]
     found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], accuracy).alias("cuts")).first()["cuts"] or []
     return sorted(set(found))
 
@@ -82,6 +92,68 @@ def depth_segments(df: DataFrame, key: str, n: int, accuracy: int = 10_000) -> D
     return _by_segment(df, key, at)
 
 
+def _by_range(df: DataFrame, key: str, n: int) -> DataFrame:
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    return range_segments(df, key, low or 0, high or 0, n)
+
+
+#: Ways to cut a key into segments; register() adds more.
+STRATEGIES: dict[str, Callable[[DataFrame, str, int], DataFrame]] = {"range": _by_range, "row-sample": depth_segments}
+
+
+def register(name: str, strategy: Callable[[DataFrame, str, int], DataFrame]) -> None:
+    if name in STRATEGIES:
+        raise ValueError(f"there is a segment strategy {name} already")
+    STRATEGIES[name] = strategy
+
+
+def choose(df: DataFrame, key: str, strategy: str = "auto") -> str:
+    """The strategy that cuts this key: range needs whole numbers, and gives way to row-sample where they are none."""
+    if strategy != "auto" and strategy not in STRATEGIES:
+        raise ValueError(f"no segment strategy {strategy!r}; there are auto, {', '.join(STRATEGIES)}")
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    if strategy in ("auto", "range"):
+        return "range" if whole else "row-sample"
+    return strategy
+
+
+def segmented(df: DataFrame, key: str, n: int, strategy: str = "auto") -> DataFrame:
+    """(segment, row_count, min_key, max_key) of n segments by the chosen strategy."""
+    return STRATEGIES[choose(df, key, strategy)](df, key, n)
+
+
+def walk(df: DataFrame, key: str, size: int) -> DataFrame:
+    """(segment, row_count, min_key, max_key) of pages of size rows in key order, as a walk from last key to last key finds
+    them. Null keys are in no page.
+
+    Keys are counted first, and a key's first place is the rows of all ranges of keys before its own, plus those before it in
+    its range: only the ranges' totals, RANGES at most, meet in one task. A repeated key may be in several pages.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
+    cuts = depth_boundaries(df, key, RANGES)
+    at = F.lit(0)
+    if cuts:
+        at = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (F.col("k") > c).cast("int"))
+    known = counts.withColumn("part", at)
+    totals = known.groupBy("part").agg(F.sum("rows").alias("total"))
+    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    own = F.sum("rows").over(Window.partitionBy("part").orderBy("k")) - F.col("rows")
+    placed = known.join(F.broadcast(before), "part").select("k", "rows", (F.col("before") + own).alias("start"))
+    first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("rows") - 1) / size)
+    pages = placed.select("*", F.explode(F.sequence(first, last)).alias("segment"))
+    inside = F.least(F.col("start") + F.col("rows"), (F.col("segment") + 1) * size) - F.greatest(F.col("start"), F.col("segment") * size)
+    return pages.select("segment", "k", inside.alias("inside")).groupBy("segment").agg(F.sum("inside").alias("row_count"), F.min("k").alias("min_key"), F.max("k").alias("max_key"))
+
+
+def adaptive_factor(rows: int, factor: int) -> int:
+    """Children of a segment for so many rows: twice factor, 64 at most, beyond a million, and half of it, 4 at least, up to a
+    hundred thousand.
+    """
+    if rows > 1_000_000:
+        return min(2 * factor, 64)
+    return factor if rows > 100_000 else max(factor // 2, 4)
+
+
 def ranges(keys: Sequence[str], cuts: Sequence[Sequence[object]]) -> list[Column]:
     """Predicates of the half-open ranges between cuts, open at both ends, which hold every row with keys exactly once."""
     edges = [None, *cuts, None]

@@ -72,12 +72,25 @@ class Result:
     prepared: Prepared
     diff: DataFrame
     most: int = 1_000_000
+    comparison: Comparison | None = None
 
     def checked(self) -> Result:
         """This result, or an error if it has more differences than the strategy allows; one job, which stops there."""
         ops.checked(self.diff, self.most)
         return self
 
+    def held(self) -> Result:
+        """This result, whose differences are kept once they have been read: for several outputs, after checked()."""
+        self.diff.persist()
+        return self
+
+    def trace(self, factor: int = 8, levels: int = 3, threshold: int = 8_000) -> DataFrame:
+        """What a bisection decides for each segment, by the canonical text that a checksum comparison reads."""
+        p, c = self.prepared, self.comparison
+        strict = c.strategy.strict_nulls if c else False
+        texts = [ops.normalized(df, (*p.keys, *p.columns), rules, strict) for df, rules in ((p.source, c and c.source.rules), (p.target, c and c.target.rules))]
+        return ops.bisection(*texts, p.keys, p.columns, factor, levels, threshold)
+
     @property
     def records(self) -> DataFrame:
         return ops.records(self.diff, self.prepared.keys, self.prepared.columns, self.prepared.target_names)
@@ -119,4 +132,4 @@ def compare(spark: SparkSession, comparison: Comparison) -> Result:
     """
     name = choose(comparison)
     prepared = prepare(spark, comparison)
-    return Result(name, prepared, EXECUTORS[name](comparison, prepared), comparison.strategy.max_differences)
+    return Result(name, prepared, EXECUTORS[name](comparison, prepared), comparison.strategy.max_differences, comparison)

@@ -33,7 +33,11 @@ class Task:
 
 
 class Sink(Protocol):
-    """Gets a result, or the error that took its place."""
+    """Gets a result, or the error that took its place.
+
+    Where it has them, open(task) is called before the run, segments(task, trace) with what a bisection decides for each
+    segment before the result, and close(task) at the end, whatever happened.
+    """
 
     def result(self, task: Task, result: Result) -> None: ...
 
@@ -210,17 +214,33 @@ def make(name: str, **options: Any) -> Sink:
 
 
 def publish(sinks: Sequence[Sink], task: Task, run: Callable[[], Result], fail_on_sink_error: bool = True) -> Result:
-    """Runs a comparison and hands its result, or its error, to all sinks."""
-    try:
-        result = run()
-    except Exception as error:
-        for sink in sinks:
-            sink.error(task, error)
-        raise
-    for sink in sinks:
+    """Runs a comparison and hands its result, or its error, to all sinks; those that were opened are closed."""
+
+    def told(sink: Sink, what: str, *more: Any) -> None:
+        """Calls a sink, if it has what; its failure counts only where that is asked for."""
         try:
-            sink.result(task, result)
+            if hasattr(sink, what):
+                getattr(sink, what)(task, *more)
         except Exception:
             if fail_on_sink_error:
                 raise
-    return result
+
+    opened: list[Sink] = []
+    try:
+        for sink in sinks:
+            told(sink, "open")
+            opened.append(sink)
+        try:
+            result = run()
+        except Exception as error:
+            for sink in sinks:
+                sink.error(task, error)
+            raise
+        for sink in sinks:
+            if hasattr(sink, "segments"):
+                told(sink, "segments", result.trace())
+            told(sink, "result", result)
+        return result
+    finally:
+        for sink in opened:
+            told(sink, "close")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritas.functions.predicates import key_range, time_window
+from paritas.functions.predicates import key_range, literal, time_window
 from paritas.spec import DERIVED, Comparison, Mapping, Resource, Side, Value
 
 Reader = Callable[[SparkSession, Resource], DataFrame]
@@ -104,6 +104,34 @@ def table_facts(spark: SparkSession, name: str) -> TableFacts:
     return TableFacts(True, tuple((f.name, f.dataType.simpleString(), f.nullable) for f in fields), tuple(c.name for c in cols if c.isPartition), tuple(details))
 
 
+def relations(spark: SparkSession, database: str | None = None, views: bool | None = None) -> list[str]:
+    """Names of the catalog's tables and views in a database; only views, or none, where that is asked for."""
+    found = spark.catalog.listTables(database)
+    return sorted(t.name for t in found if views is None or views == (t.tableType in ("VIEW", "TEMPORARY")))
+
+
+def databases(spark: SparkSession) -> list[str]:
+    return sorted(d.name for d in spark.catalog.listDatabases())
+
+
+#: Queries of information schemas, for JDBC resources of kind query. The standard's view and column names.
+INFORMATION = {
+    "columns": "SELECT column_name, data_type, is_nullable FROM information_schema.columns WHERE table_schema = {schema} AND table_name = {table} ORDER BY ordinal_position",
+    "primary_key": "SELECT k.column_name FROM information_schema.table_constraints c JOIN information_schema.key_column_usage k ON k.constraint_name = c.constraint_name AND k.table_schema = c.table_schema AND k.table_name = c.table_name WHERE c.constraint_type = 'PRIMARY KEY' AND c.table_schema = {schema} AND c.table_name = {table} ORDER BY k.ordinal_position",
+    "foreign_keys": "SELECT k.constraint_name, k.column_name FROM information_schema.table_constraints c JOIN information_schema.key_column_usage k ON k.constraint_name = c.constraint_name AND k.table_schema = c.table_schema AND k.table_name = c.table_name WHERE c.constraint_type = 'FOREIGN KEY' AND c.table_schema = {schema} AND c.table_name = {table}",
+    "tables": "SELECT table_name FROM information_schema.tables WHERE table_schema = {schema} AND table_type = 'BASE TABLE' ORDER BY table_name",
+    "views": "SELECT table_name FROM information_schema.views WHERE table_schema = {schema} ORDER BY table_name",
+    "schemas": "SELECT schema_name FROM information_schema.schemata ORDER BY schema_name",
+}
+
+
+def information_sql(what: str, schema_name: str = "", table: str = "") -> str:
+    """The query of another database's information schema that tells what of a schema or table."""
+    if what not in INFORMATION:
+        raise ValueError(f"no metadata {what!r}; there are {', '.join(INFORMATION)}")
+    return INFORMATION[what].format(schema=literal(schema_name), table=literal(table))
+
+
 def analyze_table(spark: SparkSession, name: str, columns: tuple[str, ...] = ()) -> None:
     """Collects statistics for the optimizer."""
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS" + (f" FOR COLUMNS {', '.join(columns)}" if columns else ""))

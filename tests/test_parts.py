@@ -177,6 +177,40 @@ def test_table_sinks(spark, tmp_path):
         spark.sql("DROP DATABASE sinks CASCADE")
 
 
+def test_jdbc(spark, tmp_path):
+    """A database behind JDBC, here the one that Spark brings along: written, read in parts and by a query, and compared."""
+    url = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "id int, name string")
+    for name, df in (("a", rows), ("b", rows.where("id <> 4").withColumn("name", F.when(F.col("id") == 7, "x").otherwise(F.col("name"))))):
+        df.write.format("jdbc").options(**url, dbtable=name).save()
+    parts = url | {"partitionColumn": "id", "lowerBound": "0", "upperBound": "20", "numPartitions": "3"}
+    source = readers.read(spark, Resource("jdbc", "a", parts))
+    assert source.rdd.getNumPartitions() == 3 and source.count() == 20
+    side = lambda path, more=url: Side(Resource("jdbc", path, more), keys=("id",), columns=("name",))
+    got = compare(spark, Comparison(side("a", parts), side("SELECT * FROM b"), Strategy()))
+    assert sorted((r.operation, r.id) for r in got.diff.collect()) == [("mismatch", "7"), ("target_missing", "4")]
+    writers.make("table:diff-record", table="kept", options=url).result(writers.Task("run1"), got)
+    assert readers.read(spark, Resource("jdbc", "kept", url)).count() == 2
+
+
+def test_sinks_are_opened_and_closed(spark):
+    said = []
+
+    class Told:
+        open = lambda self, task: said.append("open")
+        close = lambda self, task: said.append("close")
+        segments = lambda self, task, trace: said.append([r.decision for r in trace.collect()])
+        result = lambda self, task, result: said.append("result")
+        error = lambda self, task, error: said.append("error")
+
+    writers.publish([Told()], writers.Task("run1"), lambda: result(spark))
+    assert said == ["open", ["compare"], "result", "close"]
+    said.clear()
+    with pytest.raises(RuntimeError):
+        writers.publish([Told()], writers.Task("run1"), lambda: (_ for _ in ()).throw(RuntimeError("no")))
+    assert said == ["open", "error", "close"]
+
+
 def test_sink_names():
     assert column_names(["a b", "c"]) == ["a_b", "c"]
     for bad in (lambda: column_names(["a b", "A_b"]), lambda: writers.make("xml:result"), lambda: writers.register("csv:result", writers.CsvResult)):
@@ -200,6 +234,62 @@ def test_readers(spark, tmp_path):
     assert not readers.table_facts(spark, "no_such_table").exists
 
 
+def test_catalog_facts(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS facts LOCATION '{tmp_path}/facts.db'")
+    try:
+        spark.sql("CREATE TABLE facts.t (id INT, v STRING, day DATE) USING parquet PARTITIONED BY (day)")
+        spark.sql("CREATE VIEW facts.w AS SELECT id FROM facts.t")
+        facts = readers.table_facts(spark, "facts.t")
+        assert facts.exists and facts.columns[0] == ("id", "int", True) and facts.partition_columns == ("day",) and facts.details
+        readers.analyze_table(spark, "facts.t", ("id",))
+        assert "facts" in readers.databases(spark)
+        assert readers.relations(spark, "facts") == ["t", "w"] and readers.relations(spark, "facts", views=True) == ["w"] and readers.relations(spark, "facts", views=False) == ["t"]
+    finally:
+        spark.sql("DROP DATABASE facts CASCADE")
+    assert "table_name = 'o''k'" in readers.information_sql("primary_key", "s", "o'k")
+    with pytest.raises(ValueError, match="no metadata"):
+        readers.information_sql("weather")
+
+
+@pytest.mark.parametrize("threshold", [0, 3, 100])
+def test_bisection_visits_what_differs(spark, threshold):
+    s = spark.createDataFrame([(i, "a") for i in range(60)], "k int, v string")
+    t = s.where("k <> 11").withColumn("v", F.when(F.col("k") == 30, "b").otherwise(F.col("v")))
+    s, t = (diff.normalized(x, ["k", "v"]) for x in (s, t))
+    nodes = diff.bisection(s, t, ["k"], ["v"], 3, 3, threshold).collect()
+    # Brute force: descend from the whole, a segment's children at a time.
+    rows = [{r.k: (r.k, r.v) for r in x.collect()} for x in (s, t)]
+    leaf = {k: r for k, r in s.select("k", checksum.bucket([F.col("k")], 27).alias("b")).collect()}
+    want, todo = [], [(0, 0)]
+    while todo:
+        level, at = todo.pop()
+        a, b = ({k: v for k, v in x.items() if leaf[k] // 3 ** (3 - level) == at} for x in rows)
+        if not a and not b:
+            continue
+        decision = "skip_equal" if a == b else "compare" if level == 3 or max(len(a), len(b)) <= threshold else "split"
+        want.append((level, at, len(a), len(b), decision))
+        todo += [(level + 1, at * 3 + i) for i in range(3)] if decision == "split" else []
+    assert sorted(map(tuple, nodes)) == sorted(want)
+    assert [r.decision for r in diff.bisection(s, s, ["k"], ["v"], 3, 3).collect()] == ["skip_equal"]
+    assert diff.bisection(s.limit(0), s.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_segment_strategies(spark):
+    df = spark.createDataFrame([(i // 3, f"t{i:03d}") for i in range(100)] + [(None, None)], "k int, v string")
+    pages = sorted(map(tuple, segments.walk(df, "k", 7).collect()))
+    assert [p[1] for p in pages] == [7] * 14 + [2] and [p[2:] for p in pages] == [(i * 7 // 3, min(i * 7 + 6, 99) // 3) for i in range(15)]
+    texts = sorted(map(tuple, segments.walk(df, "v", 30).collect()))
+    assert [(p[2], p[3]) for p in texts] == [("t000", "t029"), ("t030", "t059"), ("t060", "t089"), ("t090", "t099")]
+    assert segments.walk(df.limit(0), "k", 7).count() == 0
+    assert (segments.choose(df, "k"), segments.choose(df, "v", "range"), segments.choose(df, "k", "row-sample")) == ("range", "row-sample", "row-sample")
+    assert sum(r.row_count for r in segments.segmented(df, "v", 4).collect()) == 101
+    assert segments.segmented(df.limit(0), "k", 4).count() == 0
+    assert [segments.adaptive_factor(n, 8) for n in (10, 200_000, 2_000_000)] == [4, 8, 16]
+    for bad in (lambda: segments.choose(df, "k", "dowsing"), lambda: segments.register("range", segments.depth_segments)):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_config_and_cli(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setenv("PLACE", str(tmp_path))
     spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").write.parquet(f"{tmp_path}/s")
