@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paritas.llm.common import cut, fresh, partitions, release, sized
+from paritas.llm.common import CHUNK_CHARS, cut, fresh, partitions, release, sized
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_TIMES = 3.0
@@ -230,23 +230,34 @@ def texts(docs: DataFrame, column: str = "text") -> DataFrame:
     word = re.compile("[^\\x20\\x09-\\x0D]+")
 
     def cut_out(text: str, spans: list) -> str:
-        ends = [m.span() for m in word.finditer(text)]
-        out: list[list[int]] = []
+        runs: list[list[int]] = []
         for s in spans:
             a, b = int(s["a"]), int(s["b"])
-            if out and out[-1][1] == a:
-                out[-1][1] = b
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = b
             else:
-                out.append([a, b])
-        return " ".join(text[ends[a][0] : ends[b - 1][1]] for a, b in out)
+                runs.append([a, b])
+        # Of a long text's words only the first and last of each run are remembered.
+        wanted, last, ends = {i for a, b in runs for i in (a, b - 1)}, runs[-1][1] - 1, {}
+        for i, m in enumerate(word.finditer(text)):
+            if i in wanted:
+                ends[i] = m.span()
+            if i == last:
+                break
+        return " ".join(text[ends[a][0] : ends[b - 1][1]] for a, b in runs)
 
     def run(batches):
         for pdf in batches:
-            rows = []
+            names, rows, chars = [c for c in pdf.columns if c != epochs], [], 0
             for one, takes in zip(pdf.drop(columns=epochs).to_dict("records"), pdf[epochs], strict=True):
                 for e in sorted(takes, key=lambda e: (e["first"], e["epoch"])):
                     rows.append(one if e["whole"] else one | {column: cut_out(one[column], list(e["spans"]))})
-            yield pd.DataFrame(rows, columns=[c for c in pdf.columns if c != epochs])
+                    chars += len(rows[-1][column])
+                    if chars > CHUNK_CHARS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, chars = [], 0
+                        release()
+            yield pd.DataFrame(rows, columns=names)
             del rows, pdf
             release()
 

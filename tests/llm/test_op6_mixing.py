@@ -3,6 +3,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from paritas.llm import mixing
 
 
@@ -113,3 +115,11 @@ def test_texts_of_repeated_rows_and_clashing_columns(spark):
     assert sum(got.values()) == sum(taken.values())
     copies = {i: 2 if i < 30 else 1 for i in range(60)}
     assert all(n <= 3 * copies[int(w[1:].split("x")[0])] for w, n in got.items() if w.startswith("w"))
+
+
+def test_long_texts_leave_in_bounded_pieces(spark):
+    """Several texts of over a million characters in one batch give the words that the mix takes, whole or in part."""
+    docs = spark.createDataFrame([(i, f"w{i} " * 300_000, "s" if i < 2 else "t") for i in range(4)], "doc_id long, text string, source string").coalesce(1)
+    want = {r.doc_id: r.taken for r in mixing.mixed(docs).collect()}
+    rows = mixing.texts(docs).select("doc_id", F.length(F.translate("text", "0123456789 ", "")).alias("n"), F.regexp_count("text", F.lit("[^ 0-9w]")).alias("odd")).collect()
+    assert {i: sum(r.n for r in rows if r.doc_id == i) for i in want} == want and not any(r.odd for r in rows)
