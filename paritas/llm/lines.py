@@ -31,6 +31,8 @@ LEAST, NEAR, EDITS = 32, 16, 2
 CROWD, FINE = 40, 8
 #: Letters that are counted in pairs before these are verified.
 LETTERS = "abcdefghijklmnopqrstuvwxyz ,."
+#: Those of them whose numbers stand beside a line's keys, so that most other lines of a key do not become pairs at all.
+FIRST = "ean"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -64,9 +66,8 @@ def within(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     df = _once(df, _tail=_common(F.col(a), F.col(b), F.col("_m") - F.col("_head"), True))
     df = _once(df, **{name: F.substring(F.col(s), F.col("_head") + 1, F.length(s) - F.col("_head") - F.col("_tail")) for s, name in ((a, "_x"), (b, "_y"))})
     # An edit changes the number of one letter, or of two by one each: most other pairs go by these, before the recurrence.
-    number = lambda c, x: F.octet_length(c) - F.octet_length(F.replace(F.col(c), x))
     letters = F.array(*[F.lit(x) for x in LETTERS])
-    df = df.where(F.aggregate(letters, F.lit(0), lambda n, x: n + F.abs(number("_x", x) - number("_y", x))) <= 2 * edits)
+    df = df.where(F.aggregate(letters, F.lit(0), lambda n, x: n + F.abs(_number("_x", x) - _number("_y", x))) <= 2 * edits)
     width = 2 * edits + 1
     mask = (1 << width) - 1
     pad = F.array(*[F.lit("")] * edits)
@@ -106,6 +107,23 @@ def _moved(d0: Column, j: Column, vp: Column, vn: Column, d: Column, width: int,
     )
 
 
+def _number(c: str, x: str | Column) -> Column:
+    """How often the letter x stands in column c."""
+    return F.octet_length(c) - F.octet_length(F.replace(F.col(c), F.lit(x) if isinstance(x, str) else x))
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """texts (line) with the numbers of its FIRST letters, each modulo 256, as one number: letters."""
+    each = [_number("line", x).bitwiseAND(F.lit(255)) * F.lit(1 << 8 * i) for i, x in enumerate(FIRST)]
+    return texts.withColumn("letters", sum(each[1:], each[0]))
+
+
+def _apart(a: str, b: str) -> str:
+    """SQL of how far the numbers of the FIRST letters of two lines are apart, at least, in all."""
+    less = [f"pmod(shiftright({a}, {8 * i}) - shiftright({b}, {8 * i}), 256)" for i in range(len(FIRST))]
+    return " + ".join(f"least({d}, 256 - {d})" for d in less)
+
+
 # -- candidates -------------------------------------------------------------------------------------------------------
 
 
@@ -138,13 +156,16 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def keyed(texts: DataFrame, edits: int, probes: bool) -> DataFrame:
-    """(h, line, n, key): the length, and the keys of the indexed segments, or of the probes, of lines (h, line), one a row."""
+    """(h, line, n, same, key): the length, and the keys of the indexed segments, or of the probes, of lines (h, line), one a row;
+    same says whether a probe asks for lines of its own length. Other columns of texts stay.
+    """
     deltas = range(edits + 1) if probes else (0,)
-    keys = [_key(i, s, delta, edits) for delta in deltas for i, s in (_places(edits, delta) if probes else [(i, 0) for i in range(1, edits + 2)])]
+    keys = [f"struct({delta == 0} AS same, {_key(i, s, delta, edits)} AS key)" for delta in deltas for i, s in (_places(edits, delta) if probes else [(i, 0) for i in range(1, edits + 2)])]
     known = _once(texts, b=F.col("line"), n=F.length("line"))
     # Bounds first, so that the code made for the keys is short enough to be compiled; an outer generator makes each key once.
     known = _once(known, **{f"_{delta}_{k}": F.expr(f"int((n - {delta}) * {k} div {edits + 1})") for delta in deltas for k in range(1, edits + 1)})
-    return known.select("h", "line", "n", F.explode_outer(F.expr(f"array({', '.join(keys)})")).alias("key")).where("key is not null")
+    known = known.select(*texts.columns, "n", F.explode_outer(F.expr(f"array({', '.join(keys)})")).alias("at"))
+    return known.select(*texts.columns, "n", "at.*").where("key is not null")
 
 
 def _fine_shifts(masked: int, edits: int, delta: int) -> list[tuple[int, ...]]:
@@ -179,11 +200,12 @@ def _fine_keys(masked: int, edits: int, probes: bool, of: int) -> str:
 
 def fine(texts: DataFrame, edits: int, probes: bool, of: int = FINE) -> DataFrame:
     """(h, key, same, parts): a row for each choice of up to edits segments in which a line's partner may differ from it, each
-    of them edited at least once.
+    of them edited at least once. Other columns of texts but line stay.
     """
+    kept = [c for c in texts.columns if c != "line"]
     known = _once(texts, b=F.col("line"), n=F.length("line"))
     known = _once(known, keys=F.expr(f"concat({', '.join(_fine_keys(k, edits, probes, of) for k in range(1, edits + 1))})"))
-    return known.select("h", F.explode("keys").alias("at")).where("at is not null").select("h", "at.*")
+    return known.select(*kept, F.explode("keys").alias("at")).where("at is not null").select(*kept, "at.*")
 
 
 def _thinned(rest: Column, edits: int) -> Column:
@@ -196,15 +218,19 @@ def _thinned(rest: Column, edits: int) -> Column:
 
 
 def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
-    """(a, b): hashes of the distinct lines (h, line) that share a key, each pair once or, from both its lines, twice."""
-    counts = keyed(texts, edits, False).groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.first("n").alias("n")).where(F.col("lines") > crowd)
+    """(a, b): hashes of the distinct lines (h, line) that share a key, each pair once or, from both its lines, twice.
+
+    Lines of crowded keys meet each other under finer keys only, which find all their pairs; under the others they meet the rest.
+    """
+    texts = texts if "letters" in texts.columns else counted(texts)
+    counts = keyed(texts.select("h", "line"), edits, False).groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.first("n").alias("n")).where(F.col("lines") > crowd)
     hot = sized(counts.select("key", "n"))
-    some = [keyed(texts, edits, probes).select("h", "key").join(hot.select("key"), "key", "left_anti") for probes in (False, True)]
-    found = _met(some[0], some[1].withColumn("same", F.lit(False)))
     # The lines of crowded keys; a line probes its own keys too. Their lengths leave out most others before keys are made.
     lengths = sized(hot.select(F.explode(F.sequence(F.col("n"), F.col("n") + edits)).alias("length")).distinct())
     near = texts.join(lengths, F.length("line") == F.col("length"), "left_semi")
-    crowded = cut(keyed(near, edits, True).join(hot.select("key"), "key", "left_semi").select("h", "line").dropDuplicates(["h"]))
+    crowded = cut(keyed(near, edits, True).join(hot.select("key"), "key", "left_semi").select("h", "line", "letters").dropDuplicates(["h"]))
+    flagged = texts.join(sized(crowded.select("h", F.lit(True).alias("dense"))), "h", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    found = _met(*[keyed(flagged, edits, probes).drop("line", "n").join(hot.select("key"), "key", "left_anti") for probes in (False, True)], edits)
     index = fine(crowded, edits, False)
     many = index.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") > crowd)
     # Under a fine key that many lines share: the usual segments, which are the median's if over half of the lines have them,
@@ -227,15 +253,22 @@ def candidates(texts: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> Data
         left = F.when(F.col("thin"), _thinned(F.array_join("parts", "\n"), edits)).otherwise(F.array(F.lit("")))
         known = _once(known, wanted=wanted, left=left)
         keys = F.flatten(F.transform("wanted", lambda f: F.transform("left", lambda s: F.xxhash64("key", f, s))))
-        return known.select("h", "same", F.explode(F.when(F.col("usual").isNull(), F.array("key")).otherwise(keys)).alias("key"))
+        return known.select("h", "letters", "same", F.explode(F.when(F.col("usual").isNull(), F.array("key")).otherwise(keys)).alias("key"))
 
-    return found.unionByName(_met(finer(False).drop("same"), finer(True))).distinct()
+    return found.unionByName(_met(finer(False), finer(True), edits)).distinct()
 
 
-def _met(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """(a, b) of the probes (h, key, same) and the indexed rows (h, key) that share a key; lines that ask for each other, once."""
-    both = index.select(F.col("key").alias("k"), F.col("h").alias("b")).join(probes.select("key", "same", F.col("h").alias("a")), F.col("k") == F.col("key"))
-    return both.where("a <> b and (not same or a < b)").select("a", "b")
+def _met(index: DataFrame, probes: DataFrame, edits: int) -> DataFrame:
+    """(a, b) of the probes (h, letters, same, key) and the indexed rows (h, letters, key) that share a key, but for those whose
+    letters are too many edits apart; lines that ask for each other, once, and dense ones, where both sides say which these
+    are, not with each other.
+    """
+    dense = ["dense"] if "dense" in index.columns else []
+    side = index.select(F.col("key").alias("k"), F.col("h").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("letters", *dense)])
+    both = side.join(probes.select("key", "same", F.col("h").alias("a"), "letters", *dense), F.col("k") == F.col("key"))
+    # An edit changes the number of one letter, or of two by one each.
+    takes = ["a <> b", "(not same or a < b)", *(f"not (dense and b_{c})" for c in dense), f"{_apart('letters', 'b_letters')} <= {2 * edits}"]
+    return both.where(" and ".join(takes)).select("a", "b")
 
 
 # -- documents --------------------------------------------------------------------------------------------------------
@@ -251,10 +284,10 @@ def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     long = lines(docs).where((F.octet_length("line") >= LEAST) | (F.length("line") >= NEAR))
     texts = long.join(repeated, ["h", "g"], "left").where(F.col("first").isNull() | ~again)
     # Read five times; as Parquet, a line's text is on disk once more, compressed.
-    texts, path = written(texts.select("h", "g", "line", place.alias("at")), "lines")
-    pairs = cut(candidates(texts.select("h", "line"), edits))
+    texts, path = written(counted(texts).select("h", "g", "line", "letters", place.alias("at")), "lines")
+    pairs = cut(candidates(texts.select("h", "line", "letters"), edits))
     wanted = sized(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct())
-    held = cut(texts.join(wanted, "h", "left_semi"))
+    held = cut(texts.drop("letters").join(wanted, "h", "left_semi"))
     removed(texts.sparkSession, path)
     side = lambda s: held.select(*[F.col(c).alias(f"{s}_{c}") for c in held.columns])
     both = pairs.join(side("x"), F.col("a") == F.col("x_h")).join(side("y"), F.col("b") == F.col("y_h"))

@@ -141,3 +141,34 @@ def test_crowds_make_few_pairs(spark):
     df = spark.createDataFrame(list(enumerate(sorted(set(texts)))), "h long, line string")
     pairs = lines.candidates(df, 2).selectExpr("least(a, b)", "greatest(a, b)").distinct()
     assert pairs.count() < 0.1 * len(texts) ** 2 / 2
+
+
+def test_pairs_under_shared_keys_are_few(spark, monkeypatch):
+    """Lines of crowded keys do not meet each other under their other keys too, nor lines of one length twice, nor lines whose
+    letters are too different; and what is left has every line with its edited copy.
+    """
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrst"), 6)) for _ in range(40)]
+    texts = set()
+    for _ in range(600):
+        some = list(words)
+        for k in rng.choice(40, int(rng.integers(1, 7)), replace=False):
+            some[k] = "".join(rng.choice(list("abcdefghijklmnopqrst"), int(rng.integers(5, 8))))
+        texts.add(" ".join(some))
+    copies = [(t, c) for t in sorted(texts) if (c := edited(rng, t, 2)) not in texts]
+    texts = sorted(texts | {c for _, c in copies})
+    number = {t: i for i, t in enumerate(texts)}
+    met, made = lines._met, []
+
+    def counted(*args):
+        made.append(met(*args))
+        return made[-1]
+
+    monkeypatch.setattr(lines, "_met", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+    got = {tuple(sorted((r.a, r.b))) for r in lines.candidates(df, 2).collect()}
+    coarse = [(r.a, r.b) for r in made[0].collect()]
+    once = set(coarse)
+    assert {tuple(sorted((number[t], number[c]))) for t, c in copies} <= got
+    assert not any((b, a) in once for a, b in once if len(texts[a]) == len(texts[b]))
+    assert len(coarse) < 15_000
