@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -72,6 +74,18 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles, broadcasts and checkpoints that no table refers to any more. It does so only once the
+    driver's collector has found them, which else may come after all passes of a query. Each listener holds the last query
+    that ended, until it hears of another, so that this takes a few rounds.
+    """
+    for _ in range(5):
+        spark.range(1).collect()
+        gc.collect()
+        spark._jvm.java.lang.System.gc()
+        time.sleep(0.5)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import chunks, cut, partitions, release
+from paritas.llm.common import chunks, cut, freed, partitions, release
 from paritas.llm.hashing import mix
 
 LENGTH, GRAM = 50, 16
@@ -356,6 +356,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, buckets:
 
     told = store.groupBy("d").applyInPandas(_freed(tell), "b int, d int, data binary")
     shared = cut(told.groupBy("b").applyInPandas(_freed(weigh), "d int, b int, kind int, data binary"))
+    # What the first passes shuffled, over the input's size, is not read again.
+    freed(docs.sparkSession)
 
     def send(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         """The bucket's distinct regions under shared anchors."""

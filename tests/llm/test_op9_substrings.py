@@ -1,4 +1,6 @@
 import hashlib
+import re
+import time
 
 import numpy as np
 import pytest
@@ -71,3 +73,20 @@ def test_documents(spark, crowd):
     assert got == brute(docs, 50)
     assert sum(r[2] for r in got) > 3000
     assert substrings.deduplicated(df.limit(0)).count() == 0
+
+
+def test_first_passes_leave_no_files(spark):
+    """What was shuffled to find shared anchors is off the disk before regions are sent."""
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return {int(x) for x in re.findall(r"shuffle_(\d+)_", blocks)}
+
+    last = max(shuffles(), default=-1)
+    df = spark.createDataFrame([(i, f"{i % 7} " * 80) for i in range(200)], "doc_id long, text string").repartition(3)
+    out = substrings.repeats(df.withColumnRenamed("doc_id", "doc"), buckets=3)
+    end = time.time() + 20
+    while any(x > last for x in shuffles()) and time.time() < end:
+        time.sleep(0.2)
+    assert not any(x > last for x in shuffles())
+    assert out.count() == 7
