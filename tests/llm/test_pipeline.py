@@ -155,3 +155,19 @@ def test_near_copies_by_similarity(spark, size):
     above = [i for i, j in want.items() if j >= 0.8]
     assert sum(2 * i + 1 not in left for i in above) >= 0.98 * len(above) > 20
     assert all(2 * i + 1 in left for i, j in want.items() if j < 0.8) and all(2 * i in left for i in want)
+
+
+def test_stages_give_back_what_earlier_ones_held(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i} and a line\nthat stands in all of them here", "en", "web", 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def held():
+        env = spark._jvm.org.apache.spark.SparkEnv.get()
+        return {int(x) for x in env.mapOutputTracker().shuffleStatuses().keySet().mkString(" ").split()}
+
+    last = max(held(), default=-1)
+    lined, path = corpus_pipeline.written(corpus_pipeline.line_dedup(spark, docs, ""), "test")
+    lined = spark.read.parquet(path)
+    old = {x for x in held() if x > last}
+    out = corpus_pipeline.sentencepiece(spark, lined, "")
+    assert old and not old & held()
+    assert out.count() == 60
