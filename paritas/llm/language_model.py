@@ -8,8 +8,12 @@ after its first OVERLAP, so that each token is scored once, windows of many text
 
 All counts are of the whole training part of the corpus, and no table of all words is gathered anywhere: buckets of texts
 tell the words that they have, and these meet by hash. There every distinct word is counted and encoded once; the bucket
-learns its words' counts and ids, and which pieces follow which is summed over all words. Attention and class pairs are
-trained in numpy, on windows drawn evenly from all training text, by steps that grow with its logarithm.
+learns its words' counts and ids, and which pieces follow which is summed over all words.
+
+The table of class pairs starts as the counts of all training text. Attention and pairs then begin with steps on windows drawn
+evenly from it, only to have a common start; from there each bucket goes over all of its training text once, every piece and
+end a target once, weighted by the rows that have it, and the model is the mean of what the buckets arrive at, weighted by
+their text.
 
 A word's probability is the product of its pieces' times that of a word's end after them; it is interpolated with the word's
 share of the words of its text before it, and with the base: its smoothed share of all training words, where all words that
@@ -23,6 +27,7 @@ import contextlib
 import ctypes
 import functools
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import SPACES, chunks, cut, partitions, release
+from paritas.llm.common import SPACES, chunks, cut, partitions, release, removed, written
 from paritas.llm.hashing import span_hashes, spans
 from paritas.llm.sentencepiece_bpe import MARK, Encoder, Pieces
 from paritas.llm.substrings import _by_bucket, _ranges, _squeeze, _unsqueeze
@@ -40,6 +45,8 @@ from paritas.llm.substrings import _by_bucket, _ranges, _squeeze, _unsqueeze
 FOLDS, HELD_OUT = 5, 1
 #: Steps for each doubling of the training characters, windows of a step, and words of a run of text that is drawn.
 STEPS, TRAINED, DRAWN = 30, 96, 64
+#: Windows of a step of the pass over all training text, and the rate of its first step.
+LESSON, RATE = 192, 0.003
 #: Inputs of a window, those of them that the window before has scored, width, frequent pieces, clusters of either kind.
 WINDOW, OVERLAP, WIDTH, FREQUENT, CLUSTERS = 16, 4, 16, 48, 48
 #: Columns by which pieces are clustered: what follows them, by its number modulo this, or the end of their word.
@@ -85,17 +92,19 @@ class Model:
 def _forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Logits of the class after each input of windows x (n, t)."""
     n, t = x.shape
-    h = w["embed"][x] + w["place"][:t]
+    h = np.take(w["embed"], x, axis=0)
+    h += w["place"][:t]
     d = h.shape[2]
     flat = h.reshape(-1, d)
-    q, k, v = ((flat @ w[m]).reshape(n, t, d) for m in ("q", "k", "v"))
+    every = (flat @ np.concatenate([w["q"] * np.float32(1 / np.sqrt(d)), w["k"], w["v"]], axis=1)).reshape(n, t, 3 * d)
+    q, k, v = every[:, :, :d], every[:, :, d : 2 * d], every[:, :, 2 * d :]
     s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= np.float32(1 / np.sqrt(d))
     s += np.triu(np.full((t, t), np.float32(-1e9)), 1)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    s /= (s @ np.ones(t, dtype=s.dtype))[:, :, None]
     a = np.matmul(s, v)
-    out = flat + a.reshape(-1, d) @ w["o"]
+    out = a.reshape(-1, d) @ w["o"]
+    out += flat
     return out, (h, q, k, v, s, a)
 
 
@@ -105,39 +114,53 @@ def _logits(w: dict[str, np.ndarray], out: np.ndarray, last: np.ndarray) -> np.n
     return z
 
 
-def _step(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy of the classes y after inputs x, and its gradients."""
+def _step(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Cross-entropy of the classes y after inputs x, summed with weights (None: the mean), and its gradients.
+
+    Inputs are sorted by class, so that the gradients of its pairs and its embedding are sums of neighbours.
+    """
     n, t = x.shape
     d, total = w["embed"].shape[1], n * t
     out, (h, q, k, v, s, a) = _forward(w, x)
-    last, want = x.reshape(-1), y.reshape(-1)
-    z = _logits(w, out, last)
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=1, keepdims=True)
-    loss = -float(np.log(p[np.arange(total), want] + 1e-12).mean())
-    dz = p
-    dz[np.arange(total), want] -= 1
-    dz /= total
-    which = np.eye(len(w["embed"]), dtype=dz.dtype)[last].T  # sums by class as a product, which is faster than adding at places
-    g = {"u": out.T @ dz, "pairs": which @ dz}
-    dout = dz @ w["u"].T
+    last = x.reshape(-1)
+    order = np.argsort(last.astype(np.int16), kind="stable")
+    edges = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=len(w["embed"])))]).tolist()
+    used = [(c, i, j) for c, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
+    sorted_out = out[order]
+    part = np.full(total, 1 / total, dtype=out.dtype) if weight is None else weight.reshape(-1)[order].astype(out.dtype)
+    z = _logits(w, sorted_out, last[order])
+    np.exp(z, out=z)  # logits are small, as in class_scores
+    norm = z @ np.ones(z.shape[1], dtype=z.dtype)
+    flat_z, at = z.reshape(-1), np.arange(total) * z.shape[1] + y.reshape(-1)[order]
+    want = flat_z[at]
+    loss = -float(part @ np.log(want / norm))
+    flat_z[at] = want - norm
+    part /= norm
+    g = {"pairs": np.zeros_like(w["pairs"]), "u": (sorted_out * part[:, None]).T @ z}
+    for c, i, j in used:
+        g["pairs"][c] = part[i:j] @ z[i:j]
+    dout = np.empty_like(out)
+    dout[order] = (z @ w["u"].T) * part[:, None]
     flat_a = a.reshape(-1, d)
     g["o"] = flat_a.T @ dout
     da = (dout @ w["o"].T).reshape(n, t, d)
-    dv = np.matmul(s.transpose(0, 2, 1), da)
     ds = np.matmul(da, v.transpose(0, 2, 1))
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) / np.float32(np.sqrt(d))
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    flat = h.reshape(-1, d)
-    dh = dout.copy()
-    for name, grad in (("q", dq), ("k", dk), ("v", dv)):
-        grad = grad.reshape(-1, d)
-        g[name] = flat.T @ grad
-        dh += grad @ w[name].T
-    g["embed"] = which @ dh
+    ds -= ((ds * s) @ np.ones(t, dtype=s.dtype))[:, :, None]
+    ds *= s
+    dall = np.empty((n, t, 3 * d), dtype=out.dtype)  # of q before it is scaled, k and v
+    np.multiply(np.matmul(ds, k), np.float32(1 / np.sqrt(d)), out=dall[:, :, :d])
+    dall[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q)
+    dall[:, :, 2 * d :] = np.matmul(s.transpose(0, 2, 1), da)
+    dall = dall.reshape(-1, 3 * d)
+    product = h.reshape(-1, d).T @ dall
+    g["q"], g["k"], g["v"] = product[:, :d], product[:, d : 2 * d], product[:, 2 * d :]
+    dh = dall @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
+    dh += dout
     g["place"] = np.zeros_like(w["place"])
     g["place"][:t] = dh.reshape(n, t, d).sum(axis=0)
+    g["embed"], dh = np.zeros_like(w["embed"]), dh[order]
+    for c, i, j in used:
+        g["embed"][c] = np.ones(j - i, dtype=dh.dtype) @ dh[i:j]
     return loss, g
 
 
@@ -175,6 +198,23 @@ def one_thread() -> Iterator[None]:
             put(before)
 
 
+@contextlib.contextmanager
+def kept_memory() -> Iterator[None]:
+    """Arrays that are freed stay with this process meanwhile: small steps would else have each one's pages anew."""
+    put = None
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has this
+        put = ctypes.CDLL("libc.so.6").mallopt
+    try:
+        if put is not None:
+            put(-3, 1 << 25)  # from which size on an array has its own mapping
+            put(-1, 1 << 26)  # how much may be free at the end
+        yield
+    finally:
+        if put is not None:
+            put(-3, 1 << 17)
+            put(-1, 1 << 17)
+
+
 def classes_of(initial: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each piece's class, and whether a class begins a word; the last class, which no piece has, is the end of a text.
 
@@ -211,12 +251,30 @@ def shares(classes: np.ndarray, size: int, counts: np.ndarray, pairs: np.ndarray
     return within
 
 
-def fit(classes: np.ndarray, initial: np.ndarray, within: np.ndarray, streams: list[np.ndarray], steps: int, attend: bool = True) -> Model:
-    """A model trained on streams of classes; without any, a uniform one. Without attend, class pairs are trained alone."""
+def _moved(w: dict[str, np.ndarray], g: dict[str, np.ndarray], one: dict[str, np.ndarray], two: dict[str, np.ndarray], i: int, rate: float) -> None:
+    """Moves the weights that one and two have means for along their gradients, as Adam does in its i-th step."""
+    for name in one:
+        one[name] = 0.9 * one[name] + 0.1 * g[name]
+        two[name] = 0.99 * two[name] + 0.01 * g[name] ** 2
+        w[name] -= (rate * (one[name] / (1 - 0.9**i)) / (np.sqrt(two[name] / (1 - 0.99**i)) + 1e-6)).astype(np.float32)
+
+
+def _means(w: dict[str, np.ndarray], attend: bool) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    one, two = ({k: np.zeros_like(w[k]) for k in (w if attend else ("pairs",))} for _ in range(2))
+    return one, two
+
+
+def fit(classes: np.ndarray, initial: np.ndarray, within: np.ndarray, streams: list[np.ndarray], steps: int, attend: bool = True, counts: np.ndarray | None = None) -> Model:
+    """A model trained on streams of classes; without any, a uniform one. Without attend, class pairs are trained alone.
+
+    counts: how often each class follows each; None: as in the streams.
+    """
     rng = np.random.default_rng(SEED)
     size = len(initial)
     pairs = np.full((size, size), 0.5)
-    for s in streams:
+    if counts is not None:
+        pairs += counts
+    for s in streams if counts is None else ():
         np.add.at(pairs, (s[:-1], s[1:]), 1)
     pairs = np.log(pairs / pairs.sum(axis=1, keepdims=True))
     w = {"embed": rng.normal(size=(size, WIDTH)) * 0.3, "place": rng.normal(size=(WINDOW, WIDTH)) * 0.1, "u": rng.normal(size=(WIDTH, size)) * 0.02, "pairs": pairs}
@@ -227,19 +285,51 @@ def fit(classes: np.ndarray, initial: np.ndarray, within: np.ndarray, streams: l
     long = np.concatenate(streams) if streams else np.zeros(0, dtype=np.int64)
     if len(long) <= WINDOW + 1:
         return Model(classes, within, initial, w)
-    one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    one, two = _means(w, attend)
     for i in range(1, steps + 1):
         start = rng.integers(0, len(long) - WINDOW, TRAINED)
         both = long[start[:, None] + np.arange(WINDOW + 1)]
         _, g = _step(w, both[:, :-1], both[:, 1:])
-        rate = 0.01 * min(1.0, i / 30) * (1 - 0.9 * i / steps)
-        for name in w if attend else ("pairs",):
-            one[name] = 0.9 * one[name] + 0.1 * g[name]
-            two[name] = 0.99 * two[name] + 0.01 * g[name] ** 2
-            w[name] -= (rate * (one[name] / (1 - 0.9**i)) / (np.sqrt(two[name] / (1 - 0.99**i)) + 1e-6)).astype(np.float32)
+        _moved(w, g, one, two, i, 0.01 * min(1.0, i / 30) * (1 - 0.9 * i / steps))
     return Model(classes, within, initial, w)
 
 
+def targets(classes: np.ndarray, end: int, ids: np.ndarray, of: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(input, target, weight) for each piece and end of the texts, of so many ids, that so many training rows have."""
+    y = np.full(len(ids) + len(of), end, dtype=np.int64)
+    y[np.arange(len(ids)) + np.repeat(np.arange(len(of)), of)] = classes[ids]
+    x = np.concatenate([[end], y[:-1]]) if len(y) else y
+    weight = np.repeat(trains, of + 1)
+    take = weight > 0
+    return x[take], y[take], weight[take]
+
+
+def lessons(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows (input, target, weight), LESSON at a time, that have each target of parts once; the last is filled up with such
+    of weight zero.
+    """
+    held = [np.zeros(0, dtype=np.int64)] * 3
+    for part in parts:
+        held = [np.concatenate(x) for x in zip(held, part, strict=True)]
+        whole = len(held[0]) // (LESSON * WINDOW) * LESSON * WINDOW
+        for i in range(0, whole, LESSON * WINDOW):
+            yield tuple(x[i : i + LESSON * WINDOW].reshape(LESSON, WINDOW) for x in held)
+        held = [x[whole:] for x in held]
+    if len(held[0]):
+        yield tuple(np.append(x, np.full(-len(x) % WINDOW, fill)).reshape(-1, WINDOW) for x, fill in zip(held, (end, end, 0), strict=True))
+
+
+def taught(weights: dict[str, np.ndarray], found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], tokens: int, weight: int, attend: bool = True) -> dict[str, np.ndarray]:
+    """The weights after one pass over lessons of so many targets that weigh so much together."""
+    w, steps = {k: v.copy() for k, v in weights.items()}, -(-tokens // (LESSON * WINDOW))
+    one, two = _means(w, attend)
+    unit = np.float32(tokens / (weight * LESSON * WINDOW))
+    for i, (x, y, part) in enumerate(found, 1):
+        _, g = _step(w, x, y, part * unit)
+        _moved(w, g, one, two, i, RATE * (1 - 0.9 * i / steps))
+    return w
+
+
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, skip) of the windows over sequences of so many inputs; all but the first skip what is scored already."""
     stride = WINDOW - OVERLAP
@@ -300,19 +390,29 @@ def distinct_words(raws: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, n
     """(hash, count, bytes, sizes) of the distinct words of tidied texts that count so much each; the bytes have a space
     behind every word, which sizes count too.
     """
+    return numbered_words(raws, weight)[:4]
+
+
+def numbered_words(raws: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """As distinct_words; and for each run of texts, from one to the next, how many words they have and which of the distinct
+    ones these are.
+    """
     none = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    parts = []
+    parts, runs = [], []
     for a, b in chunks([len(r) for r in raws], CHUNK):
         h, sizes, data, start, end = _hashed(raws[a:b])
         u, at, back = np.unique(h, return_index=True, return_inverse=True)
         size = end[at] - start[at] + 1
         parts.append((u, np.bincount(back, weights=np.repeat(weight[a:b], sizes), minlength=len(u)), data[_ranges(start[at], size)], size))
+        runs.append((a, b, sizes, back.astype(np.uint32)))
     if not parts:
-        return none
+        return *none, []
+    ahead = np.cumsum([0, *(len(p[0]) for p in parts)])
     h, count, data, size = (np.concatenate(x) for x in zip(*parts, strict=True))
     u, at, back = np.unique(h, return_index=True, return_inverse=True)
-    start = np.cumsum(size) - size
-    return u, np.bincount(back, weights=count, minlength=len(u)), data[_ranges(start[at], size[at])], size[at]
+    start, back32 = np.cumsum(size) - size, back.astype(np.uint32)
+    runs = [(a, b, sizes, back32[i:j][own]) for (a, b, sizes, own), i, j in zip(runs, ahead, ahead[1:], strict=False)]
+    return u, np.bincount(back, weights=count, minlength=len(u)), data[_ranges(start[at], size[at])], size[at], runs
 
 
 def spelled(pieces: Pieces, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -465,8 +565,10 @@ def _summed(blobs: DataFrame, row_of: np.ndarray, column_of: np.ndarray) -> pd.D
     return blobs.select("data").mapInPandas(run, "row int, col int, n long").groupBy("row", "col").agg(F.sum("n").alias("n")).toPandas()
 
 
-def learn(pieces: Pieces, pairs: DataFrame, drawn: list[bytes], steps: int, attend: bool = True) -> Model:
-    """A model from what follows what in all training words (data, as piece_pairs), and drawn runs of text."""
+def kinds(pieces: Pieces, pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, which of them begin words, and shares of pieces, from what follows what in all training words (data, as
+    piece_pairs).
+    """
     n = len(pieces.piece_len)
     if n >= EDGE:
         raise ValueError("pieces are told apart by 16 bits")
@@ -481,13 +583,66 @@ def learn(pieces: Pieces, pairs: DataFrame, drawn: list[bytes], steps: int, atte
     found = _summed(pairs, none, number)
     after = np.zeros((len(initial), n))
     after[found["row"], found["col"]] = found["n"]
-    within = shares(classes, len(initial), follows.sum(axis=1), after)
+    return classes, initial, shares(classes, len(initial), follows.sum(axis=1), after)
+
+
+def begun(pieces: Pieces, classes: np.ndarray, initial: np.ndarray, within: np.ndarray, drawn: list[bytes], steps: int, attend: bool = True, counts: np.ndarray | None = None) -> Model:
+    """A model that has taken so many steps on drawn runs of text; counts as fit has them."""
     encoder, end, streams = Encoder(pieces, False), [len(initial) - 1], []
     for x, y in chunks([len(run) for run in drawn], CHUNK):
         ids = encoder.ids([run.strip(b"\n").decode().replace(MARK, "_") for run in drawn[x:y]])
         streams += [np.concatenate([end if run.startswith(b"\n") else [], classes[i], end if run.endswith(b"\n") else []]).astype(np.int64) for run, (i, _) in zip(drawn[x:y], ids, strict=True)]
     with one_thread():
-        return fit(classes, initial, within, streams, steps, attend)
+        return fit(classes, initial, within, streams, steps, attend, counts)
+
+
+def learn(pieces: Pieces, pairs: DataFrame, drawn: list[bytes], steps: int, attend: bool = True) -> Model:
+    """A model from what follows what in all training words, and drawn runs of text alone."""
+    return begun(pieces, *kinds(pieces, pairs), drawn, steps, attend)
+
+
+def _answered(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of a bucket's words, how many ids each has and where these begin, and the ids, from what all buckets reply."""
+    parts = [[np.frombuffer(x, t) for x, t in zip(_unsqueeze(data), (np.int64, np.uint32, np.uint16), strict=True)] for _, data in sorted(zip(replies["b"].tolist(), replies["data"].tolist(), strict=True))]
+    if not parts:
+        parts = [[np.zeros(0, t) for t in (np.int64, np.uint32, np.uint16)]]
+    count, size, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+    size = size.astype(np.int64)
+    return count, size, np.cumsum(size) - size, ids
+
+
+#: What a run of coded texts has: digests, training rows, words and pieces of each text; which word, how often in training
+#: and how many pieces for each word; and the pieces.
+_CODED = (None, np.int64, np.int64, np.int64, np.uint32, np.int64, np.uint32, np.uint16)
+
+
+def _decoded(data: bytes) -> list:
+    return [x if t is None else np.frombuffer(x, t) for x, t in zip(_unsqueeze(data), _CODED, strict=True)]
+
+
+def passed(coded: DataFrame, model: Model, attend: bool = True) -> Model:
+    """The model after each bucket has gone over all of its training text, as the mean of what they arrive at."""
+    classes, end, begin = model.classes, model.end, model.weights
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((d, t, w, x) for pdf in batches for d, t, w, x in zip(*(pdf[c].tolist() for c in ("d", "tokens", "weight", "data")), strict=True))
+        with one_thread(), kept_memory():
+            for (d, tokens, weight), group in itertools.groupby(rows, lambda r: r[:3]):
+                if tokens:
+                    parts = (targets(classes, end, ids, of, trains) for _, trains, _, of, *_, ids in (_decoded(r[3]) for r in group))
+                    w = taught(begin, lessons(parts, end), tokens, weight, attend)
+                    yield pd.DataFrame([(d, weight, b"".join(w[k].tobytes() for k in begin))], columns=["d", "weight", "data"])
+        release()
+
+    sums, total = np.zeros(sum(v.size for v in begin.values())), 0
+    for r in cut(coded.mapInPandas(run, "d int, weight long, data binary")).toLocalIterator():
+        sums += r["weight"] * np.frombuffer(bytes(r["data"]), np.float32).astype(np.float64)
+        total += r["weight"]
+    if not total:
+        return model
+    ends = np.cumsum([v.size for v in begin.values()])
+    weights = {k: (sums[e - v.size : e] / total).reshape(v.shape).astype(np.float32) for (k, v), e in zip(begin.items(), ends, strict=True)}
+    return Model(model.classes, model.within, model.initial, weights)
 
 
 def scores(docs: DataFrame, tokenizer: bytes, steps: int = STEPS, buckets: int | None = None, attend: bool = True) -> DataFrame:
@@ -505,17 +660,24 @@ def scores(docs: DataFrame, tokenizer: bytes, steps: int = STEPS, buckets: int |
     steps = math.ceil(steps * math.log2(2 + chars))
     # Twice the pieces that the steps look at, of some three characters each, in runs of DRAWN words of some seven.
     share = 2 * steps * TRAINED * (WINDOW + 1) * 3 / max(1, chars)
-    store = cut(_packed(rows.select("text", (~F.col("held_out")).cast("int").alias("trains")), n, share))
-    texts, drawn = store.where("d >= 0"), store.where("d < 0")
+    store, packed_at = written(_packed(rows.select("text", (~F.col("held_out")).cast("int").alias("trains")), n, share), "packed")
+    drawn = sorted(bytes(r["data"]) for r in cut(store.where("d < 0").select("data")).toLocalIterator())
 
     def tell(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The words that the bucket's texts have, and how many training words they are here."""
-        _, weight, raws = _unpacked(pdf["data"].tolist())
-        h, count, data, size = distinct_words(raws, weight)
+        """The words that the bucket's texts have, and how many training words they are here; and, as buckets below 0, runs of
+        the texts as numbers of these words, in order of the buckets that they go to.
+        """
+        keys, weight, raws = _unpacked(pdf["data"].tolist())
+        h, count, data, size, runs = numbered_words(raws, weight)
+        del raws
         start, count, d = np.cumsum(size) - size, count.astype(np.int64), int(pdf["d"].iloc[0])
-        out = pd.DataFrame([(b, d, _squeeze(count[i], data[_ranges(start[i], size[i])])) for b, i in _by_bucket(h, n)], columns=["b", "d", "data"])
+        sent = list(_by_bucket(h, n))
+        number = np.empty(len(h), dtype=np.uint32)
+        number[np.concatenate([i for _, i in sent]) if sent else []] = np.arange(len(h), dtype=np.uint32)
+        out = [(b, d, _squeeze(count[i], data[_ranges(start[i], size[i])])) for b, i in sent]
+        out += [(-1 - j, d, _squeeze(b"".join(keys[a:b]), weight[a:b], sizes, number[own])) for j, (a, b, sizes, own) in enumerate(runs)]
         release()
-        return out
+        return pd.DataFrame(out, columns=["b", "d", "data"])
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
         """The words' counts in all training rows and their ids, for each bucket that has them; of these words n and v in one
@@ -539,37 +701,50 @@ def scores(docs: DataFrame, tokenizer: bytes, steps: int = STEPS, buckets: int |
         release()
         return pd.DataFrame(out, columns=["d", "b", "data", "n", "v"])
 
-    told = texts.groupBy("d").applyInPandas(tell, "b int, d int, data binary")
-    answers = cut(told.groupBy("b").applyInPandas(weigh, "d int, b int, data binary, n long, v long"))
+    told, told_at = written(store.where("d >= 0").groupBy("d").applyInPandas(tell, "b int, d int, data binary"), "told")
+    removed(docs.sparkSession, packed_at)
+    answers = cut(told.where("b >= 0").groupBy("b").applyInPandas(weigh, "d int, b int, data binary, n long, v long"))
     sums = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total, distinct = int(sums["n"] or 0) + ends, int(sums["v"] or 0) + (ends > 0)
-    model = learn(Pieces(tokenizer), answers.where("d < 0"), sorted(bytes(r["data"]) for r in drawn.select("data").toLocalIterator()), steps, attend)
-
-    def judge(mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        keys, _, raws = _unpacked(mine["data"].tolist())
-        parts = [(a, b, *word_hashes(raws[a:b])) for a, b in chunks([len(r) for r in raws], CHUNK)]
-        words = np.concatenate([w for *_, w, _ in parts]) if parts else np.zeros(0, np.uint64)
-        h, back = np.unique(words, return_inverse=True)
-        count, size, start = (np.zeros(len(h), dtype=np.int64) for _ in range(3))
-        found, spelling, ahead = dict(zip(replies["b"].tolist(), replies["data"].tolist(), strict=True)), [], 0
-        for b, i in _by_bucket(h, n):
-            number, sizes, ids = (np.frombuffer(x, t) for x, t in zip(_unsqueeze(found[b]), (np.int64, np.uint32, np.uint16), strict=True))
-            count[i], size[i] = number, sizes
-            start[i] = ahead + np.cumsum(size[i]) - size[i]
-            spelling.append(ids)
-            ahead += len(ids)
-        spelling = np.concatenate(spelling) if spelling else np.zeros(0, np.uint16)
-        del found, words
-        at, out = 0, []
-        for a, b, some, sizes in parts:
-            mine_ = back[at : at + len(some)]
-            at += len(some)
-            ids = spelling[_ranges(start[mine_], size[mine_])].astype(np.int64)
-            base, score, seen = text_scores(model, ids, size[mine_], some, count[mine_], sizes, total, distinct, ends)
-            out.append(pd.DataFrame({"key": keys[a:b], "n_tokens": sizes + 1, "n_known": seen, "base_score": base, "score": score}))
+    pieces = Pieces(tokenizer)
+    classes, initial, within = kinds(pieces, answers.where("d < 0"))
+
+    def code(mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        """The bucket's texts as pieces, in runs, with what training has of them; and as bucket -1 how often a class follows a
+        class in these.
+        """
+        count, size, start, spelling = _answered(replies)
+        out, tokens, weight, pairs, end = [], 0, 0, np.zeros(len(initial) ** 2), len(initial) - 1
+        for _, data in sorted(zip(mine["b"].tolist(), mine["data"].tolist(), strict=True), reverse=True):
+            keys, trains, sizes, own = (x if t is None else np.frombuffer(x, t) for x, t in zip(_unsqueeze(data), (None, np.int64, np.int64, np.uint32), strict=True))
+            long = size[own]
+            of = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=long, minlength=len(sizes)).astype(np.int64)
+            ids = spelling[_ranges(start[own], long)]
+            x, y, w = targets(classes, end, ids, of, trains)
+            pairs += np.bincount(x * len(initial) + y, weights=w, minlength=len(pairs))
+            tokens, weight = tokens + len(x), weight + int(w.sum())
+            out.append(_squeeze(keys, trains, sizes, of, own, count[own], long.astype(np.uint32), ids))
+        d = int(mine["d"].iloc[0])
+        out = [(d, tokens, weight, x) for x in out] + [(-1, 0, 0, _squeeze(pairs.astype(np.int64)))]
+        release()
+        return pd.DataFrame(out, columns=["d", "tokens", "weight", "data"])
+
+    met = told.where("b < 0").groupBy("d").cogroup(answers.where("d >= 0").select("d", "b", "data").groupBy("d"))
+    every = cut(met.applyInPandas(code, "d int, tokens long, weight long, data binary"))
+    coded = every.where("d >= 0")
+    removed(docs.sparkSession, told_at)
+    follow = sum((np.frombuffer(_unsqueeze(bytes(r["data"]))[0], np.int64) for r in every.where("d < 0").select("data").toLocalIterator()), np.zeros(len(initial) ** 2, dtype=np.int64))
+    model = passed(coded, begun(pieces, classes, initial, within, drawn, steps, attend, follow.reshape(len(initial), -1)), attend)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with one_thread(), kept_memory():
+            for pdf in batches:
+                for data in pdf["data"]:
+                    keys, _, sizes, _, own, known, long, ids = _decoded(data)
+                    base, score, seen = text_scores(model, ids.astype(np.int64), long.astype(np.int64), own, known, sizes, total, distinct, ends)
+                    yield pd.DataFrame({"key": [keys[i : i + 32] for i in range(0, len(keys), 32)], "n_tokens": sizes + 1, "n_known": seen, "base_score": base, "score": score})
         release()
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=["key", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = texts.groupBy("d").cogroup(answers.where("d >= 0").select("d", "b", "data").groupBy("d")).applyInPandas(judge, "key binary, n_tokens long, n_known long, base_score double, score double")
+    scored = coded.mapInPandas(judge, "key binary, n_tokens long, n_known long, base_score double, score double")
     own = rows.select("doc_id", "held_out", F.unhex(F.sha2("text", 256)).alias("key"))
     return own.join(scored, "key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -77,6 +77,49 @@ def test_gradients():
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4
 
 
+def test_weights_are_repeats():
+    rng = np.random.default_rng(3)
+    c, d = 9, lm.WIDTH
+    w = {"embed": rng.normal(size=(c, d)), "place": rng.normal(size=(lm.WINDOW, d)), "u": rng.normal(size=(d, c)) * 0.1, "pairs": rng.normal(size=(c, c))} | {m: rng.normal(size=(d, d)) * 0.3 for m in "qkvo"}
+    x, y = rng.integers(0, c, (2, 4, lm.WINDOW))
+    times = np.array([3, 1, 0, 2])
+    loss, g = lm._step(w, x, y, np.repeat(times, lm.WINDOW).reshape(4, -1) / (6 * lm.WINDOW))
+    again, wanted = lm._step(w, np.repeat(x, times, axis=0), np.repeat(y, times, axis=0))
+    assert abs(loss - again) < 1e-9 and all(np.allclose(g[k], wanted[k], atol=1e-9) for k in w)
+
+
+def test_lessons_have_each_training_target_once():
+    rng = np.random.default_rng(4)
+    classes, end = np.arange(50) % 7, 7
+    of, trains = rng.integers(0, 400, 90), rng.integers(0, 3, 90)
+    texts = [rng.integers(0, 50, n) for n in of]
+    parts = [lm.targets(classes, end, np.concatenate(texts[a : a + 30]), of[a : a + 30], trains[a : a + 30]) for a in (0, 30, 60)]
+    want = []
+    for t, k in zip(texts, trains.tolist(), strict=True):
+        whole = [end, *classes[t].tolist(), end]
+        want += [(a, b, k) for a, b in zip(whole, whole[1:], strict=False) if k]
+    got = list(lm.lessons(iter(parts), end))
+    flat = [tuple(r) for part in got for r in zip(*(v.reshape(-1).tolist() for v in part), strict=True)]
+    assert flat[: len(want)] == want and all(r == (end, end, 0) for r in flat[len(want) :]) and len(flat) - len(want) < lm.WINDOW
+    assert len(want) > lm.LESSON * lm.WINDOW and all(x.shape == (lm.LESSON, lm.WINDOW) for x, _, _ in got[:-1])
+    # A pass over them makes them likelier.
+    model = lm.fit(classes, np.array([True] * 8), np.zeros((8, 50)), [], 0)
+    w = lm.taught(model.weights, iter(got), len(want), sum(k for _, _, k in want))
+    loss = [sum(lm._step(v, x, y, part / 1e4)[0] for x, y, part in got) for v in (model.weights, w)]
+    assert loss[1] < loss[0]
+
+
+def test_all_training_text_teaches(spark):
+    """Also where no window is drawn: training texts go in one order, and held-out ones are likelier in it than backwards."""
+    words = "the small cat sat on a mat near my old house".split()
+    training = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    docs = [(i, " ".join(words * 5)) for i in training] + [(held[0], " ".join(words * 5)), (held[1], " ".join(words[::-1] * 5))]
+    got = {r.doc_id: r for r in lm.scores(spark.createDataFrame(docs, "doc_id long, text string"), TOKENIZER, 0, 3).collect()}
+    along, back = got[held[0]], got[held[1]]
+    assert abs(along.base_score - back.base_score) < 1e-6 and along.score > back.score + 0.3 * along.n_tokens
+
+
 def test_each_token_is_scored_once():
     for n in (1, 2, lm.WINDOW, lm.WINDOW + 1, 100):
         text, start, skip = lm.windows(np.array([n, 3]))
