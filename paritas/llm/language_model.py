@@ -57,8 +57,8 @@ SMOOTH = 5.0
 #: as many more. The base has the rest. Chosen on fold 2 of the training rows.
 SHARE, SO_FAR, HALF = 0.5, 0.1, 100.0
 CHUNK = 400_000
-#: Windows that go through the model at a time; few, so that their arrays stay in the cache.
-BATCH = 128
+#: Windows that go through the model at a time, and inputs whose logits are; few, so that their arrays stay in the cache.
+BATCH, BLOCK = 128, 768
 SEED = 11
 #: What stands for the start or end of a word in pairs of pieces.
 EDGE = 0xFFFF
@@ -125,22 +125,28 @@ def _step(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.nda
     last = x.reshape(-1)
     order = np.argsort(last.astype(np.int16), kind="stable")
     edges = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=len(w["embed"])))]).tolist()
-    used = [(c, i, j) for c, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
-    sorted_out = out[order]
+    to, ahead, own = y.reshape(-1)[order], last[order], out[order]
     part = np.full(total, 1 / total, dtype=out.dtype) if weight is None else weight.reshape(-1)[order].astype(out.dtype)
-    z = _logits(w, sorted_out, last[order])
-    np.exp(z, out=z)  # logits are small, as in class_scores
-    norm = z @ np.ones(z.shape[1], dtype=z.dtype)
-    flat_z, at = z.reshape(-1), np.arange(total) * z.shape[1] + y.reshape(-1)[order]
-    want = flat_z[at]
-    loss = -float(part @ np.log(want / norm))
-    flat_z[at] = want - norm
-    part /= norm
-    g = {"pairs": np.zeros_like(w["pairs"]), "u": (sorted_out * part[:, None]).T @ z}
-    for c, i, j in used:
-        g["pairs"][c] = part[i:j] @ z[i:j]
-    dout = np.empty_like(out)
-    dout[order] = (z @ w["u"].T) * part[:, None]
+    g = {"pairs": np.zeros_like(w["pairs"]), "u": np.zeros_like(w["u"])}
+    back, loss, ones = np.empty_like(out), 0.0, np.ones(w["pairs"].shape[1], dtype=out.dtype)
+    for i in range(0, total, BLOCK):
+        j = min(total, i + BLOCK)
+        z = _logits(w, own[i:j], ahead[i:j])
+        np.exp(z, out=z)  # logits are small, as in class_scores
+        norm = z @ ones
+        flat_z, at = z.reshape(-1), np.arange(j - i) * z.shape[1] + to[i:j]
+        want = flat_z[at]
+        loss -= float(part[i:j] @ np.log(want / norm))
+        flat_z[at] = want - norm
+        scale = part[i:j] / norm
+        g["u"] += (own[i:j] * scale[:, None]).T @ z
+        for c in range(int(ahead[i]), int(ahead[j - 1]) + 1):
+            first, stop = max(edges[c], i) - i, min(edges[c + 1], j) - i
+            if stop > first:
+                g["pairs"][c] += scale[first:stop] @ z[first:stop]
+        back[i:j] = (z @ w["u"].T) * scale[:, None]
+    dout = np.empty_like(back)
+    dout[order] = back
     flat_a = a.reshape(-1, d)
     g["o"] = flat_a.T @ dout
     da = (dout @ w["o"].T).reshape(n, t, d)
@@ -158,9 +164,8 @@ def _step(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.nda
     dh += dout
     g["place"] = np.zeros_like(w["place"])
     g["place"][:t] = dh.reshape(n, t, d).sum(axis=0)
-    g["embed"], dh = np.zeros_like(w["embed"]), dh[order]
-    for c, i, j in used:
-        g["embed"][c] = np.ones(j - i, dtype=dh.dtype) @ dh[i:j]
+    g["embed"], some = np.zeros_like(w["embed"]), np.flatnonzero(np.diff(edges))
+    g["embed"][some] = np.add.reduceat(dh[order], np.array(edges)[some], axis=0)
     return loss, g
 
 
@@ -198,21 +203,14 @@ def one_thread() -> Iterator[None]:
             put(before)
 
 
-@contextlib.contextmanager
-def kept_memory() -> Iterator[None]:
-    """Arrays that are freed stay with this process meanwhile: small steps would else have each one's pages anew."""
-    put = None
+def keep_memory() -> None:
+    """Arrays of up to 32 MB that are freed stay with this process until release(): each would else have new pages, which
+    take small steps as long as their sums. The GNU library comes to this by itself once a process has freed large ones.
+    """
     with contextlib.suppress(OSError, AttributeError):  # only the GNU library has this
         put = ctypes.CDLL("libc.so.6").mallopt
-    try:
-        if put is not None:
-            put(-3, 1 << 25)  # from which size on an array has its own mapping
-            put(-1, 1 << 26)  # how much may be free at the end
-        yield
-    finally:
-        if put is not None:
-            put(-3, 1 << 17)
-            put(-1, 1 << 17)
+        put(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        put(-1, 1 << 26)  # M_TRIM_THRESHOLD
 
 
 def classes_of(initial: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,9 +252,16 @@ def shares(classes: np.ndarray, size: int, counts: np.ndarray, pairs: np.ndarray
 def _moved(w: dict[str, np.ndarray], g: dict[str, np.ndarray], one: dict[str, np.ndarray], two: dict[str, np.ndarray], i: int, rate: float) -> None:
     """Moves the weights that one and two have means for along their gradients, as Adam does in its i-th step."""
     for name in one:
-        one[name] = 0.9 * one[name] + 0.1 * g[name]
-        two[name] = 0.99 * two[name] + 0.01 * g[name] ** 2
-        w[name] -= (rate * (one[name] / (1 - 0.9**i)) / (np.sqrt(two[name] / (1 - 0.99**i)) + 1e-6)).astype(np.float32)
+        one[name] *= np.float32(0.9)
+        one[name] += np.float32(0.1) * g[name]
+        two[name] *= np.float32(0.99)
+        two[name] += np.float32(0.01) * (g[name] * g[name])
+        size = two[name] * np.float32(1 / (1 - 0.99**i))
+        np.sqrt(size, out=size)
+        size += np.float32(1e-6)
+        np.divide(one[name], size, out=size)
+        size *= np.float32(rate / (1 - 0.9**i))
+        w[name] -= size
 
 
 def _means(w: dict[str, np.ndarray], attend: bool) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -356,14 +361,16 @@ def class_scores(model: Model, streams: np.ndarray, lengths: np.ndarray) -> tupl
     sums = np.stack([np.ones(end + 1), model.initial], axis=1).astype(np.float32)
     for i in range(0, len(text), BATCH):
         out, _ = _forward(w, inputs[i : i + BATCH])
-        chosen = use[i : i + BATCH].reshape(-1)
-        place = at[i : i + BATCH].reshape(-1)[chosen]
-        z = _logits(w, out[chosen], inputs[i : i + BATCH].reshape(-1)[chosen])
-        want = z[np.arange(len(z)), flat[place]]
-        # Logits are small, so that their exponentials stay finite without each row's maximum; checked below.
-        np.exp(z, out=z)
-        both = np.log(z @ sums + np.float32(1e-30))
-        score[place], begins[place] = want - both[:, 0], both[:, 1] - both[:, 0]
+        chosen = np.flatnonzero(use[i : i + BATCH])
+        place, out = at[i : i + BATCH].reshape(-1)[chosen], out[chosen]
+        ahead, to = inputs[i : i + BATCH].reshape(-1)[chosen], flat[place]
+        for a in range(0, len(out), BLOCK):
+            z, b = _logits(w, out[a : a + BLOCK], ahead[a : a + BLOCK]), place[a : a + BLOCK]
+            want = z.reshape(-1)[np.arange(len(z)) * z.shape[1] + to[a : a + BLOCK]]
+            # Logits are small, so that their exponentials stay finite without each row's maximum; checked below.
+            np.exp(z, out=z)
+            both = np.log(z @ sums + np.float32(1e-30))
+            score[b], begins[b] = want - both[:, 0], both[:, 1] - both[:, 0]
     if not (np.isfinite(score).all() and np.isfinite(begins).all()):
         raise FloatingPointError("the model's logits are out of range")
     return score, begins
@@ -626,7 +633,8 @@ def passed(coded: DataFrame, model: Model, attend: bool = True) -> Model:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = ((d, t, w, x) for pdf in batches for d, t, w, x in zip(*(pdf[c].tolist() for c in ("d", "tokens", "weight", "data")), strict=True))
-        with one_thread(), kept_memory():
+        keep_memory()
+        with one_thread():
             for (d, tokens, weight), group in itertools.groupby(rows, lambda r: r[:3]):
                 if tokens:
                     parts = (targets(classes, end, ids, of, trains) for _, trains, _, of, *_, ids in (_decoded(r[3]) for r in group))
@@ -667,6 +675,7 @@ def scores(docs: DataFrame, tokenizer: bytes, steps: int = STEPS, buckets: int |
         """The words that the bucket's texts have, and how many training words they are here; and, as buckets below 0, runs of
         the texts as numbers of these words, in order of the buckets that they go to.
         """
+        keep_memory()
         keys, weight, raws = _unpacked(pdf["data"].tolist())
         h, count, data, size, runs = numbered_words(raws, weight)
         del raws
@@ -683,6 +692,7 @@ def scores(docs: DataFrame, tokenizer: bytes, steps: int = STEPS, buckets: int |
         """The words' counts in all training rows and their ids, for each bucket that has them; of these words n and v in one
         row; and as bucket -1 what follows what in them.
         """
+        keep_memory()
         parts = [_unsqueeze(x) for x in pdf["data"]]
         h, sizes, data, start, end = _hashed([p[1] for p in parts])
         h, at, back = np.unique(h, return_index=True, return_inverse=True)
@@ -713,6 +723,7 @@ def scores(docs: DataFrame, tokenizer: bytes, steps: int = STEPS, buckets: int |
         """The bucket's texts as pieces, in runs, with what training has of them; and as bucket -1 how often a class follows a
         class in these.
         """
+        keep_memory()
         count, size, start, spelling = _answered(replies)
         out, tokens, weight, pairs, end = [], 0, 0, np.zeros(len(initial) ** 2), len(initial) - 1
         for _, data in sorted(zip(mine["b"].tolist(), mine["data"].tolist(), strict=True), reverse=True):
@@ -737,7 +748,8 @@ def scores(docs: DataFrame, tokenizer: bytes, steps: int = STEPS, buckets: int |
     model = passed(coded, begun(pieces, classes, initial, within, drawn, steps, attend, follow.reshape(len(initial), -1)), attend)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with one_thread(), kept_memory():
+        keep_memory()
+        with one_thread():
             for pdf in batches:
                 for data in pdf["data"]:
                     keys, _, sizes, _, own, known, long, ids = _decoded(data)
