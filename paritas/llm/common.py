@@ -86,6 +86,15 @@ def freed(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def shrunk(spark: SparkSession) -> None:
+    """Lets each executor's heap shrink to what it holds: one that has grown else stays so, and its Python workers have the rest.
+
+    As many tasks as executors, which Spark deals out one each where none is busy, ask for the collector.
+    """
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is counted too
+    spark.range(0, executors, 1, executors).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -171,3 +171,25 @@ def test_stages_give_back_what_earlier_ones_held(spark):
     out = corpus_pipeline.sentencepiece(spark, lined, "")
     assert old and not old & held()
     assert out.count() == 60
+
+
+def test_stages_let_heaps_shrink(spark, docs, monkeypatch):
+    """Here the driver's heap is the executor's; freed, which has that collected too, is left out."""
+    runtime, shrunk, sizes = spark._jvm.java.lang.Runtime.getRuntime(), corpus_pipeline.shrunk, []
+
+    class Stopped(Exception):
+        pass
+
+    def begun(session):
+        before = runtime.totalMemory()
+        shrunk(session)
+        sizes.append((before, runtime.totalMemory()))
+        raise Stopped
+
+    monkeypatch.setattr(corpus_pipeline, "freed", lambda _: None)
+    monkeypatch.setattr(corpus_pipeline, "shrunk", begun)
+    for _, stage in corpus_pipeline.STAGES:
+        spark.range(0, 4, 1, 4).selectExpr("size(transform(sequence(1, 2000000 + id), x -> cast(x as string))) AS n").agg({"n": "sum"}).collect()
+        with pytest.raises(Stopped):
+            stage(spark, docs, SF)
+    assert len(sizes) == len(corpus_pipeline.STAGES) and all(after < before for before, after in sizes), sizes
