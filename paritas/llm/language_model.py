@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import SPACES, chunks, cut, partitions, release, removed, written
+from paritas.llm.common import chunks, cut, partitions, release, removed, written
 from paritas.llm.hashing import span_hashes, spans
 from paritas.llm.sentencepiece_bpe import MARK, Encoder, Pieces
 from paritas.llm.substrings import _by_bucket, _ranges, _squeeze, _unsqueeze
@@ -57,12 +57,14 @@ SMOOTH = 5.0
 #: as many more. The base has the rest. Chosen on fold 2 of the training rows.
 SHARE, SO_FAR, HALF = 0.5, 0.1, 100.0
 CHUNK = 400_000
-#: Windows that go through the model at a time, and inputs whose logits are; few, so that their arrays stay in the cache.
-BATCH, BLOCK = 128, 768
+#: Windows that go through the model at a time, and inputs whose logits are; few, so that their arrays stay in the cache. Rows of
+#: a part of a product, and windows whose inputs are sorted by class to be scored.
+BATCH, BLOCK, PART, MANY = 128, 768, 192, 4096
 SEED = 11
 #: What stands for the start or end of a word in pairs of pieces.
 EDGE = 0xFFFF
-_TO_SPACE = bytes(0x20 if i in SPACES else i for i in range(256))
+#: What is added to a query's agreement with inputs, to leave out those ahead of it.
+AHEAD = np.triu(np.full((WINDOW, WINDOW), np.float32(-1e9)), 1)
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -71,7 +73,11 @@ def held_out(column: str = "doc_id") -> Column:
 
 def tidy(text: str) -> bytes:
     """The words of a text with A-Z lower-cased, one space between them, as UTF-8."""
-    return b" ".join([w for w in text.encode().lower().translate(_TO_SPACE).split(b" ") if w])
+    return _tidied(text.encode())
+
+
+def _tidied(raw: bytes) -> bytes:
+    return b" ".join(raw.lower().split())  # which splits bytes at those of SPACES, and lower-cases A-Z alone
 
 
 # -- the attention model ----------------------------------------------------------------------------------------------
@@ -89,28 +95,53 @@ class Model:
         return len(self.initial) - 1
 
 
+def _parts(x: np.ndarray, rows: int) -> np.ndarray:
+    """x, of two dimensions, as parts of so many rows where it has whole ones: small products need no copies of what they read."""
+    return x.reshape(-1, rows, x.shape[1]) if len(x) % rows == 0 else x[None]
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b."""
+    return np.matmul(_parts(a, PART).transpose(0, 2, 1), _parts(b, PART)).sum(axis=0)
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """x with its last two dimensions exchanged, in that order in memory, which its products with others are faster for."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def _joined(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What inputs are multiplied by to agree with inputs, and to be an answer: with one head, q and k, and v and o, are met
+    as their products only.
+    """
+    return w["q"] @ w["k"].T * np.float32(1 / np.sqrt(w["q"].shape[1])), w["v"] @ w["o"]
+
+
+def _attended(q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the inputs in each query's answer, and the answers, of the last queries of windows."""
+    s = np.matmul(q, _turned(k))
+    s += AHEAD[k.shape[1] - q.shape[1] : k.shape[1], : k.shape[1]]
+    np.exp(s, out=s)
+    s *= 1 / (s.reshape(-1, s.shape[2]) @ np.ones(s.shape[2], dtype=s.dtype)).reshape(*s.shape[:2], 1)
+    return s, np.matmul(s, v)
+
+
 def _forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Logits of the class after each input of windows x (n, t)."""
+    """What the logits of the class after each input of windows x (n, t) come from."""
     n, t = x.shape
     h = np.take(w["embed"], x, axis=0)
     h += w["place"][:t]
     d = h.shape[2]
     flat = h.reshape(-1, d)
-    every = (flat @ np.concatenate([w["q"] * np.float32(1 / np.sqrt(d)), w["k"], w["v"]], axis=1)).reshape(n, t, 3 * d)
-    q, k, v = every[:, :, :d], every[:, :, d : 2 * d], every[:, :, 2 * d :]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s += np.triu(np.full((t, t), np.float32(-1e9)), 1)
-    np.exp(s, out=s)
-    s /= (s @ np.ones(t, dtype=s.dtype))[:, :, None]
-    a = np.matmul(s, v)
-    out = a.reshape(-1, d) @ w["o"]
-    out += flat
-    return out, (h, q, k, v, s, a)
+    every = np.matmul(_parts(flat, PART), np.concatenate(_joined(w), axis=1)).reshape(n, t, 2 * d)
+    q, v = every[:, :, :d], every[:, :, d:]
+    s, a = _attended(q, h, v)
+    return (a + h).reshape(-1, d), (h, q, v, s, a)
 
 
 def _logits(w: dict[str, np.ndarray], out: np.ndarray, last: np.ndarray) -> np.ndarray:
-    z = np.take(w["pairs"], last, axis=0)
-    z += out @ w["u"]
+    z = np.matmul(_parts(out, PART), w["u"]).reshape(len(out), -1)
+    z += np.take(w["pairs"], last, axis=0, mode="clip")
     return z
 
 
@@ -121,51 +152,52 @@ def _step(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.nda
     """
     n, t = x.shape
     d, total = w["embed"].shape[1], n * t
-    out, (h, q, k, v, s, a) = _forward(w, x)
+    out, (h, q, v, s, a) = _forward(w, x)
     last = x.reshape(-1)
     order = np.argsort(last.astype(np.int16), kind="stable")
-    edges = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=len(w["embed"])))]).tolist()
-    to, ahead, own = y.reshape(-1)[order], last[order], out[order]
-    part = np.full(total, 1 / total, dtype=out.dtype) if weight is None else weight.reshape(-1)[order].astype(out.dtype)
-    g = {"pairs": np.zeros_like(w["pairs"]), "u": np.zeros_like(w["u"])}
-    back, loss, ones = np.empty_like(out), 0.0, np.ones(w["pairs"].shape[1], dtype=out.dtype)
+    to, ahead, own = np.take(y.reshape(-1), order), np.take(last, order), np.take(out, order, axis=0)
+    part = np.full(total, 1 / total, dtype=out.dtype) if weight is None else np.take(weight.reshape(-1), order).astype(out.dtype)
+    edges = np.flatnonzero(np.concatenate([[True], ahead[1:] != ahead[:-1]]))
+    bounds, classes, pairs = edges.tolist(), ahead.tolist(), np.zeros_like(w["pairs"])
+    back, loss, du, ones = np.empty_like(out), 0.0, np.zeros((w["u"].shape[1], d), dtype=out.dtype), np.ones(w["pairs"].shape[1], dtype=out.dtype)
     for i in range(0, total, BLOCK):
         j = min(total, i + BLOCK)
         z = _logits(w, own[i:j], ahead[i:j])
         np.exp(z, out=z)  # logits are small, as in class_scores
         norm = z @ ones
-        flat_z, at = z.reshape(-1), np.arange(j - i) * z.shape[1] + to[i:j]
-        want = flat_z[at]
+        flat_z, at = z.reshape(-1), np.arange(0, z.size, z.shape[1]) + to[i:j]
+        want = np.take(flat_z, at)
         loss -= float(part[i:j] @ np.log(want / norm))
         flat_z[at] = want - norm
         scale = part[i:j] / norm
-        g["u"] += (own[i:j] * scale[:, None]).T @ z
-        for c in range(int(ahead[i]), int(ahead[j - 1]) + 1):
-            first, stop = max(edges[c], i) - i, min(edges[c + 1], j) - i
-            if stop > first:
-                g["pairs"][c] += scale[first:stop] @ z[first:stop]
-        back[i:j] = (z @ w["u"].T) * scale[:, None]
-    dout = np.empty_like(back)
-    dout[order] = back
-    flat_a = a.reshape(-1, d)
-    g["o"] = flat_a.T @ dout
-    da = (dout @ w["o"].T).reshape(n, t, d)
-    ds = np.matmul(da, v.transpose(0, 2, 1))
-    ds -= ((ds * s) @ np.ones(t, dtype=s.dtype))[:, :, None]
+        np.multiply(np.matmul(_parts(z, PART), w["u"].T).reshape(j - i, d), scale[:, None], out=back[i:j])
+        du += _crossed(z, own[i:j] * scale[:, None])
+        inside = np.searchsorted(edges, [i, j], side="right").tolist()
+        for e, f in itertools.pairwise([i, *bounds[inside[0] : inside[1]], j]):
+            if f > e:
+                pairs[classes[e]] += scale[e - i : f - i].dot(z[e - i : f - i])
+    g = {"pairs": pairs, "u": du.T}
+    place = np.empty(total, dtype=np.int64)
+    place[order] = np.arange(total)
+    dout = np.take(back, place, axis=0)
+    (agree, answer), scaled = _joined(w), np.float32(1 / np.sqrt(d))
+    dh, flat, da = dout.copy(), h.reshape(-1, d), dout.reshape(n, t, d)
+    ds = np.matmul(da, _turned(v))
+    ds -= np.einsum("ij,ij->i", dout, a.reshape(-1, d)).reshape(n, t, 1)
     ds *= s
-    dall = np.empty((n, t, 3 * d), dtype=out.dtype)  # of q before it is scaled, k and v
-    np.multiply(np.matmul(ds, k), np.float32(1 / np.sqrt(d)), out=dall[:, :, :d])
-    dall[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q)
-    dall[:, :, 2 * d :] = np.matmul(s.transpose(0, 2, 1), da)
-    dall = dall.reshape(-1, 3 * d)
-    product = h.reshape(-1, d).T @ dall
-    g["q"], g["k"], g["v"] = product[:, :d], product[:, d : 2 * d], product[:, 2 * d :]
-    dh = dall @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
-    dh += dout
+    dh += np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, d)
+    dall = np.empty((n, t, 2 * d), dtype=out.dtype)
+    np.matmul(ds, h, out=dall[:, :, :d])
+    np.matmul(s.transpose(0, 2, 1), da, out=dall[:, :, d:])
+    dall = dall.reshape(-1, 2 * d)
+    product = _crossed(flat, dall)
+    g["q"], g["k"] = product[:, :d] @ w["k"] * scaled, product[:, :d].T @ w["q"] * scaled
+    g["v"], g["o"] = product[:, d:] @ w["o"].T, w["v"].T @ product[:, d:]
+    dh += np.matmul(_parts(dall, PART), np.concatenate([agree, answer], axis=1).T).reshape(-1, d)
     g["place"] = np.zeros_like(w["place"])
-    g["place"][:t] = dh.reshape(n, t, d).sum(axis=0)
-    g["embed"], some = np.zeros_like(w["embed"]), np.flatnonzero(np.diff(edges))
-    g["embed"][some] = np.add.reduceat(dh[order], np.array(edges)[some], axis=0)
+    g["place"][:t] = (np.ones(n, dtype=dh.dtype) @ dh.reshape(n, t * d)).reshape(t, d)
+    g["embed"] = np.zeros_like(w["embed"])
+    g["embed"][ahead[edges]] = np.add.reduceat(np.take(dh, order, axis=0), edges, axis=0)
     return loss, g
 
 
@@ -249,24 +281,33 @@ def shares(classes: np.ndarray, size: int, counts: np.ndarray, pairs: np.ndarray
     return within
 
 
-def _moved(w: dict[str, np.ndarray], g: dict[str, np.ndarray], one: dict[str, np.ndarray], two: dict[str, np.ndarray], i: int, rate: float) -> None:
-    """Moves the weights that one and two have means for along their gradients, as Adam does in its i-th step."""
-    for name in one:
-        one[name] *= np.float32(0.9)
-        one[name] += np.float32(0.1) * g[name]
-        two[name] *= np.float32(0.99)
-        two[name] += np.float32(0.01) * (g[name] * g[name])
-        size = two[name] * np.float32(1 / (1 - 0.99**i))
-        np.sqrt(size, out=size)
-        size += np.float32(1e-6)
-        np.divide(one[name], size, out=size)
-        size *= np.float32(rate / (1 - 0.9**i))
-        w[name] -= size
-
-
-def _means(w: dict[str, np.ndarray], attend: bool) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    one, two = ({k: np.zeros_like(w[k]) for k in (w if attend else ("pairs",))} for _ in range(2))
-    return one, two
+def _moving(w: dict[str, np.ndarray], attend: bool) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """A copy of the weights; and those that move, as one vector that the copy's are views of, with sums of their gradients and
+    of these squared.
+    """
+    names = list(w) if attend else ["pairs"]
+    flat, at, out = np.concatenate([w[k].reshape(-1) for k in names]), 0, dict(w)
+    for k in names:
+        out[k] = flat[at : at + w[k].size].reshape(w[k].shape)
+        at += w[k].size
+    return out, [flat, np.zeros_like(flat), np.zeros_like(flat)]
+
+
+def _moved(w: dict[str, np.ndarray], moving: list[np.ndarray], g: dict[str, np.ndarray], i: int, rate: float) -> None:
+    """Moves weights along their gradients, as Adam does in its i-th step."""
+    flat, one, two = moving
+    found = np.concatenate([g[k].reshape(-1) for k in w if w[k].base is flat])
+    one *= np.float32(0.9)
+    one += found
+    two *= np.float32(0.99)
+    found *= found
+    two += found
+    size = np.multiply(two, np.float32(0.01 / (1 - 0.99**i)), out=found)
+    np.sqrt(size, out=size)
+    size += np.float32(1e-6)
+    np.divide(one, size, out=size)
+    size *= np.float32(0.1 * rate / (1 - 0.9**i))
+    flat -= size
 
 
 def fit(classes: np.ndarray, initial: np.ndarray, within: np.ndarray, streams: list[np.ndarray], steps: int, attend: bool = True, counts: np.ndarray | None = None) -> Model:
@@ -290,12 +331,12 @@ def fit(classes: np.ndarray, initial: np.ndarray, within: np.ndarray, streams: l
     long = np.concatenate(streams) if streams else np.zeros(0, dtype=np.int64)
     if len(long) <= WINDOW + 1:
         return Model(classes, within, initial, w)
-    one, two = _means(w, attend)
+    w, moving = _moving(w, attend)
     for i in range(1, steps + 1):
         start = rng.integers(0, len(long) - WINDOW, TRAINED)
         both = long[start[:, None] + np.arange(WINDOW + 1)]
         _, g = _step(w, both[:, :-1], both[:, 1:])
-        _moved(w, g, one, two, i, 0.01 * min(1.0, i / 30) * (1 - 0.9 * i / steps))
+        _moved(w, moving, g, i, 0.01 * min(1.0, i / 30) * (1 - 0.9 * i / steps))
     return Model(classes, within, initial, w)
 
 
@@ -326,12 +367,11 @@ def lessons(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], end: int
 
 def taught(weights: dict[str, np.ndarray], found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], tokens: int, weight: int, attend: bool = True) -> dict[str, np.ndarray]:
     """The weights after one pass over lessons of so many targets that weigh so much together."""
-    w, steps = {k: v.copy() for k, v in weights.items()}, -(-tokens // (LESSON * WINDOW))
-    one, two = _means(w, attend)
+    (w, moving), steps = _moving(weights, attend), -(-tokens // (LESSON * WINDOW))
     unit = np.float32(tokens / (weight * LESSON * WINDOW))
     for i, (x, y, part) in enumerate(found, 1):
         _, g = _step(w, x, y, part * unit)
-        _moved(w, g, one, two, i, RATE * (1 - 0.9 * i / steps))
+        _moved(w, moving, g, i, RATE * (1 - 0.9 * i / steps))
     return w
 
 
@@ -351,26 +391,47 @@ def class_scores(model: Model, streams: np.ndarray, lengths: np.ndarray) -> tupl
     w, end = model.weights, model.end
     text, start, skip = windows(lengths)
     flat = np.concatenate([streams, np.zeros(WINDOW, dtype=np.int64)])
-    offset = np.cumsum(lengths) - lengths
-    at = (offset[text] + start)[:, None] + np.arange(WINDOW)
-    inside = start[:, None] + np.arange(WINDOW) < lengths[text][:, None]
-    use = inside & (np.arange(WINDOW) >= skip[:, None])
-    inputs = np.where(inside, flat[np.maximum(at - 1, 0)], end)
-    inputs[:, 0] = np.where(start == 0, end, inputs[:, 0])
+    begin = (np.cumsum(lengths) - lengths)[text] + start
     score, begins = np.zeros(int(lengths.sum()), dtype=np.float32), np.zeros(int(lengths.sum()), dtype=np.float32)
-    sums = np.stack([np.ones(end + 1), model.initial], axis=1).astype(np.float32)
-    for i in range(0, len(text), BATCH):
-        out, _ = _forward(w, inputs[i : i + BATCH])
-        chosen = np.flatnonzero(use[i : i + BATCH])
-        place, out = at[i : i + BATCH].reshape(-1)[chosen], out[chosen]
-        ahead, to = inputs[i : i + BATCH].reshape(-1)[chosen], flat[place]
-        for a in range(0, len(out), BLOCK):
-            z, b = _logits(w, out[a : a + BLOCK], ahead[a : a + BLOCK]), place[a : a + BLOCK]
-            want = z.reshape(-1)[np.arange(len(z)) * z.shape[1] + to[a : a + BLOCK]]
-            # Logits are small, so that their exponentials stay finite without each row's maximum; checked below.
-            np.exp(z, out=z)
-            both = np.log(z @ sums + np.float32(1e-30))
-            score[b], begins[b] = want - both[:, 0], both[:, 1] - both[:, 0]
+    d, size = w["embed"].shape[1], end + 1
+    # Inputs with what attention makes of them, of each class at each place.
+    every = (w["place"][:, None] + w["embed"]).reshape(-1, d)
+    every = np.concatenate([every, every @ np.concatenate(_joined(w), axis=1)], axis=1)
+    # Exponentials of the logits' two parts, of class pairs and of attention, are multiplied as they are summed.
+    sums = np.exp(w["pairs"])[:, :, None] * np.stack([np.ones(size), model.initial], axis=1).astype(np.float32)
+    u, z = np.ascontiguousarray(w["u"].T), np.empty((BLOCK, size), dtype=np.float32)
+    for lead in (0, OVERLAP):  # the first windows of texts, and later ones, whose first inputs are scored already
+        mine = np.flatnonzero(skip == lead)
+        for a in range(0, len(mine), MANY):
+            of = mine[a : a + MANY]
+            at = begin[of][:, None] + np.arange(WINDOW)
+            inside = start[of][:, None] + np.arange(WINDOW) < lengths[text[of]][:, None]
+            inputs = np.where(inside, flat[np.maximum(at - 1, 0)], end)
+            if not lead:
+                inputs[:, 0] = end
+            index, out = inputs + size * np.arange(WINDOW), np.empty((len(of), WINDOW - lead, d), dtype=np.float32)
+            for i in range(0, len(of), BATCH):
+                h = np.take(every, index[i : i + BATCH], axis=0)
+                np.add(_attended(h[:, lead:, d : 2 * d], h[:, :, :d], h[:, :, 2 * d :])[1], h[:, lead:, :d], out=out[i : i + BATCH])
+            # Inputs of one class, one class after the other.
+            chosen = np.flatnonzero(inside[:, lead:])
+            ahead = inputs[:, lead:].reshape(-1)[chosen]
+            order = np.argsort(ahead.astype(np.int16), kind="stable")
+            chosen, ahead = chosen[order], ahead[order]
+            own, place = np.take(out.reshape(-1, d), chosen, axis=0), at[:, lead:].reshape(-1)[chosen]
+            to, both = flat[place], np.empty((len(own), 2), dtype=np.float32)
+            edges = np.searchsorted(ahead, np.arange(size + 1)).tolist()
+            for c in range(size):
+                for i in range(edges[c], edges[c + 1], BLOCK):
+                    j = min(i + BLOCK, edges[c + 1])
+                    part = np.matmul(own[i:j], w["u"], out=z[: j - i])
+                    # Logits are small, so that their exponentials stay finite without each row's maximum; checked below.
+                    np.exp(part, out=part)
+                    np.matmul(part, sums[c], out=both[i:j])
+            both += np.float32(1e-30)
+            np.log(both, out=both)
+            want = np.einsum("ij,ij->i", own, np.take(u, to, axis=0)) + w["pairs"].reshape(-1)[ahead * size + to]
+            score[place], begins[place] = want - both[:, 0], both[:, 1] - both[:, 0]
     if not (np.isfinite(score).all() and np.isfinite(begins).all()):
         raise FloatingPointError("the model's logits are out of range")
     return score, begins
@@ -393,6 +454,18 @@ def _hashed(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return span_hashes(data, start, end), np.bincount(np.searchsorted(stops, start, side="right"), minlength=len(raws)), data, start, end
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, where one of each kind is, and of which kind each is. Unlike np.unique it does not ask for the
+    first of a kind, as all are one word, and hence for no stable sort.
+    """
+    order = np.argsort(h)
+    ranked, kind = h[order], np.empty(len(h), dtype=np.int64)
+    new = np.ones(len(h), dtype=bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    kind[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], kind
+
+
 def distinct_words(raws: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, count, bytes, sizes) of the distinct words of tidied texts that count so much each; the bytes have a space
     behind every word, which sizes count too.
@@ -408,7 +481,7 @@ def numbered_words(raws: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, n
     parts, runs = [], []
     for a, b in chunks([len(r) for r in raws], CHUNK):
         h, sizes, data, start, end = _hashed(raws[a:b])
-        u, at, back = np.unique(h, return_index=True, return_inverse=True)
+        u, at, back = _distinct(h)
         size = end[at] - start[at] + 1
         parts.append((u, np.bincount(back, weights=np.repeat(weight[a:b], sizes), minlength=len(u)), data[_ranges(start[at], size)], size))
         runs.append((a, b, sizes, back.astype(np.uint32)))
@@ -416,7 +489,7 @@ def numbered_words(raws: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, n
         return *none, []
     ahead = np.cumsum([0, *(len(p[0]) for p in parts)])
     h, count, data, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-    u, at, back = np.unique(h, return_index=True, return_inverse=True)
+    u, at, back = _distinct(h)
     start, back32 = np.cumsum(size) - size, back.astype(np.uint32)
     runs = [(a, b, sizes, back32[i:j][own]) for (a, b, sizes, own), i, j in zip(runs, ahead, ahead[1:], strict=False)]
     return u, np.bincount(back, weights=count, minlength=len(u)), data[_ranges(start[at], size[at])], size[at], runs
@@ -447,11 +520,19 @@ def piece_pairs(flat: np.ndarray, sizes: np.ndarray, count: np.ndarray) -> tuple
 # -- scores of texts --------------------------------------------------------------------------------------------------
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """The stable order of unsigned numbers, by 16 bits at a time, as so few are sorted by counting."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    for shift in range(16, int(x.max(initial=0)).bit_length(), 16):
+        order = order[np.argsort((x >> x.dtype.type(shift)).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def repeated(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word of texts with so many words the share of its text's words before it that are the same; and their number."""
     text = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.argsort(words, kind="stable")
+    order = _order(words)
     same = np.concatenate([[False], (words[order][1:] == words[order][:-1]) & (text[order][1:] == text[order][:-1])])[: len(words)]
     place = np.arange(len(words))
     times = np.empty(len(words))
@@ -512,7 +593,7 @@ def _packed(rows: DataFrame, buckets: int, share: float) -> DataFrame:
                     entry[1] += trains
                 out = []
                 for key, entry in found.items():
-                    entry[0] = tidy(entry[0].decode())
+                    entry[0] = _tidied(entry[0])
                     out += [(-1, x) for x in _drawn(key, *entry, share)]
                 keys = list(found)
                 at = np.array([int.from_bytes(k[:6], "little") % buckets for k in keys])
@@ -619,12 +700,18 @@ def _answered(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 #: What a run of coded texts has: digests, training rows, words and pieces of each text; which word, how often in training
-#: and how many pieces for each word; and the pieces.
-_CODED = (None, np.int64, np.int64, np.int64, np.uint32, np.int64, np.uint32, np.uint16)
+#: and how many pieces for each word, as numbers of as many bytes as it takes; and the pieces.
+_CODED = (None, np.int64, np.int64, np.int64, np.uint32, "u", "u", np.uint16)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
 def _decoded(data: bytes) -> list:
-    return [x if t is None else np.frombuffer(x, t) for x, t in zip(_unsqueeze(data), _CODED, strict=True)]
+    parts = _unsqueeze(data)
+    words = max(1, len(parts[4]) // 4)
+    return [x if t is None else np.frombuffer(x, f"u{max(1, len(x) // words)}" if t == "u" else t) for x, t in zip(parts, _CODED, strict=True)]
 
 
 def passed(coded: DataFrame, model: Model, attend: bool = True) -> Model:
@@ -695,7 +782,7 @@ def scores(docs: DataFrame, tokenizer: bytes, steps: int = STEPS, buckets: int |
         keep_memory()
         parts = [_unsqueeze(x) for x in pdf["data"]]
         h, sizes, data, start, end = _hashed([p[1] for p in parts])
-        h, at, back = np.unique(h, return_index=True, return_inverse=True)
+        h, at, back = _distinct(h)
         count = np.bincount(back, weights=np.concatenate([np.frombuffer(p[0], np.int64) for p in parts]), minlength=len(h)).astype(np.int64)
         raw = data.tobytes()
         flat, size = spelled(_pieces(tokenizer), [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)])
@@ -726,6 +813,7 @@ def scores(docs: DataFrame, tokenizer: bytes, steps: int = STEPS, buckets: int |
         keep_memory()
         count, size, start, spelling = _answered(replies)
         out, tokens, weight, pairs, end = [], 0, 0, np.zeros(len(initial) ** 2), len(initial) - 1
+        few, short = _narrow(count), _narrow(size)
         for _, data in sorted(zip(mine["b"].tolist(), mine["data"].tolist(), strict=True), reverse=True):
             keys, trains, sizes, own = (x if t is None else np.frombuffer(x, t) for x, t in zip(_unsqueeze(data), (None, np.int64, np.int64, np.uint32), strict=True))
             long = size[own]
@@ -734,7 +822,7 @@ def scores(docs: DataFrame, tokenizer: bytes, steps: int = STEPS, buckets: int |
             x, y, w = targets(classes, end, ids, of, trains)
             pairs += np.bincount(x * len(initial) + y, weights=w, minlength=len(pairs))
             tokens, weight = tokens + len(x), weight + int(w.sum())
-            out.append(_squeeze(keys, trains, sizes, of, own, count[own], long.astype(np.uint32), ids))
+            out.append(_squeeze(keys, trains, sizes, of, own, few[own], short[own], ids))
         d = int(mine["d"].iloc[0])
         out = [(d, tokens, weight, x) for x in out] + [(-1, 0, 0, _squeeze(pairs.astype(np.int64)))]
         release()

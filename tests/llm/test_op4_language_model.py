@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 
 import numpy as np
@@ -77,6 +78,76 @@ def test_gradients():
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4
 
 
+def plain_step(w, x, y, weight):
+    """A step as it was before its products were joined: each of q, k, v and o by itself, and shares of all inputs masked anew."""
+    n, t = x.shape
+    d, last = w["embed"].shape[1], x.reshape(-1)
+    h = w["embed"][x] + w["place"][:t]
+    flat = h.reshape(-1, d)
+    every = (flat @ np.concatenate([w["q"] * np.float32(1 / np.sqrt(d)), w["k"], w["v"]], axis=1)).reshape(n, t, 3 * d)
+    q, k, v = every[:, :, :d], every[:, :, d : 2 * d], every[:, :, 2 * d :]
+    s = np.exp(np.matmul(q, k.transpose(0, 2, 1)) + np.triu(np.full((t, t), np.float32(-1e9)), 1))
+    s /= (s @ np.ones(t, dtype=s.dtype))[:, :, None]
+    a = np.matmul(s, v)
+    out = a.reshape(-1, d) @ w["o"] + flat
+    order = np.argsort(last.astype(np.int16), kind="stable")
+    edges = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=len(w["embed"])))]).tolist()
+    to, ahead, own, part = y.reshape(-1)[order], last[order], out[order], weight.reshape(-1)[order].astype(out.dtype)
+    g, back, ones = {"pairs": np.zeros_like(w["pairs"]), "u": np.zeros_like(w["u"])}, np.empty_like(out), np.ones(w["pairs"].shape[1], dtype=out.dtype)
+    for i in range(0, n * t, 768):
+        j = min(n * t, i + 768)
+        z = np.take(w["pairs"], ahead[i:j], axis=0)
+        z += own[i:j] @ w["u"]
+        np.exp(z, out=z)
+        norm = z @ ones
+        flat_z, at = z.reshape(-1), np.arange(j - i) * z.shape[1] + to[i:j]
+        flat_z[at] -= norm
+        scale = part[i:j] / norm
+        g["u"] += (own[i:j] * scale[:, None]).T @ z
+        for c in range(int(ahead[i]), int(ahead[j - 1]) + 1):
+            first, stop = max(edges[c], i) - i, min(edges[c + 1], j) - i
+            if stop > first:
+                g["pairs"][c] += scale[first:stop] @ z[first:stop]
+        back[i:j] = (z @ w["u"].T) * scale[:, None]
+    dout = np.empty_like(back)
+    dout[order] = back
+    g["o"] = a.reshape(-1, d).T @ dout
+    da = (dout @ w["o"].T).reshape(n, t, d)
+    ds = np.matmul(da, v.transpose(0, 2, 1))
+    ds = (ds - ((ds * s) @ np.ones(t, dtype=s.dtype))[:, :, None]) * s
+    dq, dk, dv = np.matmul(ds, k) * np.float32(1 / np.sqrt(d)), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), da)
+    dall = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * d)
+    product = flat.T @ dall
+    g["q"], g["k"], g["v"] = product[:, :d], product[:, d : 2 * d], product[:, 2 * d :]
+    dh = dall @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T + dout
+    g["place"], g["embed"] = dh.reshape(n, t, d).sum(axis=0), np.zeros_like(w["embed"])
+    some = np.flatnonzero(np.diff(edges))
+    g["embed"][some] = np.add.reduceat(dh[order], np.array(edges)[some], axis=0)
+    return g
+
+
+def test_a_step_is_the_plain_one_in_less_time():
+    rng = np.random.default_rng(6)
+    c, d = 147, lm.WIDTH
+    w = {"embed": rng.normal(size=(c, d)) * 0.3, "place": rng.normal(size=(lm.WINDOW, d)) * 0.1, "u": rng.normal(size=(d, c)) * 0.1, "pairs": rng.normal(size=(c, c))} | {m: rng.normal(size=(d, d)) / 4 for m in "qkvo"}
+    w = {k: v.astype(np.float32) for k, v in w.items()}
+    x, y = np.minimum(rng.exponential(30, (2, lm.LESSON, lm.WINDOW)).astype(np.int64), c - 1)
+    # All the windows of a step, and so many that a product's parts are not whole ones.
+    for n in (lm.LESSON, 37):
+        weight = rng.integers(0, 3, (n, lm.WINDOW)) / (n * lm.WINDOW)
+        want, (_, got) = plain_step(w, x[:n], y[:n], weight), lm._step(w, x[:n], y[:n], weight)
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-3, atol=2e-6) for k in want)
+    weight, took = np.full(x.shape, 1 / x.size), {plain_step: [], lm._step: []}
+    lm.keep_memory()
+    with lm.one_thread():
+        for _ in range(60):
+            for step, seconds in took.items():
+                at = time.process_time()
+                step(w, x, y, weight)
+                seconds.append(time.process_time() - at)
+    assert np.median(took[lm._step]) < 0.95 * np.median(took[plain_step])
+
+
 def test_weights_are_repeats():
     rng = np.random.default_rng(3)
     c, d = 9, lm.WIDTH
@@ -148,6 +219,25 @@ def test_class_scores_like_one_window_at_a_time(model):
         assert np.allclose(np.bincount(model.classes, weights=np.exp(model.within[after]))[np.unique(model.classes)], 1, atol=1e-3)
 
 
+def test_orders_of_numbers():
+    rng = np.random.default_rng(7)
+    for x in (np.zeros(0, np.uint64), rng.integers(0, 9, 500).astype(np.uint32), rng.integers(0, 1 << 32, 5000).astype(np.uint32), rng.integers(0, 1 << 63, 900).astype(np.uint64) % np.uint64((1 << 33) + 7)):
+        assert (lm._order(x) == np.argsort(x, kind="stable")).all()
+        u, at, kind = lm._distinct(x)
+        want, back = np.unique(x, return_inverse=True)
+        assert (u == want).all() and (x[at] == want).all() and (kind == back).all()
+
+
+def test_coded_runs_come_back():
+    """Counts and numbers of pieces too that take more bytes than others, and runs without words."""
+    for count, size in (([], []), ([0, 3], [1, 2]), ([300, 1], [255, 256]), ([70_000, 2], [1, 70_000]), ([1 << 40, 0], [1, 1])):
+        count, size = np.array(count, dtype=np.int64), np.array(size, dtype=np.int64)
+        none, own, ids = np.zeros(1, np.int64), np.arange(len(count), dtype=np.uint32), np.arange(int(size.sum())).astype(np.uint16)
+        blob = lm._squeeze(b"k" * 32, none, none, none, own, lm._narrow(count), lm._narrow(size), ids)
+        keys, _, _, _, words, known, long, pieces = lm._decoded(blob)
+        assert keys == b"k" * 32 and words.tolist() == own.tolist() and known.tolist() == count.tolist() and long.tolist() == size.tolist() and pieces.tolist() == ids.tolist()
+
+
 def test_words_so_far():
     words, sizes = np.array([7, 8, 7, 7, 7, 9, 7], dtype=np.uint64), np.array([4, 0, 3])
     same, place = lm.repeated(words, sizes)
