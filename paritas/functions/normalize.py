@@ -216,17 +216,117 @@ def rules_of(entries: list[dict[str, Any]], base: Rules | None = None) -> Rules:
 _CONTROL = r"^[\x00-\x20]+|[\x00-\x20]+$"
 
 
+def _let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """body of values that are computed once: a column that is named several times stands, and is analysed, as often."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
+
+
+def _fixed(c: Column, places: int) -> Column:
+    """A double with places decimals, rounded from its exact binary value, halves to even, as C writes it. Java's own format
+    rounds the shortest text that reads as the double, halves away from zero: the same, but where that text ends in a half, or
+    has more than 15 digits to it.
+    """
+    parts = 1 << 37
+    whole = lambda x: F.floor(x["size"])
+    rest = lambda x: (x["size"] - F.floor(x["size"])) * float(parts)
+    # The fraction is high / 2 ** 37 + low / 2 ** 74; what is below that is only of fractions that round to none.
+    split = lambda x: _let(scaled, whole=x["whole"], high=F.floor(x["rest"]) * 10**places, low=F.floor((x["rest"] - F.floor(x["rest"])) * float(parts)) * 10**places)
+    scaled = lambda x: _let(cut, whole=x["whole"], high=x["high"] + F.shiftright(x["low"], 37), low=x["low"].bitwiseAND(F.lit(parts - 1)))
+    cut = lambda x: _let(up, whole=x["whole"], digits=F.shiftright(x["high"], 37), over=x["high"].bitwiseAND(F.lit(parts - 1)), low=x["low"])
+
+    def up(x: Column) -> Column:
+        more = (x["over"] > parts // 2) | ((x["over"] == parts // 2) & ((x["low"] > 0) | (x["digits"] % 2 == 1)))
+        return _let(near, whole=x["whole"], digits=x["digits"] + more.cast("bigint"))
+
+    def near(x: Column) -> Column:
+        full = x["digits"] == 10**places
+        return F.concat((x["whole"] + full.cast("bigint")).cast("string"), F.lit("."), F.lpad(F.when(full, F.lit("0")).otherwise(x["digits"].cast("string")), places, "0"))
+
+    def far(x: Column) -> Column:
+        """From 2 ** 53 on doubles are whole numbers: sums of three parts."""
+        exact, top = "decimal(38,0)", F.floor(x["size"] / float(parts**2))
+        left = x["size"] - top * float(parts**2)
+        middle = F.floor(left / float(parts))
+        total = top.cast(exact) * F.lit(str(parts**2)).cast(exact) + middle.cast(exact) * F.lit(parts).cast(exact) + F.floor(left - middle * float(parts)).cast(exact)
+        return F.concat(total.cast(exact).cast("string"), F.lit("." + "0" * places))
+
+    size, text = F.abs(c), F.format_string(f"%.{places + 1}f", c)
+    exact = F.when(size < float(1 << 53), _let(lambda x: _let(split, whole=whole(x), rest=rest(x)), size=size)).otherwise(_let(far, size=size))
+    odd = (size < 1e38) & ((size >= 10.0 ** (14 - places)) | (text.endswith("5") & (text.cast("double") == c)))
+    return F.when(odd, F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), exact)).otherwise(F.format_string(f"%.{places}f", c))
+
+
+_LIMB = 30
+
+
+def _product(number: Column, fives: Column, twos: Column) -> Column:
+    """number * 5 ** fives * 2 ** twos as limbs of 30 bits, the least first."""
+    mask = F.lit((1 << _LIMB) - 1)
+
+    def power(base: int, n: int, times: Column) -> Column:
+        rest = F.element_at(F.array(*[F.lit(base**i).cast("bigint") for i in range(n)]), (times % n + 1).cast("int"))
+        return F.concat(F.array_repeat(F.lit(base**n).cast("bigint"), F.floor(times / n).cast("int")), F.array(rest))
+
+    def times(limbs: Column, factor: Column) -> Column:
+        def step(s: Column, v: Column) -> Column:
+            made = v * factor + s["carry"]
+            return F.struct(F.concat(s["out"], F.array(made.bitwiseAND(mask))).alias("out"), F.shiftright(made, _LIMB).alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("carry"))
+        return F.aggregate(limbs, start, step, lambda s: F.concat(s["out"], F.array(s["carry"])))
+
+    return F.aggregate(F.concat(power(5, 11, fives), power(2, 26, twos)), F.array(number.bitwiseAND(mask), F.shiftright(number, _LIMB)), times)
+
+
+def _scientific(c: Column) -> Column:
+    """A double with seven digits and an exponent, rounded as in _fixed. Only a double that is the nearest to a number of eight
+    digits that ends with 5 is rounded by its exact value; for others no such number is between that and the shortest text (but
+    for doubles below 2 ** -1022, which have fewer digits, and keep Java's).
+    """
+    size, text = F.abs(c), F.format_string("%.7e", F.abs(c))
+
+    def parts(x: Column) -> Column:
+        """size = m * 2 ** e, scaled in steps that are exact for the least doubles too, beside t * 10 ** k."""
+        scaled = F.when(x["size"] < 1, x["size"] * 2.0**600).otherwise(x["size"] * 2.0**-600)
+        t = F.replace(F.substring(x["text"], 1, 9), F.lit("."), F.lit("")).cast("bigint")
+        k = F.substring_index(x["text"], "e", -1).cast("int") - 7
+        return _let(mantissa, t=t, k=k, scaled=scaled, e=F.floor(F.log2(scaled)) - 53, by=F.when(x["size"] < 1, -600).otherwise(600))
+
+    def mantissa(x: Column) -> Column:
+        return _let(limbs, t=x["t"], k=x["k"], m=(x["scaled"] * F.pow(F.lit(2.0), -x["e"])).cast("bigint"), shift=x["e"] + x["by"] - x["k"])
+
+    def limbs(x: Column) -> Column:
+        own, other = _product(x["m"], F.greatest(-x["k"], F.lit(0)), F.greatest(x["shift"], F.lit(0))), _product(x["t"], F.greatest(x["k"], F.lit(0)), F.greatest(-x["shift"], F.lit(0)))
+        return _let(compared, t=x["t"], k=x["k"], own=own, other=other)
+
+    def compared(x: Column) -> Column:
+        n = F.greatest(F.size(x["own"]), F.size(x["other"]))
+        own, other = (F.reverse(F.concat(x[y], F.array_repeat(F.lit(0).cast("bigint"), n - F.size(x[y])))) for y in ("own", "other"))
+        return _let(lambda y: _let(made, digits=y["digits"] + ((y["own"] > y["other"]) | ((y["own"] == y["other"]) & (y["digits"] % 2 == 1))).cast("bigint"), k=y["k"]), own=own, other=other, digits=F.floor(x["t"] / 10), k=x["k"] + 7)
+
+    def made(x: Column) -> Column:
+        full = x["digits"] == 10_000_000
+        return _let(written, digits=F.when(full, F.lit("1000000")).otherwise(x["digits"].cast("string")), k=x["k"] + full.cast("int"))
+
+    def written(x: Column) -> Column:
+        power = F.lpad(F.abs(x["k"]).cast("string"), F.when(F.abs(x["k"]) < 100, 2).otherwise(3), F.lit("0"))
+        return F.concat(F.substring(x["digits"], 1, 1), F.lit("."), F.substring(x["digits"], 2, 6), F.when(x["k"] < 0, F.lit("e-")).otherwise(F.lit("e+")), power)
+
+    tie = F.substring(text, 9, 1).eqNullSafe("5") & (text.cast("double") == size)
+    return F.when(tie, F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), _let(parts, size=size, text=text))).otherwise(F.format_string("%.6e", c))
+
+
 def record(c: Column, dtype: T.DataType) -> Column:
     """c as the merge comparison writes it; null is empty for every type."""
     name, text = family(dtype), F.regexp_replace(c.cast("string") if not isinstance(dtype, T.BinaryType) else F.lit(""), _CONTROL, "")
     if name == "integer":
         out = c.cast("string")
     elif name == "decimal":
-        out = F.format_string("%.4f", c.cast("double"))
+        out = _fixed(c.cast("double"), 4)
     elif name in ("float", "double"):
         size = F.abs(c.cast("double"))
         odd = (size > 1e10) | ((size > 0) & (size < 1e-10))
-        out = F.when(odd, F.format_string("%.6e", c.cast("double"))).otherwise(F.format_string("%.6f", c.cast("double")))
+        out = F.when(odd, _scientific(c.cast("double"))).otherwise(_fixed(c.cast("double"), 6))
     elif name == "boolean":
         out = F.when(c, F.lit("1")).otherwise(F.lit("0"))
     elif name == "date":
@@ -248,8 +348,7 @@ def record_text(c: Column, name: str) -> Column:
     if name == "integer":
         out = F.coalesce(text.try_cast("bigint").cast("string"), F.lit("0"))
     elif name == "decimal":
-        out = F.coalesce(F.format_string("%.4f", text.try_cast("double")), F.lit("0.0000"))
-        out = F.when(text.try_cast("double").isNull(), F.lit("0.0000")).otherwise(out)
+        out = F.when(text.try_cast("double").isNull(), F.lit("0.0000")).otherwise(_fixed(text.try_cast("double"), 4))
     elif name in ("float", "double"):
         value = text.try_cast("double")
         out = F.when(value.isNull(), F.lit("0.000000")).otherwise(record(value, T.DoubleType()))

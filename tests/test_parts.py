@@ -274,6 +274,18 @@ def test_bisection_visits_what_differs(spark, threshold):
     assert diff.bisection(s.limit(0), s.limit(0), ["k"], ["v"]).count() == 0
 
 
+def test_records_round_exact_values(spark):
+    """As C does: ties to even, by the double and not by its shortest text."""
+    fixed = [25000825.0, 0.5e-6, 1.0000005, 2.0000015, 0.125, 0.9999995, -0.03125, -1e-7, 9999999999.9999995, 8589934592.0000190735]
+    far = [25000825000.0, 25000835000.0, 1.0000005e23, 9.9999995e300, -2.0000005e30, 1.2345675e-12, 9.9999995e-20]
+    df = spark.createDataFrame([(x,) for x in fixed + far], "x double")
+    got = {r.x: r.text for r in df.select("x", normalize.record(F.col("x"), T.DoubleType()).alias("text")).collect()}
+    assert got == {x: f"{x:.6f}" for x in fixed} | {x: f"{x:.6e}" for x in far}
+    tens = spark.createDataFrame([("0.03125",), ("99999999999999991611392",)], "x string")
+    text = normalize.record(F.col("x").cast("decimal(30,5)"), T.DecimalType(30, 5))
+    assert [r.text for r in tens.select(text.alias("text")).collect()] == ["0.0312", "99999999999999991611392.0000"]
+
+
 def test_segment_strategies(spark):
     df = spark.createDataFrame([(i // 3, f"t{i:03d}") for i in range(100)] + [(None, None)], "k int, v string")
     pages = sorted(map(tuple, segments.walk(df, "k", 7).collect()))
