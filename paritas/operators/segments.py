@@ -84,21 +84,53 @@ def depth_boundaries(df: DataFrame, key: str, n: int, accuracy: int = 10_000) ->
     return sorted(set(found))
 
 
-def depth_segments(df: DataFrame, key: str, n: int, accuracy: int = 10_000) -> DataFrame:
-    """(segment, row_count, min_key, max_key) of n ranges with equally many rows each, but for 1 in accuracy of all rows."""
+def sampled_segments(df: DataFrame, key: str, n: int, accuracy: int = 10_000) -> DataFrame:
+    """(segment, row_count, min_key, max_key) of n ranges with about equally many rows each; all rows of a key are in one."""
     at = F.lit(0)
     for c in depth_boundaries(df, key, n, accuracy):
         at = at + (F.col(key) > F.lit(c)).cast("int")
     return _by_segment(df, key, at)
 
 
+def depth_segments(df: DataFrame, key: str, n: int, accuracy: int = 10_000) -> DataFrame:
+    """(segment, row_count, min_key, max_key) of n ranges in key order, nulls last, of which the first i end with row
+    ceil(i * rows / n). A repeated key may be in several. accuracy is that of the ranges in which keys are placed, which
+    changes no result.
+    """
+    placed = _placed(df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("rows")), depth_boundaries(df, key, RANGES, accuracy))
+    total = df.count()
+    ends = [-(-i * total // n) for i in range(n + 1)]
+    ranges = F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))])
+    inside = F.least(F.col("start") + F.col("rows"), F.col("range.b")) - F.greatest(F.col("start"), F.col("range.a"))
+    met = placed.select("*", F.explode(ranges).alias("range")).select(F.col("range.segment").alias("segment"), "k", inside.alias("inside")).where("inside > 0")
+    return met.groupBy("segment").agg(F.sum("inside").alias("row_count"), F.min("k").alias("min_key"), F.max("k").alias("max_key"))
+
+
+def _placed(counts: DataFrame, cuts: Sequence[object]) -> DataFrame:
+    """(k, rows, start): the rows before each key of counts (k, rows) in key order, a null key last.
+
+    A key's first place is the rows of all ranges of keys before its own, plus those before it in its range: only the ranges'
+    totals, one more than cuts at most, meet in one task. cuts are sorted, and a key's range is found by halving.
+    """
+    at = F.lit(0)
+    if cuts:
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+        known = F.array(*[F.lit(c) for c in cuts])
+        at = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(known, n + step - 1) < F.col("k"), step).otherwise(0))
+    known = counts.withColumn("part", F.when(F.col("k").isNull(), len(cuts) + 1).otherwise(at))
+    totals = known.groupBy("part").agg(F.sum("rows").alias("total"))
+    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    own = F.sum("rows").over(Window.partitionBy("part").orderBy("k")) - F.col("rows")
+    return known.join(F.broadcast(before), "part").select("k", "rows", (F.col("before") + own).alias("start"))
+
+
 def _by_range(df: DataFrame, key: str, n: int) -> DataFrame:
     low, high = df.agg(F.min(key), F.max(key)).first()
     return range_segments(df, key, low or 0, high or 0, n)
 
 
 #: Ways to cut a key into segments; register() adds more.
-STRATEGIES: dict[str, Callable[[DataFrame, str, int], DataFrame]] = {"range": _by_range, "row-sample": depth_segments}
+STRATEGIES: dict[str, Callable[[DataFrame, str, int], DataFrame]] = {"range": _by_range, "row-sample": sampled_segments}
 
 
 def register(name: str, strategy: Callable[[DataFrame, str, int], DataFrame]) -> None:

@@ -302,6 +302,17 @@ def test_segment_strategies(spark):
             bad()
 
 
+def test_depth_segments_hold_exact_shares(spark):
+    """Whatever the ranges by which keys are placed, and where a key repeats; nulls come last."""
+    keys = sorted([i * i % 1013 for i in range(1000)] + [7] * 400) + [None] * 3
+    df = spark.createDataFrame([(k,) for k in keys], "k int").repartition(5)
+    ends = [-(-i * len(keys) // 8) for i in range(9)]
+    want = [(i, b - a, min(x), max(x)) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if (x := [k for k in keys[a:b] if k is not None])]
+    for accuracy in (2, 10_000):
+        assert sorted(map(tuple, segments.depth_segments(df, "k", 8, accuracy).collect())) == want
+    assert segments.depth_segments(df.limit(0), "k", 8).count() == 0
+
+
 def test_config_and_cli(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setenv("PLACE", str(tmp_path))
     spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").write.parquet(f"{tmp_path}/s")
