@@ -158,19 +158,10 @@ def walk(df: DataFrame, key: str, size: int) -> DataFrame:
     """(segment, row_count, min_key, max_key) of pages of size rows in key order, as a walk from last key to last key finds
     them. Null keys are in no page.
 
-    Keys are counted first, and a key's first place is the rows of all ranges of keys before its own, plus those before it in
-    its range: only the ranges' totals, RANGES at most, meet in one task. A repeated key may be in several pages.
+    Keys are counted first, and placed by ranges. A repeated key may be in several pages.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
-    cuts = depth_boundaries(df, key, RANGES)
-    at = F.lit(0)
-    if cuts:
-        at = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (F.col("k") > c).cast("int"))
-    known = counts.withColumn("part", at)
-    totals = known.groupBy("part").agg(F.sum("rows").alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    own = F.sum("rows").over(Window.partitionBy("part").orderBy("k")) - F.col("rows")
-    placed = known.join(F.broadcast(before), "part").select("k", "rows", (F.col("before") + own).alias("start"))
+    placed = _placed(counts, depth_boundaries(df, key, RANGES))
     first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("rows") - 1) / size)
     pages = placed.select("*", F.explode(F.sequence(first, last)).alias("segment"))
     inside = F.least(F.col("start") + F.col("rows"), (F.col("segment") + 1) * size) - F.greatest(F.col("start"), F.col("segment") * size)

@@ -313,6 +313,14 @@ def test_depth_segments_hold_exact_shares(spark):
     assert segments.depth_segments(df.limit(0), "k", 8).count() == 0
 
 
+def test_walk_finds_ranges_by_halving(spark):
+    df = spark.createDataFrame([(i * 7 % 2000,) for i in range(2000)], "k int")
+    pages = segments.walk(df, "k", 100)
+    assert sorted(map(tuple, pages.collect())) == [(i, 100, i * 100, i * 100 + 99) for i in range(20)]
+    # A step for each bit of the ranges' number, not one for each range.
+    assert "array(256, 128, 64, 32, 16, 8, 4, 2, 1)" in pages._jdf.queryExecution().analyzed().toString()
+
+
 def test_config_and_cli(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setenv("PLACE", str(tmp_path))
     spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").write.parquet(f"{tmp_path}/s")
