@@ -664,9 +664,9 @@ def checksum_diff_row_hash(spark, d):
 
 
 def _compared(spark, d, **how) -> DataFrame:
-    """Differences as a planned comparison gives them."""
+    """Differences as a planned comparison gives them, all of them: checked() would run it twice, and fail beyond a million."""
     sides = [frame(x, keys=("o_orderkey",), columns=("o_orderstatus", "o_totalprice")) for x in both(spark, d)]
-    return _plain(compare(spark, Comparison(*sides, Strategy(**how))).checked().diff)
+    return _plain(compare(spark, Comparison(*sides, Strategy(**how))).diff)
 
 
 @query(_text_diff_sql(True, TABLE_TEXT))

@@ -193,22 +193,24 @@ def checksum_diff(
 def _row_hash_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """A full outer join of keys and row hashes; only the rows that differ there are joined with their values.
 
-    Of a repeated key the row of largest row_hash counts; rows are told apart by exact_hash. A null key matches nothing.
+    Of a repeated key the row of largest row_hash counts; rows are told apart by exact_hash. A null key matches nothing. Hashes
+    move as bytes, and only with keys: values move without theirs, which are made again where they meet the hashes.
     """
-    every = [F.col(c) for c in (*keys, *columns)]
-    h = F.concat(checksum.row_hash(every), checksum.exact_hash(every))
+    every = [*keys, *columns]
+    hashes = lambda names: F.unhex(F.concat(*[f([F.col(c) for c in names]) for f in (checksum.row_hash, checksum.exact_hash)]))
     names = [f"k{i}" for i in range(len(keys))]
 
     def hashed(df: DataFrame, side: str) -> DataFrame:
-        return df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.max(h).alias(f"{side}h")).select(*[F.col(n).alias(f"{side}{n}") for n in names], f"{side}h")
+        return df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.max(hashes(every)).alias(f"{side}h")).select(*[F.col(n).alias(f"{side}{n}") for n in names], f"{side}h")
 
     joined = hashed(source, "s").join(hashed(target, "t"), _on(keys), "full_outer").where(~F.col("sh").eqNullSafe(F.col("th")))
 
     def fetched(df: DataFrame, side: str) -> DataFrame:
         wanted = joined.where(F.col(f"{side}h").isNotNull()).select(*[F.col(f"{side}{n}").alias(n) for n in names], F.col(f"{side}h").alias("wanted_h"))
-        rows = df.select(F.struct(*keys, *columns).alias("row"), *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], h.alias("own_h"))
-        on = [rows[n].eqNullSafe(wanted[n]) for n in names] + [F.col("own_h") == F.col("wanted_h")]
-        return rows.join(wanted, on, "left_semi").dropDuplicates([*names, "own_h"]).select("row.*")
+        own = [f"v{i}" for i in range(len(every))]
+        rows = df.select(*[F.col(c).alias(v) for c, v in zip(every, own, strict=True)])
+        met = rows.join(wanted, [F.col(v).eqNullSafe(F.col(n)) for v, n in zip(own, names, strict=False)]).where(hashes(own) == F.col("wanted_h"))
+        return met.dropDuplicates(names).select(*[F.col(v).alias(c) for c, v in zip(every, own, strict=True)])
 
     return join_diff(fetched(source, "s"), fetched(target, "t"), keys, columns)
 

@@ -186,3 +186,16 @@ def test_specs_are_checked(spark):
     ):
         with pytest.raises(ValueError):
             make()
+
+
+def test_row_hashes_move_as_bytes_and_without_values(spark):
+    """Columns may be named as the join's own; a repeated key's row of largest hash counts, null keys are missing."""
+    from paritas.operators import diff as ops
+
+    s = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "c"), ("3", "d"), (None, "n")], "k0 string, wanted_h string")
+    t = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "x"), ("4", "e"), (None, "n")], "k0 string, wanted_h string")
+    made = ops._row_hash_diff(s, t, ["k0"], ["wanted_h"])
+    want = [("mismatch", "2"), ("source_missing", "4"), ("source_missing", None), ("target_missing", "3"), ("target_missing", None)]
+    assert sorted((tuple(r) for r in made.select("operation", "k0").collect()), key=str) == sorted(want, key=str)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "unhex" in plan and "own_h" not in plan
